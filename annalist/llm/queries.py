@@ -5,18 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from annalist.llm.huffman import token_ids
 from annalist.llm.packing import pack
+from annalist.llm.prefixes import prefix_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_packing": op7_packing}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts(table(spark, sf_dir, "documents"), limit=2048, store=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_ids": op2_token_ids,
+    "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
+}
 
 ORACLE_SQL: dict[str, str] = {}
