@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import dropped, partitions, prepare, shared_path, slices, stored, text_bytes, texts_of
+from annalist.llm.common import dropped, gathered, partitions, prepare, shared_path, slices, stored, text_bytes, texts_of
 from annalist.llm.tokens import END_ID, Encoder, vocabulary_path, with_end
 
 LIMIT = 18
@@ -120,7 +120,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
         from pyspark import TaskContext
 
         part, encoder, at, seen = TaskContext.get().partitionId(), Encoder(path), 0, np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in gathered(batches):
             data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets, 8 << 20):
                 ids, counts = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -147,12 +147,17 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
     spark._jvm.System.gc()  # the texts' shuffle files have no reader any more; Spark deletes them once it notices
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                both = np.frombuffer(blob, np.int64).reshape(2, -1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["id", "n"])
-
-    counts = kept.where("seen is not null").select("seen").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+                kinds, n = np.frombuffer(blob, np.int64).reshape(2, -1)
+                if kinds[-1] >= len(total):
+                    total = np.r_[total, np.zeros(kinds[-1] + 1 - len(total), np.int64)]
+                total[kinds] += n
+        kinds = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(kinds), pa.array(total[kinds])], names=["id", "n"])
+
+    counts = kept.where("seen is not null").select("seen").coalesce(partitions(spark) // 16 + 1).mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     lengths = dict(kept.where("seen is not null").select("part", "n").collect())
     begins, total = {}, 0
     for part in sorted(lengths):

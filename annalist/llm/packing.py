@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import prepare, slices, stored, text_bytes, texts_of
+from annalist.llm.common import gathered, prepare, slices, stored, text_bytes, texts_of
 from annalist.llm.tokens import END_ID, Encoder, vocabulary_path, with_end
 
 WINDOW = 4096
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_wi
 
         part = TaskContext.get().partitionId()
         encoder, packer = Encoder(path), Packer(part, window, open_windows)
-        for batch in batches:
+        for batch in gathered(batches):
             docs_, (data, offsets) = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             for a, b in slices(offsets, 8 << 20):
                 ids, counts = with_end(*encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), end_id)
