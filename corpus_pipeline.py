@@ -1,10 +1,63 @@
-"""The corpus pipeline: documents through five operators, each stage on what the one before it kept."""
+"""The corpus pipeline: documents through five operators, each stage on all that the one before it kept.
+
+Every function takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.  All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annalist.llm import toxicity
+from annalist.llm.common import stored
+from annalist.llm.decontam import decontaminated
+from annalist.llm.jaccard import near_duplicates
+from annalist.llm.lines import dedup_lines
+from annalist.llm.packing import pack
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on the labelled ones, doesn't reject."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without cross-site boilerplate lines; documents that had nothing else go."""
+    out = dedup_lines(docs).where("not (n_removed > 0 and length(trim(text)) = 0)")
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that five-word shingles link at a similarity of 0.8."""
+    kept = near_duplicates(docs, size=5, num=80, den=100).select(F.col("component_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences, a row per piece."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_tokens),
+]
+
+#: SQL expresses neither the model, nor the signatures, nor the packing; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
