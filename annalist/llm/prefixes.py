@@ -17,13 +17,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from annalist.llm.common import prepare, ranges, slices, text_bytes, texts_of
+from annalist.llm.common import gathered, prepare, ranges, slices, text_bytes, texts_of
 from annalist.llm.tokens import KIND, runs, vocabulary_path
 
 #: Distinct pieces that a worker remembers; beyond it the half used least goes.
-REMEMBERED = 400_000
-#: States of prefixes that a worker remembers before it starts anew.
-STATES = 400_000
+REMEMBERED = 700_000
 END = "</w>"
 
 
@@ -37,6 +35,14 @@ def byte_letters() -> list[str]:
     return out
 
 
+class State:
+    """What is known of the prefixes of a word: last token and number of tokens inside a word (up to ``inner``), and number
+    of tokens if the word ended there (0: not known)."""
+
+    def __init__(self) -> None:
+        self.word, self.last, self.count, self.ended, self.inner = "", [0], [0], [0], 0
+
+
 class Merges:
     """Which tokens may stand side by side, from a vocabulary file of byte-level BPE with word ends."""
 
@@ -51,13 +57,16 @@ class Merges:
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.rank.setdefault(x << 20 | y, r)
             self.parts.setdefault(z, (x, y, r))
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = byte_letters()
         self.apart: dict[int, bool] = {}
-        self.inner: dict[str, tuple[int, int]] = {}
-        self.ended: dict[str, int] = {}
+        #: letters of bytes that go on a character, and how long tokens are at most, by their last two letters
+        self.more = frozenset(self.letters[0x80:0xC0])
+        self.reach, self.reach_end = {}, {}
+        for t in self.vocab:
+            reach, t = (self.reach_end, t[: -len(END)]) if t.endswith(END) else (self.reach, t)
+            reach[t[-2:]] = max(reach.get(t[-2:], 1), len(t))
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the tokens a, b, encoded as one word, come out as a, b: undo their merges from the latest to the
@@ -85,47 +94,58 @@ class Merges:
             self.apart[key] = known
         return known
 
-    def token_before(self, s: str, i: int, last: list[int], count: list[int], end: str) -> tuple[int, int]:
-        """The last token of the encoding of s[:i] + end and the number of its tokens, from those of shorter prefixes."""
-        get, known = self.vocab.get, self.apart.get
-        for j in range(i - self.longest if i > self.longest else 0, i):
-            t = get(s[j:i] + end)
-            if t is not None:
-                if j == 0:
-                    return t, 1
-                apart = known(last[j] << 20 | t)
-                if apart or apart is None and self.stay_apart(last[j], t):
-                    return t, count[j] + 1
-        raise ValueError(f"the vocabulary lacks a letter of {s[:i]!r}")
-
-    def piece(self, s: str, ends: list[int]) -> list[int]:
-        """Token counts of the words s[:e] for every e of ends (ascending; the last is len(s)); s in byte letters.
-
-        States of short prefixes are remembered: many words begin alike.
+    def piece(self, s: str, state: State | None = None) -> list[int]:
+        """Token counts of the words s[:e] for every e that ends a letter of the text; s in byte letters.
+
+        ``state`` keeps what is known of the prefixes of the word before: sorted words begin alike.
         """
-        inner, ended = self.inner, self.ended
-        if len(inner) > STATES or len(ended) > STATES:
-            inner.clear()
-            ended.clear()
-        n = len(s)
-        last, count, out, k = [0] * (n + 1), [0] * (n + 1), [], 0
+        state = state or State()
+        last, count, ended, inner = state.last, state.count, state.ended, state.inner
+        n, c, before = len(s), 0, state.word
+        for x, y in zip(s, before, strict=False):
+            if x != y:
+                break
+            c += 1
+        state.word = s
+        del ended[c + 1 :]
+        if inner > c:
+            inner = c
+        while len(last) <= n:
+            last.append(0)
+            count.append(0)
+        get, known, reach, reach_end, more = self.vocab.get, self.apart.get, self.reach.get, self.reach_end.get, self.more
+        out = []
         for i in range(1, n + 1):
-            p = s[:i]
-            if i < n:
-                state = inner.get(p)
-                if state is None:
-                    state = self.token_before(s, i, last, count, "")
-                    if i < 10:
-                        inner[p] = state
-                last[i], count[i] = state
-            if i == ends[k]:
-                c = ended.get(p)
-                if c is None:
-                    c = self.token_before(s, i, last, count, END)[1]
-                    if i < 10:
-                        ended[p] = c
-                out.append(c)
-                k += 1
+            if inner < i < n:
+                for j in range(max(0, i - reach(s[i - 2 : i], 1) if i > 1 else 0), i):
+                    t = get(s[j:i])
+                    if t is not None:
+                        if j == 0:
+                            last[i], count[i] = t, 1
+                            break
+                        apart = known(last[j] << 20 | t)
+                        if apart or apart is None and self.stay_apart(last[j], t):
+                            last[i], count[i] = t, count[j] + 1
+                            break
+                inner = i
+            if i >= len(ended):
+                ended.append(0)
+            if i == n or s[i] not in more:
+                k = ended[i]
+                if not k:
+                    for j in range(max(0, i - reach_end(s[i - 2 : i], 1) if i > 1 else 0), i):
+                        t = get(s[j:i] + END)
+                        if t is not None:
+                            if j == 0:
+                                k = 1
+                                break
+                            apart = known(last[j] << 20 | t)
+                            if apart or apart is None and self.stay_apart(last[j], t):
+                                k = count[j] + 1
+                                break
+                    ended[i] = k
+                out.append(k)
+        state.inner = inner
         return out
 
     def pieces(self, s: str) -> list[int]:
@@ -133,14 +153,10 @@ class Merges:
         out, base, letters = [], 0, self.letters
         for m in self.pattern.finditer(s):
             p = m.group()
-            raw = p.encode()
             if p[0] == "'" and len(p) > 1 and p[1].isalpha():  # a contraction is only one once it is whole
-                shorter = [self.pieces(p[:k])[-1] for k in range(1, len(p))]
-                own = [*shorter, self.piece(raw.decode("ascii"), [len(raw)])[0]]
-            elif len(raw) == len(p):
-                own = self.piece("".join([letters[b] for b in raw]), list(range(1, len(p) + 1)))
+                own = [*(self.pieces(p[:k])[-1] for k in range(1, len(p))), self.piece(p)[-1]]
             else:
-                own = self.piece("".join([letters[b] for b in raw]), np.cumsum([len(c.encode()) for c in p]).tolist())
+                own = self.piece("".join([letters[b] for b in p.encode()]))
             out += [base + c for c in own]
             base += own[-1]
         return out
@@ -154,7 +170,7 @@ class Merges:
         total = 0
         for m in self.pattern.finditer(lower(unicodedata.normalize("NFC", s))):
             raw = m.group().encode()
-            total += self.piece("".join([self.letters[b] for b in raw]), [len(raw)])[-1]
+            total += self.piece("".join([self.letters[b] for b in raw]))[-1]
         return total
 
     def prefixes(self, s: str) -> list[int]:
@@ -200,7 +216,17 @@ class Counter:
         self.flat[: len(flat)], self.used = flat, len(flat)
 
     def learn(self, words: list[str]) -> None:
-        found = [self.merges.prefixes(w) for w in words]
+        words.sort()
+        state, found, letters = State(), [], self.merges.letters
+        for w in words:
+            if w.isalpha() and "Σ" not in w:
+                if w.isascii():
+                    found.append(self.merges.piece(w.lower(), state))
+                    continue
+                if len(low := w.lower()) == len(w) and unicodedata.is_normalized("NFC", w) and unicodedata.is_normalized("NFC", low):
+                    found.append(self.merges.piece("".join([letters[b] for b in low.encode()]), state))
+                    continue
+            found.append(self.merges.prefixes(w))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         need, first = self.used + int(lengths.sum()), len(self.words)
         while len(self.flat) < need:
@@ -273,9 +299,9 @@ def prefix_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, s
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in batches:
+        for batch in gathered(batches):
             data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 8 << 20):
                 counts, chars = counter.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ends = np.cumsum(chars)
                 tokens = np.where(chars > 0, np.r_[counts, 0][ends - 1], 0).astype(np.int64)
