@@ -123,8 +123,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     table = texts.mapInArrow(found, "doc_id long, grade long, features binary").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
     if not len(table):
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
-    sets = [np.frombuffer(x, np.uint64) for x in table["features"]]
-    grades = table["grade"].to_numpy(np.int64)
+    grades, blobs = table["grade"].to_numpy(np.int64), list(table.pop("features"))
+    # most features are in few texts; counts by a hash rule those out before anything is sorted
+    rough, least = np.zeros(1 << 22, np.uint32), min(LEAST_TEXTS, max(2, len(blobs) // 20))
+    for x in blobs:
+        np.add.at(rough, np.frombuffer(x, np.uint64) >> np.uint64(42), 1)
+    sets = []
+    while blobs:
+        x = np.frombuffer(blobs.pop(), np.uint64)
+        sets.append(x[rough[x >> np.uint64(42)] >= least])
+    sets.reverse()
     rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
     keys, columns, texts_with = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # features whose frequency depends on the label, by a chi-square test; the others would only be learnt by heart
@@ -132,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     yes = np.bincount(columns, toxic[rows], len(keys))
     expected = texts_with * max(toxic.mean(), 1e-9)
     chi = (yes - expected) ** 2 / expected / max(1 - toxic.mean(), 1e-9)
-    keep = (texts_with >= min(LEAST_TEXTS, max(2, len(sets) // 20))) & (chi >= LEAST_CHI)
+    keep = (texts_with >= least) & (chi >= LEAST_CHI)
     rows, columns, keys = rows[keep[columns]], (np.cumsum(keep) - 1)[columns[keep[columns]]], keys[keep]
     if grades.max() == 1 and spread and not toxic.all():
         telling = np.bincount(rows, ((yes > expected)[keep])[columns], len(grades))
