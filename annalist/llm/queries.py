@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import lines, toxicity
+from annalist.llm import lines, topk, toxicity
 from annalist.llm.decontam import overlaps
+from annalist.llm.html import extract
 from annalist.llm.huffman import token_ids
 from annalist.llm.jaccard import near_duplicates
 from annalist.llm.packing import pack
@@ -28,10 +29,18 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -52,11 +61,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
+    "op3_html": op3_html,
     "op5_jaccard": op5_jaccard,
+    "op6_topk": op6_topk,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_lines": op9_lines,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_lines": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_topk": topk.ORACLE, "op9_lines": lines.ORACLE}
