@@ -14,6 +14,7 @@ from annalist.llm.huffman import token_ids
 from annalist.llm.jaccard import near_duplicates
 from annalist.llm.packing import pack
 from annalist.llm.prefixes import prefix_counts
+from annalist.llm.repeats import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), depth=200)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
     "op3_html": op3_html,
+    "op4_repeats": op4_repeats,
     "op5_jaccard": op5_jaccard,
     "op6_topk": op6_topk,
     "op7_packing": op7_packing,
