@@ -1,4 +1,9 @@
 """Registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from annalist.plans import retrieval
+
+MODULES = [retrieval]
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
