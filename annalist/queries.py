@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from annalist.plans import retrieval
+from annalist.plans import retrieval, texts
 
-MODULES = [retrieval]
+MODULES = [retrieval, texts]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
