@@ -18,7 +18,7 @@ from annalist.sources.phrases import phrases, phrases_sql
 
 def neighbour_band_join(spark, sf):
     t = M.turns(spark, sf)
-    return band(t.where("id % 7 = 3"), t, 3)
+    return band(t, t, 3)
 
 
 def causal_band_join(spark, sf):
@@ -47,7 +47,7 @@ def link_expand(spark, sf):
 def history_expand(spark, sf):
     """Ranked turns of several queries, expanded by links and session neighbours."""
     t = M.turns(spark, sf)
-    asked = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")).where("item_id < 20")
+    asked = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     ranked = top_each(bm25(t, asked), "qid", 60, F.desc("relevance"), "id").join(t.select("id", "session_id", "position"), "id").select("qid", "id", "rank", "session_id", "position")
     return expand(ranked, links(spark, sf), 10)
 
@@ -145,7 +145,7 @@ LINKS = "lk as (select a.id as from_id, b.id as to_id, case when a.session_id %
 WEIGHT = f"case when abs(moment - {CENTRE}) <= {HALF} then 1.25 else 0.8 end"
 FIXED = f"q as (select 0 as qid, '{QUERY}' as query)"
 ORACLE = {
-    "neighbour_band_join": band_sql("s.id % 7 = 3", 3),
+    "neighbour_band_join": band_sql("true", 3),
     "causal_band_join": band_sql("s.source = 'system'", 5),
     "session_adjacent": band_sql("s.position = 2", 1),
     "link_expand": f"with {M.TURNS}, {LINKS}, u as (select id from turns where source = 'user'), x as (select from_id, to_id, relation from lk union select to_id, from_id, relation from lk) select * from x where from_id in (select id from u) and to_id in (select id from u)",

@@ -87,10 +87,10 @@ def semantic_gate(spark, sf):
 
 
 def same_label_rate(spark, sf):
-    """How often a vector's label agrees with its nearest query's, by label, over a stated query set of four vectors."""
+    """How many of the ten nearest vectors have the label of a query; queries are the vectors whose id is divisible by 100."""
     v = vectors(spark, sf)
-    asked = v.where("id < 4").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("qlabel"))
-    pairs = v.join(F.broadcast(asked), F.col("id") != F.col("qid")).select("qid", "id", (F.col("label") == F.col("qlabel")).cast("int").alias("same"), cosine(F.col("embedding"), F.col("q")).alias("similarity"))  # four rows go to all
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("qlabel"))
+    pairs = v.join(asked, F.col("id") != F.col("qid")).select("qid", "id", (F.col("label") == F.col("qlabel")).cast("int").alias("same"), cosine(F.col("embedding"), F.col("q")).alias("similarity"))
     return top_each(pairs, "qid", 10, F.desc("similarity"), "id").groupBy("qid").agg(F.sum("same").alias("n_same"))
 
 
@@ -119,7 +119,7 @@ def with_unknown(rows):
 
 
 def timeline(spark, sf):
-    rows = with_unknown(M.turns(spark, sf)).where("session_id < 40")
+    rows = with_unknown(M.turns(spark, sf))
     return top(rows, 60, F.asc_nulls_last("event_at"), "moment", "id").select("rank", "id", "event_at")
 
 
@@ -149,7 +149,7 @@ b as (select *, case when similarity is not null then row_number() over (order b
 f as (select *, round(1.0::double / (60 + lx) + 1.0::double / (60 + sm), 8) as search_score from b)
 select row_number() over (order by search_score desc nulls last, lx)::int as rank, id, relevance, similarity, search_score from f qualify rank <= 20""",
     "semantic_gate": f"with {M.MATERIALS}, {FIXED}, {bm25_sql('materials', 'q')}, {SIM} select m.id, coalesce(relevance, 0) as relevance, similarity from materials m left join scores s on m.id = s.id join sims on sims.id = m.id where coalesce(relevance, 0) > 0 or similarity >= 0.85",
-    "same_label_rate": """with p as (select q.vec_id as qid, e.vec_id as id, (e.label = q.label)::int as same, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings e join embeddings q on q.vec_id < 4 and e.vec_id <> q.vec_id),
+    "same_label_rate": """with p as (select q.vec_id as qid, e.vec_id as id, (e.label = q.label)::int as same, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings e join embeddings q on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by qid order by similarity desc, id) as n from p) select qid, sum(same)::bigint as n_same from r where n <= 10 group by qid""",
     "recall_cascade": f"""with {M.TURNS}, {SECTIONS}, o as (select id, content from sec where section = 'ordinary'), {FIXED}, {bm25_sql('o', 'q')},
 n as (select count(*) filter (where section = 'anchor') as a, count(*) filter (where section = 'canon') as c from sec),
@@ -157,6 +157,6 @@ r as (select section, sec.id, coalesce(relevance, 0) as relevance, row_number()
 select section, rank, id, relevance from r, n where section = 'anchor' or (section = 'canon' and rank <= greatest(20 - a, 0)) or (section = 'ordinary' and rank <= greatest(20 - a - least(c, greatest(20 - a, 0)), 0))""",
     "archive_search": f"""with {M.TURNS}, r as (select * from turns where source = 'user' and moment >= {M.EPOCH + 36000}), {FIXED}, {bm25_sql('r', 'q')}
 select row_number() over (order by coalesce(relevance, 0) desc, moment desc, r.id)::int as rank, r.id, coalesce(relevance, 0) as relevance, (select count(*) from r) as eligible, (select count(*) from r) > 10 as truncated from r left join scores on r.id = scores.id qualify rank <= 10""",
-    "timeline": f"with {M.TURNS}, t as (select *, case when id % 11 <> 0 then moment end as event_at from turns where session_id < 40) select row_number() over (order by event_at nulls last, moment, id)::int as rank, id, event_at from t qualify rank <= 60",
+    "timeline": f"with {M.TURNS}, t as (select *, case when id % 11 <> 0 then moment end as event_at from turns) select row_number() over (order by event_at nulls last, moment, id)::int as rank, id, event_at from t qualify rank <= 60",
     "time_window_filter": f"with {M.TURNS}, t as (select *, case when id % 11 <> 0 then moment end as event_at from turns) select source, count(*) filter (where event_at >= {M.EPOCH + 7200} and event_at <= {M.EPOCH + 360000}) as inside, count(*) filter (where event_at is null) as unknown from t group by source",
 }

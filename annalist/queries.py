@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from annalist.plans import relations, retrieval, texts
+from annalist.plans import evaluation, ledger, relations, retrieval, texts
 
-MODULES = [retrieval, texts, relations]
+MODULES = [retrieval, texts, relations, ledger, evaluation]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

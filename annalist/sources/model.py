@@ -48,8 +48,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DuckDB forms of the same tables, for the oracles.
 TURNS = f"turns as (select conv_id * 1000 + turn as id, conv_id as session_id, turn as position, role as source, coalesce(text, '') as content, {EPOCH} + conv_id * 3600 + turn * 60 as moment from conversations)"
 MATERIALS = "materials as (select doc_id as id, coalesce(text, '') as content, lang as frame, source from documents)"
-COMMANDS = """commands as (select event_id as seq, user_id as memory_id, epoch(ts)::bigint as moment, case event_type when 'signup' then 'remember' when 'click' then 'corroborate' when 'view' then 'review' when 'purchase' then 'promote' when 'error' then 'forget' end as op,
+COMMANDS = """commands as (select event_id as seq, user_id as memory_id, floor(epoch(ts))::bigint as moment, case event_type when 'signup' then 'remember' when 'click' then 'corroborate' when 'view' then 'review' when 'purchase' then 'promote' when 'error' then 'forget' end as op,
   's' || json_extract_string(props, '$.k') as label from events)"""
-CLAIMS = """claims as (select o_orderkey as id, o_orderpriority as scope, epoch(o_orderdate)::bigint as recorded_at, case o_orderstatus when 'F' then 'adopted' when 'O' then 'proposed' else 'withdrawn' end as status, o_custkey as memory_id, o_totalprice as weight from orders)"""
+CLAIMS = """claims as (select o_orderkey as id, o_orderpriority as scope, floor(epoch(o_orderdate))::bigint as recorded_at, case o_orderstatus when 'F' then 'adopted' when 'O' then 'proposed' else 'withdrawn' end as status, o_custkey as memory_id, o_totalprice as weight from orders)"""
 EVIDENCE = """evidence as (select l_orderkey as claim_id, l_linenumber as line, l_partkey as memory_id, case when l_suppkey % 7 <> 0 then l_suppkey end as origin_id, case l_returnflag when 'A' then 'supports' when 'R' then 'challenges' else 'context' end as stance,
-  epoch(l_shipdate)::bigint as recorded_at, case when l_linestatus = 'O' then epoch(l_shipdate)::bigint + 30 * 86400 end as retracted_at from lineitem)"""
+  floor(epoch(l_shipdate))::bigint as recorded_at, case when l_linestatus = 'O' then floor(epoch(l_shipdate))::bigint + 30 * 86400 end as retracted_at from lineitem)"""
