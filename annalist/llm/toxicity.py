@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import prepare, slices, text_bytes, texts_of
+from annalist.llm.common import dropped, gathered, prepare, slices, stored, text_bytes, texts_of
 from annalist.llm.words import SIGNS, word_bounds, word_hashes
 
 #: Labelled rows that a fit reads at most, half of them of grade 0: those with the least hash of their id.
@@ -103,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """Fit on at most ``sample`` labelled texts: ``labels`` (doc_id, ``label`` = 0, 1, ...; null: not labelled).
 
     If the labels only say yes or no and ``spread`` is set, texts with the label are graded 1 or 2 by whether the number of
-    features that go with the label is above the median, so that the model learns mild and severe cases.  Without labelled rows every score is 0 and nothing is rejected.
+    features that go with the label is above the median, so that the model learns mild and severe cases.  Without rows of a
+    grade above 0, or features that go with it, every score is 0 and nothing is rejected.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -119,36 +120,60 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 blobs = [np.unique(hashes[rows == k]).tobytes() for k in range(b - a)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(blobs, pa.binary())], names=["doc_id", "grade", "features"])
 
+    bad, good = totals.get(True, 0), totals.get(False, 0)
+    bad_sample, sampled = min(bad, sample // 2), min(bad, sample // 2) + min(good, sample // 2)
+    nothing = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
+    if not bad_sample:
+        return nothing
     texts = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
-    table = texts.mapInArrow(found, "doc_id long, grade long, features binary").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    if not len(table):
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
-    grades, blobs = table["grade"].to_numpy(np.int64), list(table.pop("features"))
-    # most features are in few texts; counts by a hash rule those out before anything is sorted
-    rough, least = np.zeros(1 << 22, np.uint32), min(LEAST_TEXTS, max(2, len(blobs) // 20))
-    for x in blobs:
-        np.add.at(rough, np.frombuffer(x, np.uint64) >> np.uint64(42), 1)
-    sets = []
-    while blobs:
-        x = np.frombuffer(blobs.pop(), np.uint64)
-        sets.append(x[rough[x >> np.uint64(42)] >= least])
-    sets.reverse()
-    rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
-    keys, columns, texts_with = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    table = stored(texts.mapInArrow(found, "doc_id long, grade long, features binary").dropDuplicates(["doc_id"]), "features")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            keys, at, n = np.unique(every, return_inverse=True, return_counts=True)
+            yes = np.bincount(at, np.repeat(batch.column(0).to_numpy() > 0, list(map(len, sets))), len(keys))
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n), pa.array(yes.astype(np.int64))], names=["key", "n", "yes"])
+
     # features whose frequency depends on the label, by a chi-square test; the others would only be learnt by heart
+    share = bad_sample / sampled
+    expected = F.col("n") * share
+    sums = table.select("grade", "features").mapInArrow(counted, "key long, n long, yes long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
+    least = min(LEAST_TEXTS, max(2, sampled // 20))
+    telling = sums.where((F.col("n") >= least) & ((F.col("yes") - expected) ** 2 / expected / max(1 - share, 1e-9) >= LEAST_CHI))
+    chosen_keys = telling.select("key", (F.col("yes") > expected).alias("more")).toPandas()
+    keys = chosen_keys["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, more = keys[order], chosen_keys["more"].to_numpy(bool)[order]
+    if not len(keys):
+        return nothing
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for x in batch.column(2).to_pylist():
+                x = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                own.append(at[keys[at] == x].astype(np.int32).tobytes())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["doc_id", "grade", "features"])
+
+    small = table.mapInArrow(kept, "doc_id long, grade long, features binary").toPandas().sort_values("doc_id")
+    dropped(table)
+    if not len(small):
+        return nothing
+    sets = [np.frombuffer(x, np.int32) for x in small["features"]]
+    grades = small["grade"].to_numpy(np.int64)
     toxic = grades > 0
-    yes = np.bincount(columns, toxic[rows], len(keys))
-    expected = texts_with * max(toxic.mean(), 1e-9)
-    chi = (yes - expected) ** 2 / expected / max(1 - toxic.mean(), 1e-9)
-    keep = (texts_with >= least) & (chi >= LEAST_CHI)
-    rows, columns, keys = rows[keep[columns]], (np.cumsum(keep) - 1)[columns[keep[columns]]], keys[keep]
+    rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    columns = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
     if grades.max() == 1 and spread and not toxic.all():
-        telling = np.bincount(rows, ((yes > expected)[keep])[columns], len(grades))
+        telling = np.bincount(rows, more[columns], len(grades))
         grades = grades + (toxic & (telling > np.median(telling[toxic])))
     weights, thresholds = fit_ordinal(rows, columns, len(keys), grades)
     # the sample has more of the graded texts than the corpus: the odds are set right
-    odds = lambda bad, good: np.log(max(bad, 1) / max(good, 1))
-    thresholds = thresholds + odds(toxic.sum(), (~toxic).sum()) - odds(totals.get(True, 0), totals.get(False, 0))
+    odds = lambda x, y: np.log(max(x, 1) / max(y, 1))
+    thresholds = thresholds + odds(toxic.sum(), (~toxic).sum()) - odds(bad, good)
     return Ordinal(keys, weights, thresholds)
 
 
