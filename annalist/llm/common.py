@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,43 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(function):
+    """The same function over Arrow batches, giving freed memory back to the system after every 64 MB and at the end: workers
+    live on, and what their allocators keep counts against the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
+            size = 0
+            for batch in batches:
+                size += batch.nbytes
+                yield batch
+                if size > 64 << 20:
+                    size = 0
+                    release()
+
+        yield from function(counted())
+        release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is
+    collected, which on an idle driver may take long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -119,19 +157,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths) + np.arange(total)
 
 
-def binaries(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
-def packed(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-    """Records (a structured array) as one binary row per bucket: the shuffle moves a few blobs, not a row per record."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, records = bucket[order], records[order]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.r_[cut[1:], len(bucket)] if len(bucket) else cut
-    return pa.record_batch([pa.array(bucket[cut].astype(np.int32), pa.int32()), binaries([records[a:b].tobytes() for a, b in zip(cut, ends, strict=True)])], names=["bucket", "blob"])
-
-
 PACKED = "bucket int, blob binary"
 
 
@@ -140,15 +165,33 @@ def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
+def planes(records: np.ndarray) -> bytes:
+    """Records byte by byte: the first bytes of all, then the second ones; the shuffle's compression finds what is alike."""
+    return records.view(np.uint8).reshape(len(records), records.dtype.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, dtype: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype).ravel()
+
+
+def dealt(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """Records (a structured array) as one binary row per bucket: the shuffle moves a few blobs, not a row per record."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, records = bucket[order], records[order]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    return pa.record_batch([pa.array(bucket[cut].astype(np.int32)), pa.array([planes(records[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True)], pa.binary())], names=["bucket", "blob"])
+
+
+def buckets_of(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
     """The records of one bucket after the other."""
     now, parts = None, []
     for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if b != now and parts:
                 yield np.concatenate(parts)
                 parts = []
             now = b
-            parts.append(np.frombuffer(blob, dtype))
+            parts.append(unplanes(data, dtype))
     if parts:
         yield np.concatenate(parts)

@@ -11,7 +11,6 @@ A block is decoded on its own, and inside it from every mark on its own.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import dropped, gathered, partitions, prepare, shared_path, slices, stored, text_bytes, texts_of
+from annalist.llm.common import dropped, gathered, partitions, prepare, release_shuffles, shared_path, slices, stored, text_bytes, texts_of
 from annalist.llm.tokens import END_ID, Encoder, vocabulary_path, with_end
 
 LIMIT = 18
@@ -143,8 +142,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
     texts = texts_of(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     kept = stored(texts.mapInArrow(tokenized, "part long, doc_id long, at long, n long, ids binary, seen binary"), "ids")
     del texts
-    gc.collect()
-    spark._jvm.System.gc()  # the texts' shuffle files have no reader any more; Spark deletes them once it notices
+    release_shuffles(spark)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)

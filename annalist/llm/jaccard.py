@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import PACKED, by_bucket, mix, packed, partitions, prepare, slices, stored, text_bytes, texts_of, unpacked
+from annalist.llm.common import PACKED, buckets_of, by_bucket, dealt, gathered, lean, mix, partitions, prepare, release_shuffles, slices, stored, text_bytes, texts_of
 from annalist.llm.components import components
 from annalist.llm.words import LOWER, distinct_rows, shingles, word_bounds, word_hashes
 
@@ -24,9 +24,15 @@ from annalist.llm.words import LOWER, distinct_rows, shingles, word_bounds, word
 #: unrelated sets share, are only needed from sets with more than SPARE parts that are so empty.
 SPARE = 1
 #: Set hashes that a task remembers, so as to sign copies of a set once.
-SEEN = 500_000
-RECORD = np.dtype([("key", "u8"), ("doc", "i8")])
+SEEN = 200_000
+#: Elements seen this often, by counts of those that come twice in 8 MB of text, are common; so many are sent to all tasks
+#: at most.  What is common changes how much is compared, not the result.
+COMMON, MOST_COMMON = 24, 500_000
+#: Documents that are sent to all tasks at most; more are joined by a shuffle.
+BROADCAST = 2_000_000
 PAIR = np.dtype([("a", "i8"), ("b", "i8")])
+#: One of the first elements of a document with n, and its place among them.
+ENTRY = np.dtype([("doc", "i8"), ("n", "i4"), ("element", "u8"), ("place", "i4")])
 
 
 class Bands:
@@ -47,50 +53,81 @@ class Bands:
         return np.searchsorted(self.starts, sizes, "right") - 1
 
 
-def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of all sets (ascending distinct hashes each)."""
+def signatures(sets: list[np.ndarray], num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of all sets (ascending distinct hashes each).
+
+    Elements in ``common`` (ascending) are left out of signatures: taking the same elements from two sets does not make them
+    differ more.  A set that is left with too few to tell it from others also signs with all its elements, so two of them meet.
+    """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     if not sizes.sum():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     bands = Bands(num, den, int(sizes.max()))
     band, out = bands.of(np.maximum(sizes, 1)), []
     x = np.concatenate(sets)
-    third = ((x & np.uint64(0xFFFFFFFF)) * np.uint64(3)) >> np.uint64(32)
-    sums = [np.r_[np.uint64(0), np.cumsum(np.where(third == t, x, np.uint64(0)), dtype=np.uint64)] for t in range(3)]
-    numbers = [np.r_[0, np.cumsum(third == t)] for t in range(3)]
-    high, owner = x >> np.uint64(32), np.repeat(np.arange(len(sets)), sizes)
+    rare = ~member_of(x, np.zeros(0, np.uint64) if common is None else common)
     for more in (0, 1):
         level = band + more
         k = bands.differ[level]
-        parts = np.where((k > 0) & (sizes > 0), k // 2 + 1 + SPARE, 0)  # k = 0: only equal sets, which are found by their hash
-        base = np.cumsum(parts) - parts
-        total = int(parts.sum())
-        if not total:
-            continue
-        # sets are ascending, so parts of the domain are stretches of them
-        cell = base[owner] + ((high * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        live = parts[owner] > 0
-        if not live.all():
-            cell = np.maximum.accumulate(np.where(live, cell, -1))  # sets without parts add nothing: masked below
-            at = np.searchsorted(cell[live], np.arange(total + 1))
-            index = np.r_[np.flatnonzero(live), len(x)]
-            begin, end = index[at[:-1]], index[np.maximum(at[1:] - 1, 0)] + 1
-            end = np.where(at[1:] > at[:-1], end, begin)
-        else:
-            at = np.searchsorted(cell, np.arange(total + 1))
-            begin, end = at[:-1], at[1:]
-        of = np.repeat(np.arange(len(sets)), parts)
-        place = np.arange(total) - base[of]
-        part_sum = [s[end] - s[begin] for s in sums]
-        part_n = [c[end] - c[begin] for c in numbers]
-        whole, whole_n = part_sum[0] + part_sum[1] + part_sum[2], part_n[0] + part_n[1] + part_n[2]
-        empty = [whole_n == n for n in part_n]
-        weak = np.bincount(of[empty[0] | empty[1] | empty[2]], minlength=len(sets))
-        for t in range(3):
-            tag = mix(((level[of].astype(np.uint64) << np.uint64(34)) | (place.astype(np.uint64) << np.uint64(2))) + np.uint64(t))
-            keep = ~empty[t] | (weak[of] > SPARE)
-            out.append((mix(whole - part_sum[t] + tag)[keep], of[keep]))
-    return np.concatenate([s for s, _ in out]) if out else np.zeros(0, np.uint64), np.concatenate([o for _, o in out]) if out else np.zeros(0, np.int64)
+        # k = 0: only equal sets, which are found by their hash
+        parts = np.where((k > 0) & (sizes > 0), k // 2 + 1 + SPARE, 0)
+        sig, of, weak = _sign(x, np.repeat(np.arange(len(sets)), sizes), rare, parts, level, 0)
+        out.append((sig, of))
+        again = np.where(weak > SPARE, parts, 0)
+        if again.any():
+            out.append(_sign(x, np.repeat(np.arange(len(sets)), sizes), np.ones(len(x), bool), again, level, 1)[:2])
+    return np.concatenate([s for s, _ in out]), np.concatenate([o for _, o in out])
+
+
+def _sign(x: np.ndarray, owner: np.ndarray, use: np.ndarray, parts: np.ndarray, level: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, their sets, and each set's number of parts with a signature of no element; of the sets with parts, by the
+    elements in use.  With form 1, sets with more than SPARE such parts have the signatures of no element too."""
+    total, base = int(parts.sum()), np.cumsum(parts) - parts
+    use = use & (parts[owner] > 0)
+    x, owner = x[use], owner[use]
+    of = np.repeat(np.arange(len(parts)), parts)
+    # sets are ascending, so parts of the domain are stretches of them
+    cell = base[owner] + (((x >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    at = np.searchsorted(cell, np.arange(total + 1))
+    third = ((x & np.uint64(0xFFFFFFFF)) * np.uint64(3)) >> np.uint64(32)
+    sums, numbers = [], []
+    for t in range(3):
+        s = np.r_[np.uint64(0), np.cumsum(np.where(third == t, x, np.uint64(0)), dtype=np.uint64)]
+        c = np.r_[0, np.cumsum(third == t)]
+        sums.append(s[at[1:]] - s[at[:-1]])
+        numbers.append(c[at[1:]] - c[at[:-1]])
+    whole, number = sums[0] + sums[1] + sums[2], numbers[0] + numbers[1] + numbers[2]
+    empty = [number == n for n in numbers]
+    weak = np.bincount(of[empty[0] | empty[1] | empty[2]], minlength=len(parts))
+    place = np.arange(total) - base[of]
+    out = []
+    for t in range(3):
+        tag = mix(((level[of].astype(np.uint64) << np.uint64(34)) | (place.astype(np.uint64) << np.uint64(3))) + np.uint64(2 * t + form))
+        keep = ~empty[t] | (weak[of] > SPARE) if form else ~empty[t]
+        out.append((mix(whole - sums[t] + tag)[keep], of[keep]))
+    return np.concatenate([s for s, _ in out]), np.concatenate([o for _, o in out]), weak
+
+
+def blob(keys: np.ndarray, docs: np.ndarray) -> bytes:
+    """Signatures and documents, by document: five bytes of each key and the steps from document to document, byte by byte,
+    so that the shuffle's compression finds the zeros."""
+    order = np.argsort(docs, kind="stable")
+    keys, docs = keys[order], docs[order]
+    steps = np.diff(docs, prepend=docs[:1])
+    return docs[:1].tobytes() + keys.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes() + steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(data, np.uint8)
+    n = (len(raw) - 8) // 13
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :5] = raw[8 : 8 + 5 * n].reshape(5, n).T
+    steps = np.ascontiguousarray(raw[8 + 5 * n :].reshape(8, n).T).view(np.int64).ravel()
+    return keys.view(np.uint64).ravel(), np.cumsum(steps) + np.frombuffer(data, np.int64, 1)[0]
+
+
+def member_of(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x if len(ascending) else np.zeros(len(x), bool)
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -102,10 +139,27 @@ def row_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     data, offsets = text_bytes(batch.column(1))
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 1 << 20):
         yield batch.column(0).slice(a, b - a).to_pylist(), row_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each element, at its hash, of 4 to 8 times as many bits; a power of two."""
+    bits = np.zeros(max(8, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 8, bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """No fewer than the elements that two sets share: a bit that only one of them has is an element that the other lacks."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):  # the same bits at half the length
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+
+
 def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))
 
@@ -120,93 +174,158 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     Nothing is approximated and no group is capped.  Copies of a set are linked through their hash, without pairs.  In a
     group that shares a signature the smallest doc_id is checked against every other.  Documents of a group that are then
-    in one component need no check; others are checked against each other unless their distances to the smallest rule
-    a link out (Jaccard distance is a metric).
+    in one component need no check; others are checked against each other if a prefix filter, which loses no link, allows one.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts, width = texts_of(docs), partitions(spark)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            data, offsets = text_bytes(batch.column(1))
+            every = [s for a, b in slices(offsets, 1 << 20) for s in row_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)]
+            x, n = np.unique(np.concatenate(every), return_counts=True)
+            yield pa.record_batch([pa.array(x[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["x", "n"])
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in _sets(batch, size):
                 h = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "n_shingles", "h1", "h2"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
+        nothing = held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for ids, sets in _sets(batch, size):
                 new = []
                 for i, s in enumerate(sets):
-                    if len(s) and (h := set_hash(s)) not in seen:
+                    if len(s) and (h := set_hash(s)[1]) not in seen:
                         seen.add(h)
                         new.append(i)
                 if len(seen) > SEEN:
                     seen.clear()
-                sig, of = signatures([sets[i] for i in new], num, den)
-                records = np.empty(len(sig), RECORD)
-                records["key"], records["doc"] = sig, np.array([ids[i] for i in new], np.int64)[of]
-                yield packed((sig % np.uint64(buckets)).astype(np.int64), records)
+                sig, of = signatures([sets[i] for i in new], num, den, common)
+                sig, doc = np.concatenate([held[0], sig]), np.concatenate([held[1], np.array([ids[i] for i in new], np.int64)[of]])
+                if len(sig) < 500_000:
+                    held = sig, doc
+                    continue
+                held = nothing
+                yield signed_blobs(sig, doc)
+        if len(held[0]):
+            yield signed_blobs(*held)
+
+    def signed_blobs(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, sig, doc = bucket[order].astype(np.int32), sig[order], doc[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        return pa.record_batch([pa.array(bucket[cut]), pa.array([blob(sig[x:y], doc[x:y]) for x, y in zip(cut, np.r_[cut[1:], len(sig)], strict=True)], pa.binary())], names=["bucket", "blob"])
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of two documents or more: (group, smallest, the others)."""
-        for records in unpacked(batches, RECORD):
-            records = records[np.lexsort((records["doc"], records["key"]))]
-            key, doc = records["key"], records["doc"]
-            fresh = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+        """Groups of two documents or more that share a signature: their ids, ascending."""
+
+        def groups_of(parts: list[bytes]) -> pa.RecordBatch:
+            both = [unblob(p) for p in parts]
+            key, doc = np.concatenate([k for k, _ in both]), np.concatenate([d for _, d in both])
+            order = np.argsort(key, kind="stable")
+            shared = np.flatnonzero(key[order][1:] == key[order][:-1])
+            some = np.zeros(len(key), bool)
+            some[shared] = some[shared + 1] = True
+            key, doc = key[order][some], doc[order][some]
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
             key, doc = key[fresh], doc[fresh]
-            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            lengths = np.diff(np.r_[heads, len(key)])
-            some = lengths > 1
-            known: dict[bytes, int] = {}
-            for a, n in zip(heads[some].tolist(), lengths[some].tolist(), strict=True):
-                known.setdefault(doc[a : a + n].tobytes(), int(key[a : a + 1].view(np.int64)[0]))
-            yield pa.record_batch([pa.array(list(known.values()), pa.int64()), pa.array(list(known), pa.binary())], names=["group", "members"])
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            ends = np.r_[heads[1:], len(key)]
+            known: dict[bytes, None] = {}
+            for x, y in zip(heads.tolist(), ends.tolist(), strict=True):
+                if y - x > 1:
+                    known[doc[x:y].tobytes()] = None
+            return pa.record_batch([pa.array(list(known), pa.binary())], names=["members"])
+
+        now, parts = None, []
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != now and parts:
+                    yield groups_of(parts)
+                    parts = []
+                now = b
+                parts.append(data)
+        if parts:
+            yield groups_of(parts)
 
     def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 4 << 20):
             lists = [np.frombuffer(m, np.int64) for m in batch.column(0).to_pylist()]
-            if lists:
-                records = np.empty(sum(map(len, lists)) - len(lists), PAIR)
-                records["a"] = np.repeat([m[0] for m in lists], [len(m) - 1 for m in lists])
-                records["b"] = np.concatenate([m[1:] for m in lists])
-                records = np.unique(records)
-                yield packed((mix(records["a"].astype(np.uint64) * np.uint64(31) + records["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), records)
+            records = np.empty(sum(map(len, lists)) - len(lists), PAIR)
+            records["a"] = np.repeat([m[0] for m in lists], [len(m) - 1 for m in lists])
+            records["b"] = np.concatenate([m[1:] for m in lists])
+            records = np.unique(records)
+            yield dealt((mix(records["a"].astype(np.uint64) * np.uint64(31) + records["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), records)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records in unpacked(batches, PAIR):
+        for records in buckets_of(batches, PAIR):
             records = np.unique(records)
             yield pa.record_batch([pa.array(records["a"]), pa.array(records["b"])], names=["a", "b"])
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first elements of each set, rare ones first: any two sets that link share one of them."""
         for batch in batches:
-            for g, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(m, np.int64)
-                if len(m) > 2:
-                    yield pa.record_batch([pa.array(np.full(len(m) - 1, g)), pa.array(np.full(len(m) - 1, m[0])), pa.array(m[1:])], names=["group", "leader", "doc"])
+            for ids, sets in _sets(batch, size):
+                found = []
+                for doc, s in zip(ids, sets, strict=True):
+                    usual = member_of(s, common)
+                    r = np.empty(min(len(s), len(s) - -(-num * len(s) // den) + 1), ENTRY)
+                    r["doc"], r["n"], r["element"], r["place"] = doc, len(s), np.concatenate([s[~usual], s[usual]])[: len(r)], np.arange(len(r))
+                    found.append(r)
+                r = np.concatenate(found)
+                yield dealt((mix(r["element"]) >> np.uint64(40)) % np.uint64(buckets), r)
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Elements that only one document has join nothing."""
+        for r in buckets_of(batches, ENTRY):
+            r = r[np.argsort(r["element"], kind="stable")]
+            if len(r):
+                fresh = np.r_[True, r["element"][1:] != r["element"][:-1]]
+                r = r[~(fresh & np.r_[fresh[1:], True])]
+                yield pa.record_batch([*(pa.array(r[c].astype(np.int64)) for c in ("doc", "n")), pa.array(r["element"].view(np.int64)), pa.array(r["place"].astype(np.int64))], names=["doc_id", "n", "element", "place"])
 
     buckets = 8 * width
-    of = stored(texts.mapInArrow(hashed, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
-    groups = stored(by_bucket(texts.mapInArrow(signed, PACKED), buckets).mapInArrow(grouped, "group long, members binary"), "groups")
-    stars = stored(by_bucket(groups.select("members").mapInArrow(starred, PACKED), buckets).mapInArrow(distinct, "a long, b long"), "stars")
-    first = checked(texts, of, stars, size, num, den)
-    part = components(first.where("linked").select("a", "b"))
-
-    # groups whose documents are in more than one component yet
-    member = groups.mapInArrow(listed, "group long, leader long, doc long").join(part.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    split = member.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("group")
-    far = first.select(F.col("a").alias("leader"), F.col("b").alias("doc"), "least", "most")
-    open_ = stored(member.join(split, "group").join(far, ["leader", "doc"]).select("group", "doc", "component", "least", "most"), "open")
-    x, y = (open_.select("group", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "component", "least", "most"))) for s in "xy")
-    reach = (den - num) / den + 1e-9
-    rest = x.join(y, "group").where(f"doc_x < doc_y and component_x <> component_y and least_x <= most_y + {reach} and least_y <= most_x + {reach}")
-    rest = stored(rest.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct(), "rest")
-    second = checked(texts, of, rest, size, num, den)
+    often = texts.mapInArrow(lean(counted), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "x").limit(MOST_COMMON)
+    common = np.sort(often.select("x").toPandas()["x"].to_numpy(np.int64).view(np.uint64))
+    of = stored(texts.mapInArrow(lean(hashed), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
+    pairs = stored(by_bucket(texts.mapInArrow(lean(signed), PACKED), buckets).mapInArrow(lean(lambda batches: starred(grouped(batches))), PACKED), "pairs")
+    release_shuffles(spark)
+    stars = stored(by_bucket(pairs, buckets).mapInArrow(lean(distinct), "a long, b long"), "stars")
+    # the smallest partner of every document first
+    least = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
+    first = checked(texts, of, least, size, num, den).where("linked").select("a", "b")
+    part = components(first)
+
+    # then the smallest of a group with those of its group in another component
+    named = stored(named_ends(stars, part), "named")
+    second = checked(texts, of, named.where("component <> component_a").join(least, ["a", "b"], "left_anti").select("a", "b"), size, num, den).where("linked").select("a", "b")
+    part = components(first.unionByName(second))
+    # what is left: groups whose other documents are in several components; of these, pairs that share one of their first
+    # elements, rare ones first, are checked
+    named = named_ends(stars, part)
+    split = named.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("a")
+    stars = stored(named.join(split, "a").select("a", "b", "component"), "open")
+    # at most as many as a document has signatures
+    leaders = stars.groupBy("b", "component").agg(F.collect_set("a").alias("leaders")).withColumnRenamed("b", "doc_id")
+    release_shuffles(spark)
+    entry = by_bucket(texts.join(small(stars.select(F.col("b").alias("a"), "b")), "doc_id", "left_semi").mapInArrow(lean(firsts), PACKED), buckets)
+    entry = entry.mapInArrow(lean(meeting), "doc_id long, n long, element long, place long").distinct().join(leaders, "doc_id")
+    rest = stored(alike(entry, num, den), "rest")
+    release_shuffles(spark)
+    third = checked(texts, of, rest, size, num, den)
 
     same = of.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     rep = of.where("n_shingles > 0").join(same, ["h1", "h2"]).select("doc_id", "rep")
-    links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
+    links = first.unionByName(second).unionByName(third.where("linked").select("a", "b"))
     # links and repeated ids go from document to representative, so that copies add no edges
     ends = stored(links.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(rep.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b").where("a <> b")).distinct(), "links")
     final = components(ends).withColumnRenamed("id", "rep")
@@ -214,37 +333,65 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return of.join(labels, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def checked(texts: DataFrame, of: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with ``linked`` and bounds ``least``, ``most`` of their Jaccard distance, from their sets.
+def named_ends(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs (a, b) with component_a and component (of b); an id that ``part`` (id, component) lacks is its own."""
+    ends = pairs.join(part.withColumnsRenamed({"id": "a", "component": "component_a"}), "a", "left").join(part.withColumnRenamed("id", "b"), "b", "left")
+    return ends.select("a", "b", F.coalesce("component_a", "a").alias("component_a"), F.coalesce("component", "b").alias("component"))
 
-    Pairs whose sizes alone rule a link out are not compared: the ratio of their sizes bounds their distance.
-    """
-    sizes = of.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    sized = pairs.join(sizes.withColumnsRenamed({"doc_id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"doc_id": "b", "n": "nb"}), "b")
-    sized = stored(sized.withColumn("near", F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")), "sized")
-    near = sized.where("near").select("a", "b")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def alike(entry: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a group and may link: with t the elements that linked sets of their
+    sizes share at least, both have a common element before their last t - 1."""
+    columns = ("doc_id", "component", "n", "place", "leaders")
+    x, y = (entry.select("element", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "xy")
+    t = f"(({num} * (n_x + n_y) + {num + den - 1}) div {num + den})"
+    rule = f"doc_id_x < doc_id_y and component_x <> component_y and {den} * least(n_x, n_y) >= {num} * greatest(n_x, n_y) and place_x <= n_x - {t} and place_y <= n_y - {t} and arrays_overlap(leaders_x, leaders_y)"
+    return x.join(y, "element").where(rule).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+
+
+def checked(texts: DataFrame, of: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) with ``linked``, from their sets; pairs whose sizes or sketches rule a link out are left out."""
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in _sets(batch, size):
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+            keep = []
+            for nx, ny, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                same = most_shared(x, y, nx, ny)
+                keep.append(den * same >= num * (nx + ny - same))
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = small(pairs)
+    sets = of.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
+    near = both.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
+    near = stored(near.mapInArrow(lean(likely), "a long, b long"), "near")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inter, union = [], []
+            linked = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
                 same = int((both[1:] == both[:-1]).sum())
-                inter.append(same)
-                union.append(len(both) - same)
-            i, u = np.array(inter, np.int64), np.array(union, np.int64)
-            d = 1.0 - i / np.maximum(u, 1)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(den * i >= num * u), pa.array(d), pa.array(d)], names=["a", "b", "linked", "least", "most"])
-
-    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(made, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
-    both = near.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b").select("a", "b", "sa", "sb")
-    out = both.mapInArrow(compared, "a long, b long, linked boolean, least double, most double")
-    apart = sized.where("not near").select("a", "b", F.lit(False).alias("linked"), F.expr("1.0D - least(na, nb) / greatest(na, nb)").alias("least"), F.lit(1.0).alias("most"))
-    return stored(out.unionByName(apart), "checked")
+                linked.append(den * same >= num * (len(both) - same))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return stored(with_sets(texts, near, size).mapInArrow(lean(compared), "a long, b long, linked boolean"), "checked")
+
+
+def with_sets(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b, ...) with the sets of both, as binary: (a, b, ..., sa, sb)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sets in _sets(batch, size):
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+
+    ids = small(pairs)
+    sets = stored(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(made), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
+    return pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b").select(*pairs.columns, "sa", "sb")
+
+
+def small(pairs: DataFrame) -> DataFrame:
+    """The ids of pairs, sent to all tasks in a join if they are at most BROADCAST."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    release_shuffles(pairs.sparkSession)
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids

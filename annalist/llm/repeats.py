@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import by_bucket, gathered, lean, mix, partitions, prepare, ranges, release_shuffles, slices, stored, text_bytes
+from annalist.llm.common import buckets_of, by_bucket, dealt, gathered, lean, mix, partitions, prepare, ranges, release_shuffles, slices, stored, text_bytes
 from annalist.llm.suffixes import repeated
 from annalist.llm.words import ODD, TABLE
 
@@ -29,36 +29,6 @@ STRETCH = np.dtype([("anchor", "u8"), ("content", "u8"), ("row", "i8"), ("start"
 NEED = np.dtype([("row", "i8"), ("start", "i4"), ("end", "i4"), ("anchor", "u8"), ("kind", "u1")])
 
 
-def planes(records: np.ndarray) -> bytes:
-    """Records byte by byte: the first bytes of all, then the second ones; the shuffle's compression finds what is alike."""
-    return records.view(np.uint8).reshape(len(records), records.dtype.itemsize).T.tobytes()
-
-
-def unplanes(data: bytes, dtype: np.dtype) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(dtype.itemsize, -1)
-    return np.ascontiguousarray(raw.T).view(dtype).ravel()
-
-
-def dealt(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    bucket, records = bucket[order], records[order]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-    return pa.record_batch([pa.array(bucket[cut].astype(np.int32)), pa.array([planes(records[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True)], pa.binary())], names=["bucket", "blob"])
-
-
-def buckets_of(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
-    now, parts = None, []
-    for batch in batches:
-        for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != now and parts:
-                yield np.concatenate(parts)
-                parts = []
-            now = b
-            parts.append(unplanes(data, dtype))
-    if parts:
-        yield np.concatenate(parts)
-
-
 def least(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of all ``width`` neighbours."""
     step = 1
