@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import mix, prepare, ranges, slices, text_bytes, texts_of
+from annalist.llm.common import lean, mix, prepare, ranges, slices, text_bytes, texts_of
 from annalist.llm.words import ODD, SIGNS, word_bounds, word_hashes
 
 #: Seeds: runs of words, of which those at 1 count.  Any two substitutions in 20 words leave one of them whole.
@@ -101,7 +101,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WOR
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     out = None
     for seeds in blocks_of(items):
-        found = texts_of(docs).mapInArrow(_rows(seeds, least_words, least_share), ", ".join(f"{n} long" for n in NAMES))
+        found = texts_of(docs).mapInArrow(lean(_rows(seeds, least_words, least_share)), ", ".join(f"{n} long" for n in NAMES))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -142,7 +142,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEA
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(kept, docs.schema)
+        docs = docs.mapInArrow(lean(kept), docs.schema)
     return docs
 
 

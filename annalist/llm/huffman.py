@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import dropped, gathered, partitions, prepare, release_shuffles, shared_path, slices, stored, text_bytes, texts_of
+from annalist.llm.common import dropped, gathered, lean, partitions, prepare, release_shuffles, shared_path, slices, stored, text_bytes, texts_of
 from annalist.llm.tokens import END_ID, Encoder, vocabulary_path, with_end
 
 LIMIT = 18
@@ -140,7 +140,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
 
     names = ["part", "doc_id", "at", "n", "ids", "seen"]
     texts = texts_of(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    kept = stored(texts.mapInArrow(tokenized, "part long, doc_id long, at long, n long, ids binary, seen binary"), "ids")
+    kept = stored(texts.mapInArrow(lean(tokenized), "part long, doc_id long, at long, n long, ids binary, seen binary"), "ids")
     del texts
     release_shuffles(spark)
 
@@ -155,7 +155,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
         kinds = np.flatnonzero(total)
         yield pa.record_batch([pa.array(kinds), pa.array(total[kinds])], names=["id", "n"])
 
-    counts = kept.where("seen is not null").select("seen").coalesce(partitions(spark) // 16 + 1).mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    counts = kept.where("seen is not null").select("seen").coalesce(partitions(spark) // 16 + 1).mapInArrow(lean(counted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     lengths = dict(kept.where("seen is not null").select("part", "n").collect())
     begins, total = {}, 0
     for part in sorted(lengths):
@@ -184,7 +184,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
         if held:
             yield block()
 
-    kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(blocks, "first long, docs binary, counts binary, bits binary, marks binary").write.parquet(f"{to}/blocks")
+    kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(lean(blocks), "first long, docs binary, counts binary, bits binary, marks binary").write.parquet(f"{to}/blocks")
     dropped(kept)
 
 
@@ -204,7 +204,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.record_batch([pa.array(docs), pa.array(first + ends - counts), pa.array(counts), values], names=["doc_id", "start", "n_tokens", "ids"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")  # blocks are large
-    return spark.read.parquet(f"{folder}/blocks").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.parquet(f"{folder}/blocks").mapInArrow(lean(decoded), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import gathered, prepare, slices, stored, text_bytes, texts_of
+from annalist.llm.common import gathered, lean, prepare, slices, stored, text_bytes, texts_of
 from annalist.llm.tokens import END_ID, Encoder, vocabulary_path, with_end
 
 WINDOW = 4096
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_wi
             at += len(ids)
         yield _batch(rows, True)
 
-    first = stored(texts_of(docs).mapInArrow(packed, LOOSE), "packing")
+    first = stored(texts_of(docs).mapInArrow(lean(packed), LOOSE), "packing")
     done = first.where("part is null").drop("part", "at", "ids")
     # one row per partition: at most as many as the stage had tasks
     lengths = {r["part"]: r["n"] for r in first.where("part is not null").groupBy("part").agg(F.sum("length").alias("n")).collect()}
@@ -154,4 +154,4 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_wi
             rows = [p for r in batch.to_pylist() for p in pieces_of([(r["doc_id"], r["start"], np.frombuffer(r["ids"], np.uint32), r["doc_tokens"])], begins[r["part"]] + r["at"], window, total, first_id)]
             yield _batch(rows, False)
 
-    return done.unionByName(first.where("part is not null").mapInArrow(merged, PIECE))
+    return done.unionByName(first.where("part is not null").mapInArrow(lean(merged), PIECE))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from annalist.llm.common import gathered, prepare, ranges, slices, text_bytes, texts_of
+from annalist.llm.common import gathered, lean, prepare, ranges, slices, text_bytes, texts_of
 from annalist.llm.tokens import KIND, runs, vocabulary_path
 
 #: Distinct pieces that a worker remembers; beyond it the half used least goes.
@@ -317,7 +317,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, s
 
     schema = "doc_id long, n_bytes long, n_chars long, n_tokens long, over_limit boolean, chars_within_limit long" + ", steps binary" * store
     names = [c.split()[0] for c in schema.split(", ")]
-    return texts_of(docs).mapInArrow(counted, schema)
+    return texts_of(docs).mapInArrow(lean(counted), schema)
 
 
 def steps(counts: np.ndarray) -> bytes:

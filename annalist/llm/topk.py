@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import prepare, stored
+from annalist.llm.common import lean, prepare, stored
 
 #: Vectors in a block of candidates, queries in a block of queries, candidate blocks that one task reads for its queries.
 CANDIDATES = 2048
@@ -150,8 +150,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
 
     kind = "block long, dims long, ids binary, vectors binary"
     whole = whole.select("vec_id", "v")
-    candidates = stored(whole.mapInArrow(blocks(CANDIDATES), kind), "candidates")
-    queries = stored(whole.where(F.col("vec_id") % every == 0).coalesce(max(1, whole.rdd.getNumPartitions() // every)).mapInArrow(blocks(QUERIES), kind), "queries")
+    candidates = stored(whole.mapInArrow(lean(blocks(CANDIDATES)), kind), "candidates")
+    queries = stored(whole.where(F.col("vec_id") % every == 0).coalesce(max(1, whole.rdd.getNumPartitions() // every)).mapInArrow(lean(blocks(QUERIES)), kind), "queries")
     tiles = candidates.groupBy("dims").agg(F.count("*").alias("n"))
     # every block of queries with every tile: a stated query set against all rows, in blocks
     numbered = candidates.withColumn("tile", F.pmod(F.xxhash64("block"), F.lit(1 << 20)))
@@ -178,7 +178,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
 
     both = numbered.unionByName(asked).select("dims", "tile", "kind", "ids", "vectors", "block")
     met = both.repartition("dims", "tile").sortWithinPartitions("dims", "tile", "kind").select("dims", "tile", "kind", "ids", "vectors")
-    part = met.mapInArrow(searched, "query_id long, vec_id long, score long")
+    part = met.mapInArrow(lean(searched), "query_id long, vec_id long, score long")
     # k rows of each query and tile at most
     order = F.struct((-F.col("score")).alias("minus"), "vec_id")
     lists = part.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import dropped, gathered, prepare, slices, stored, text_bytes, texts_of
+from annalist.llm.common import dropped, gathered, lean, prepare, slices, stored, text_bytes, texts_of
 from annalist.llm.words import SIGNS, word_bounds, word_hashes
 
 #: Labelled rows that a fit reads at most, half of them of grade 0: those with the least hash of their id.
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if not bad_sample:
         return nothing
     texts = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
-    table = stored(texts.mapInArrow(found, "doc_id long, grade long, features binary").dropDuplicates(["doc_id"]), "features")
+    table = stored(texts.mapInArrow(lean(found), "doc_id long, grade long, features binary").dropDuplicates(["doc_id"]), "features")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     # features whose frequency depends on the label, by a chi-square test; the others would only be learnt by heart
     share = bad_sample / sampled
     expected = F.col("n") * share
-    sums = table.select("grade", "features").mapInArrow(counted, "key long, n long, yes long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
+    sums = table.select("grade", "features").mapInArrow(lean(counted), "key long, n long, yes long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
     least = min(LEAST_TEXTS, max(2, sampled // 20))
     telling = sums.where((F.col("n") >= least) & ((F.col("yes") - expected) ** 2 / expected / max(1 - share, 1e-9) >= LEAST_CHI))
     chosen_keys = telling.select("key", (F.col("yes") > expected).alias("more")).toPandas()
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 own.append(at[keys[at] == x].astype(np.int32).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["doc_id", "grade", "features"])
 
-    small = table.mapInArrow(kept, "doc_id long, grade long, features binary").toPandas().sort_values("doc_id")
+    small = table.mapInArrow(lean(kept), "doc_id long, grade long, features binary").toPandas().sort_values("doc_id")
     dropped(table)
     if not len(small):
         return nothing
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
                 severity = above.sum(1)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(cells.argmax(1)), pa.array(severity), pa.array(severity >= reject)], names=["doc_id", "severity_grade", "expected_severity", "rejected"])
 
-    return texts_of(docs).mapInArrow(scored, "doc_id long, severity_grade long, expected_severity double, rejected boolean")
+    return texts_of(docs).mapInArrow(lean(scored), "doc_id long, severity_grade long, expected_severity double, rejected boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
@@ -207,4 +207,4 @@ def drop_toxic(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataF
                 keep[a:b] = model.at_least(model.scores(hashes, rows, b - a)).sum(1) < reject
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
