@@ -96,8 +96,8 @@ def recency_boost(spark, sf):
     hits = top_each(bm25(t, asked), "qid", 20, F.desc("relevance"), "id").join(t.select("id", "moment"), "id")
     newest = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("moment"), "id"))
     n = F.greatest(F.lit(1), F.floor(F.count("*").over(W.partitionBy("qid")) * 0.3))
-    score = F.round(F.col("relevance") / 100, 4)
-    return hits.withColumn("new", newest <= n).select("qid", "id", F.when(F.col("new"), F.round(F.least(score + 0.15, F.lit(1.0)), 4)).otherwise(score).alias("score"))
+    score = F.round(F.col("relevance") / 100, 6)
+    return hits.withColumn("new", newest <= n).select("qid", "id", F.when(F.col("new"), F.round(F.least(score + 0.15, F.lit(1.0)), 6)).otherwise(score).alias("score"))
 
 
 def search_pipeline(spark, sf):
@@ -160,7 +160,7 @@ select k.id, round(round(1.0::double - k.id * 0.01::double, 4) * case when j > 0
     "recency_boost": f"""with {M.TURNS}, q as (select item_id as qid, text as query from benchmark), {bm25_sql('turns', 'q')},
 h as (select qid, scores.id, relevance, moment from scores join turns on turns.id = scores.id qualify row_number() over (partition by qid order by relevance desc, scores.id) <= 20),
 r as (select *, row_number() over (partition by qid order by moment desc, id) as n, greatest(1, floor(count(*) over (partition by qid) * 0.3)) as m from h)
-select qid, id, case when n <= m then round(least(round(relevance / 100, 4) + 0.15, 1.0), 4) else round(relevance / 100, 4) end as score from r""",
+select qid, id, case when n <= m then round(least(round(relevance / 100, 6) + 0.15, 1.0), 6) else round(relevance / 100, 6) end as score from r""",
     "search_pipeline": f"""with {M.TURNS}, {FIXED}, {bm25_sql('turns', 'q')}, h as (select id, relevance from scores order by relevance desc, id limit 20),
 s as (select t.*, relevance from turns t join h on t.id = h.id), qt as (select list_distinct({tok('query')}) as k from q),
 n as (select distinct t.* from s join turns t on t.session_id = s.session_id and t.position between s.position - 3 and s.position + 3 where t.id not in (select id from h)),

@@ -10,80 +10,82 @@ from annalist.functions import vocab as V
 from annalist.sources import model as M
 from annalist.sources.phrases import phrases, phrases_sql
 
-C = F.col("content")
+def content():
+    return F.col("content")
+
 
 
 def normalize_dedup(spark, sf):
-    keyed = M.materials(spark, sf).groupBy(F.sha2(T.normal(C), 256).alias("key"))
+    keyed = M.materials(spark, sf).groupBy(F.sha2(T.normal(content()), 256).alias("key"))
     return keyed.agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("first_id", "copies")
 
 
 def normalize_inline(spark, sf):
-    return phrases(spark).select("id", T.normal(C).alias("key"))
+    return phrases(spark).select("id", T.normal(content()).alias("key"))
 
 
 def injection_flags(spark, sf):
     rows = M.materials(spark, sf).select("id", "content").unionByName(phrases(spark).select((-F.col("id")).alias("id"), "content"))
-    return rows.select("id", T.injection(C).alias("shape")).where("shape is not null")
+    return rows.select("id", T.injection(content()).alias("shape")).where("shape is not null")
 
 
 def negation_profile(spark, sf):
     rows = M.turns(spark, sf).select("source", "content").unionByName(phrases(spark).select("source", "content"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.negated(C)).alias("negated"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.negated(content())).alias("negated"))
 
 
 def latin_ratio(spark, sf):
-    return M.materials(spark, sf).groupBy("frame").agg(F.count("*").alias("n"), F.count_if(T.latin(C)).alias("latin"))
+    return M.materials(spark, sf).groupBy("frame").agg(F.count("*").alias("n"), F.count_if(T.latin(content())).alias("latin"))
 
 
 def stem_shared_tokens(spark, sf):
-    s = T.stems(C)
+    s = T.stems(content())
     rows = M.turns(spark, sf).select("id", "session_id", "position", s.alias("stems"))
     before = F.lag("stems").over(W.partitionBy("session_id").orderBy("position"))
     return rows.select("id", F.coalesce(F.size(F.array_intersect("stems", before)), F.lit(0)).alias("shared"))
 
 
 def predicate_group_inline(spark, sf):
-    return phrases(spark).select("id", T.domain(C).alias("domain"), T.latin(C).alias("latin"), T.pronoun(C).alias("pronoun"))
+    return phrases(spark).select("id", T.domain(content()).alias("domain"), T.latin(content()).alias("latin"), T.pronoun(content()).alias("pronoun"))
 
 
 def revocation_inline(spark, sf):
-    return phrases(spark).select("id", T.revoked(C).alias("revoked"), T.changed(C).alias("changed"), T.negated(C).alias("negated"), T.is_rule(C).alias("is_rule"))
+    return phrases(spark).select("id", T.revoked(content()).alias("revoked"), T.changed(content()).alias("changed"), T.negated(content()).alias("negated"), T.is_rule(content()).alias("is_rule"))
 
 
 def opposite_pairs_inline(spark, sf):
     p = phrases(spark)
-    a, b = p.select("session_id", F.col("id").alias("a"), C.alias("x")), p.select("session_id", F.col("id").alias("b"), C.alias("y"))
+    a, b = p.select("session_id", F.col("id").alias("a"), content().alias("x")), p.select("session_id", F.col("id").alias("b"), content().alias("y"))
     return a.join(b, "session_id").where("a < b").select("a", "b", T.opposite(F.col("x"), F.col("y")).alias("pair")).where("pair is not null")
 
 
 def triple_keys_inline(spark, sf):
-    return phrases(spark).select("id", T.triple_key(C).alias("key")).where("key is not null")
+    return phrases(spark).select("id", T.triple_key(content()).alias("key")).where("key is not null")
 
 
 def content_years_inline(spark, sf):
-    return phrases(spark).select("id", F.posexplode(T.years(C)).alias("n", "year"))
+    return phrases(spark).select("id", F.posexplode(T.years(content())).alias("n", "year"))
 
 
 def stems_inline(spark, sf):
-    return phrases(spark).select("id", F.explode(T.stems(C)).alias("stem"))
+    return phrases(spark).select("id", F.explode(T.stems(content())).alias("stem"))
 
 
 def tokens_inline(spark, sf):
-    return phrases(spark).select("id", F.posexplode(T.tokens(C)).alias("n", "token"))
+    return phrases(spark).select("id", F.posexplode(T.tokens(content())).alias("n", "token"))
 
 
 def chunk_sentences(spark, sf):
-    return M.materials(spark, sf).select("id", F.posexplode(T.chunks(C)).alias("n", "chunk")).select("id", "n", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+    return M.materials(spark, sf).select("id", F.posexplode(T.chunks(content())).alias("n", "chunk")).select("id", "n", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
 def summary_points(spark, sf):
     rows = M.turns(spark, sf).select("id", "content").unionByName(phrases(spark).select((-F.col("id")).alias("id"), "content"))
-    return rows.select("id", T.point(C).alias("point"))
+    return rows.select("id", T.point(content()).alias("point"))
 
 
 def rolling_summary(spark, sf):
-    points = M.turns(spark, sf).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("position", T.point(C).alias("point")))).alias("p"))
+    points = M.turns(spark, sf).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("position", T.point(content()).alias("point")))).alias("p"))
     summary = T.rolled(F.col("p.point"))
     return points.select("session_id", F.length(summary).alias("n_chars"), F.md5(summary).alias("summary_md5"))
 
