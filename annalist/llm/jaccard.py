@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             records["a"] = np.repeat([m[0] for m in lists], [len(m) - 1 for m in lists])
             records["b"] = np.concatenate([m[1:] for m in lists])
             records = np.unique(records)
-            yield dealt((mix(records["a"].astype(np.uint64) * np.uint64(31) + records["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), records)
+            yield dealt((mix(records["a"].astype(np.uint64) * np.uint64(31) + records["b"].astype(np.uint64)) % np.uint64(fewer)).astype(np.int64), records)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in buckets_of(batches, PAIR):
@@ -293,13 +293,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
                 r = r[~(fresh & np.r_[fresh[1:], True])]
                 yield pa.record_batch([*(pa.array(r[c].astype(np.int64)) for c in ("doc", "n")), pa.array(r["element"].view(np.int64)), pa.array(r["place"].astype(np.int64))], names=["doc_id", "n", "element", "place"])
 
-    buckets = 8 * width
+    buckets, fewer = 8 * width, width // 8 + 1  # pairs are few beside signatures: small blobs would outnumber them
     often = texts.mapInArrow(lean(counted), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "x").limit(MOST_COMMON)
     common = np.sort(often.select("x").toPandas()["x"].to_numpy(np.int64).view(np.uint64))
     of = stored(texts.mapInArrow(lean(hashed), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     pairs = stored(by_bucket(texts.mapInArrow(lean(signed), PACKED), buckets).mapInArrow(lean(lambda batches: starred(grouped(batches))), PACKED), "pairs")
     release_shuffles(spark)
-    stars = stored(by_bucket(pairs, buckets).mapInArrow(lean(distinct), "a long, b long"), "stars")
+    stars = stored(by_bucket(pairs, fewer).mapInArrow(lean(distinct), "a long, b long"), "stars")
     # the smallest partner of every document first
     least = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
     first = checked(texts, of, least, size, num, den).where("linked").select("a", "b")
