@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from annalist.llm.common import lean, mix, prepare, ranges, slices, text_bytes, texts_of
 from annalist.llm.words import ODD, SIGNS, word_bounds, word_hashes
 
-#: Seeds: runs of words, of which those at 1 count.  Any two substitutions in 20 words leave one of them whole.
-MASKS = ("111111111", "11011011011011", "1110010110111", "11001110100111")
+#: Seeds: runs of words, of which those at 1 count.  Every overlap has at least one of them whole (the tests count this out).
+MASKS = ("1000100101111", "110101000111", "111011011", "101100101011", "11100011011", "1110011000101", "111010101001", "11011111")
 #: An overlap: as many words in a row, this share of them equal.
 LEAST_WORDS = 13
 LEAST_SHARE = 0.75
 #: Shorter items can't be told from chance and match nothing.
 SHORTEST = 5
 #: Bytes of benchmark text whose seeds are sent to every task at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 @dataclass
@@ -57,20 +57,22 @@ def seed_hashes(words: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.nd
     return mix(out[at] if len(at) < len(out) else out), at
 
 
+def whole_mask(n: int) -> str:
+    """The seed of an item of n < LEAST_WORDS words: a stretch that spans it has three equal words at both ends."""
+    return "1" * n if n <= 6 else "111" + "0" * (n - 6) + "111"
+
+
 def seeds_of(items: list[tuple[int, str]]) -> Seeds:
     words, counts = words_of(pa.array([t or "" for _, t in items], pa.string()))
     starts = np.r_[0, np.cumsum(counts)]
     keys, item, place = {}, {}, {}
-    masks = list(MASKS)
-    # an item shorter than the masks is a seed as a whole
-    masks += sorted({"1" * int(n) for n in counts if SHORTEST <= n < len(MASKS[0])})
-    for mask in masks:
-        own = counts if mask in MASKS else np.where(counts == len(mask), counts, 0)
-        if mask in MASKS:
-            h, at = seed_hashes(words, counts, mask)
-        else:
-            at = starts[:-1][own > 0]
-            h = mix(sum((words[at + k] * ODD[k] for k in range(len(mask))), np.zeros(len(at), np.uint64)))
+    # an item too short for an overlap of LEAST_WORDS has one seed, as long as itself
+    whole = {whole_mask(int(n)) for n in counts if SHORTEST <= n < LEAST_WORDS}
+    for mask in [*MASKS, *sorted(whole)]:
+        h, at = seed_hashes(words, counts, mask)
+        n = counts[np.searchsorted(starts, at, "right") - 1]
+        own = n == len(mask) if mask in whole else n >= LEAST_WORDS
+        h, at = h[own], at[own]
         of = np.searchsorted(starts, at, "right") - 1
         order = np.argsort(h, kind="stable")
         keys[mask], item[mask], place[mask] = h[order], of[order], (at - starts[of])[order]
@@ -86,16 +88,23 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def bounded(least_words: int, least_share: float) -> None:
+    if least_words < LEAST_WORDS or least_share < LEAST_SHARE:
+        raise ValueError(f"seeds find overlaps of {LEAST_WORDS} words and a share of {LEAST_SHARE} or more")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Verified overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text), one row per document row and item:
     doc_id, item_id, doc_word and item_word (where the longest overlap starts), n_words, n_equal.
 
     Along each diagonal that a seed names, the stretch with most equal words must have ``least_words`` words (all words of
-    an item that has fewer), ``least_share`` of them equal.  Items under SHORTEST words, null and empty texts match
+    an item that has fewer), ``least_share`` of them equal.  Every such diagonal has a seed; bounds below LEAST_WORDS and
+    LEAST_SHARE, for which that does not hold, are refused.  Items under SHORTEST words, null and empty texts match
     nothing.  Repeated rows give a row each; of items with one id the best counts.  Empty tables give no rows.
 
     Items are read in blocks of at most BLOCK_BYTES, measured before: each block's seeds go to all tasks.
     """
+    bounded(least_words, least_share)
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
@@ -129,6 +138,7 @@ def _rows(seeds: Seeds, least_words: int, least_share: float):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """``docs`` without the rows that overlap a benchmark item, as overlaps() has it; columns as they were."""
+    bounded(least_words, least_share)
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
@@ -148,12 +158,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEA
 
 def _finder(seeds: Seeds, least_words: int, least_share: float):
     """A function from a text column to (row, item_id, doc_word, item_word, n_words, n_equal) of its verified overlaps."""
-    bits = max(20, min(26, (sum(map(len, seeds.keys.values())) * 64).bit_length()))
-    shift = np.uint64(64 - bits)
-    likely = {}
+    likely, shift = {}, {}
     for mask, keys in seeds.keys.items():
+        bits = max(16, min(25, (len(keys) * 256).bit_length()))
+        shift[mask] = np.uint64(64 - bits)
         likely[mask] = np.zeros(1 << bits, bool)
-        likely[mask][keys >> shift] = True
+        likely[mask][keys >> shift[mask]] = True
 
     def find(column: pa.Array) -> Iterator[tuple]:
         _, offsets = text_bytes(column)
@@ -163,7 +173,7 @@ def _finder(seeds: Seeds, least_words: int, least_share: float):
             hits = []
             for mask, keys in seeds.keys.items():
                 h, at = seed_hashes(words, counts, mask)
-                some = np.flatnonzero(likely[mask][h >> shift])
+                some = np.flatnonzero(likely[mask][h >> shift[mask]])
                 h, at = h[some], at[some]
                 low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
                 n = high - low
@@ -171,7 +181,8 @@ def _finder(seeds: Seeds, least_words: int, least_share: float):
                 row = np.searchsorted(ends, at, "right")
                 hits.append(np.stack([row, seeds.item[mask][which], at - (ends - counts)[row] - seeds.place[mask][which]], 1))
             best: dict[tuple[int, int], tuple] = {}
-            for row, item, diagonal in np.unique(np.concatenate(hits), axis=0).tolist():
+            found = np.unique(np.concatenate(hits), axis=0)
+            for row, item, diagonal in found[_enough(seeds, words, ends, counts, found, least_words, least_share)].tolist():
                 doc = words[ends[row] - counts[row] : ends[row]]
                 own = seeds.words[seeds.starts[item] : seeds.starts[item + 1]]
                 first, last = max(0, -diagonal), min(len(own), len(doc) - diagonal)
@@ -184,3 +195,20 @@ def _finder(seeds: Seeds, least_words: int, least_share: float):
                 yield a + row, item, d, w, n, same
 
     return find
+
+
+def _enough(seeds: Seeds, words: np.ndarray, ends: np.ndarray, counts: np.ndarray, found: np.ndarray, least_words: int, least_share: float) -> np.ndarray:
+    """Which diagonals have as many equal words as the shortest overlap: few of those that a seed names by chance."""
+    row, item, diagonal = found.T
+    size = np.diff(seeds.starts)[item]
+    first, last = np.maximum(0, -diagonal), np.minimum(size, counts[row] - diagonal)
+    same, stop = np.zeros(len(found), np.int64), np.cumsum(last - first)
+    i = 0
+    while i < len(found):
+        j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + (1 << 22), "right")))
+        n = (last - first)[i:j]
+        own = ranges(seeds.starts[item[i:j]] + first[i:j], n)
+        doc = ranges((ends - counts)[row[i:j]] + first[i:j] + diagonal[i:j], n)
+        same[i:j] = np.add.reduceat((seeds.words[own] == words[doc]).astype(np.int64), np.cumsum(n) - n)
+        i = j
+    return same >= least_share * np.minimum(least_words, size)

@@ -1,6 +1,7 @@
 """The operators against brute force, round trips, held-out labels, and awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,10 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.llm import html, huffman, jaccard, lines, packing, prefixes, repeats, suffixes, tokens, topk, toxicity
+from annalist.llm import decontam, html, huffman, jaccard, lines, packing, prefixes, repeats, suffixes, tokens, topk, toxicity
 from annalist.llm.common import text_bytes
 from annalist.llm.components import components
-from annalist.llm.decontam import decontaminated, overlaps
+from annalist.llm.decontam import SHORTEST, best_stretch, decontaminated, overlaps, whole_mask
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [
@@ -271,6 +272,71 @@ def test_decontamination(spark):
     assert overlaps(docs, bench.limit(0)).count() == 0 and overlaps(docs.limit(0), bench).count() == 0
 
 
+def stretches(n):
+    """Places of unequal words, for all stretches of n words that are accepted as a whole."""
+
+    def more(c):
+        if all(n - x > 3 * (len(c) - j) for j, x in enumerate(c)):
+            yield c
+        if len(c) < n // 4:
+            for x in range(max(c[-1] + 1 if c else 0, 3 * len(c) + 3), n - 3):
+                yield from more((*c, x))
+
+    return more(())
+
+
+def test_stretches_are_those_that_the_alignment_accepts():
+    for n in range(SHORTEST, 18):
+        want = set()
+        for c in itertools.chain(*(itertools.combinations(range(n), m) for m in range(n // 4 + 1))):
+            equal = np.ones(n, bool)
+            equal[list(c)] = False
+            if best_stretch(equal) == (0, n, n - len(c)):
+                want.add(c)
+        assert set(stretches(n)) == want
+
+
+def test_every_accepted_overlap_has_a_seed():
+    """Whole short items and stretches of 13 to 28 words one by one; beyond, the fewest unequal words of any text without a
+    seed are more than a quarter, for 29 to 57 words, and what is longer has a part of as many with three quarters equal."""
+    for n in range(SHORTEST, 29):
+        masks = [whole_mask(n)] if n < 13 else decontam.MASKS
+        seeds = [sum(1 << k + i for i, bit in enumerate(m) if bit == "1") for m in masks for k in range(n - len(m) + 1)]
+        for c in stretches(n):
+            changed = sum(1 << x for x in c)
+            assert any(not changed & s for s in seeds), (n, c)
+    last = np.arange(1 << 12)[:, None] << 1 | np.arange(2)  # of 13 words, those at 1 are equal
+    seeded = np.any([(last & int(m, 2)) == int(m, 2) for m in decontam.MASKS], axis=0)
+    cost = np.where(np.arange(1 << 12) == 0, 0, 10**6)
+    for n in range(1, 58):
+        new = np.full(1 << 12, 10**6)
+        np.minimum.at(new, last & 4095, np.where(seeded, 10**6, cost[:, None] + np.array([1, 0])))
+        cost = new
+        assert n < 29 or cost.min() > n / 4
+
+
+def test_decontamination_of_spread_substitutions(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=9))
+    shapes = [(n, (k,)) for n in range(7, 14) for k in range(n)] + [(13, (3, 9)), (13, (3, 6, 9)), (15, (4, 7, 10)), *((n, range(3, n - 3, 4)) for n in (16, 30, 38, 59))]
+    shapes += [(n, sorted(r.sample(range(n), n // 4))) for n in range(12, 40) for _ in range(6)]
+    items, rows, want = [], [], set()
+    for k, (n, changed) in enumerate(shapes):
+        own = [word() for _ in range(n)]
+        equal = np.array([i not in changed for i in range(n)])
+        items.append((k, " ".join(own)))
+        text = [word() for _ in range(20)] + [w if e else word() for w, e in zip(own, equal)] + [word() for _ in range(20)]
+        rows.append((k, " ".join(text), "en", "s", 1))
+        start, end, same = best_stretch(equal)
+        if end - start >= min(13, n) and same >= 0.75 * (end - start):
+            want.add((k, k, 20 + start, start, end - start, same))
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(x) for x in overlaps(docs, bench).collect()} == want
+    assert {x["doc_id"] for x in decontaminated(docs, bench).collect()} == set(range(len(rows))) - {x[0] for x in want}
+    with pytest.raises(ValueError, match="share"):
+        overlaps(docs, bench, least_share=0.5)
+
+
 def test_topk_equals_brute_force(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(400, 8)) / 3
