@@ -77,6 +77,31 @@ def contradiction_partners(spark, sf):
     return partner.select(F.col("b").alias("id")).distinct().withColumn("score", F.lit(0.5))
 
 
+def partners(pairs):
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.where("a % 2 = 0 and b % 2 <> 0").select(F.col("b").alias("id")).distinct().withColumn("score", F.lit(0.5))
+
+
+def stated(spark, sf):
+    """All conversation turns and the phrases, whose ids and sessions are negative."""
+    return M.turns(spark, sf).unionByName(said(spark).drop("user").withColumns({"id": -F.col("id"), "session_id": -F.col("session_id")}))
+
+
+def contradiction_pairs_sessions(spark, sf):
+    return contradictions(stated(spark, sf), "session_id")
+
+
+def contradiction_partners_sessions(spark, sf):
+    """Of every contradiction with one shown side (even ids), the other."""
+    return partners(contradiction_pairs_sessions(spark, sf))
+
+
+def govern_window_sessions(spark, sf):
+    """Every session is a window of results, earlier turns first."""
+    rows = stated(spark, sf).select(F.col("session_id").alias("qid"), "id", "source", "content", "moment", "position", F.round(1.0 / (F.col("position") + 1), 4).alias("score"))
+    return governed(rows)
+
+
 def govern_window(spark, sf):
     rows = said(spark).select(F.lit(0).cast("long").alias("qid"), "id", "source", "content", "moment", "position", F.round(1.0 - F.col("id") * 0.01, 4).alias("score"))
     return governed(rows).select("id", "score")
@@ -115,7 +140,7 @@ def search_pipeline(spark, sf):
     return top(scored.withColumn("n", once).where("n = 1"), 10, F.desc("score"), "id").select("rank", "id", "score")
 
 
-QUERIES = {f.__name__: f for f in (neighbour_band_join, causal_band_join, session_adjacent, link_expand, history_expand, version_edges, version_edges_sessions, contradiction_pairs, contradiction_partners, govern_window, temporal_weight, recency_boost, search_pipeline)}
+QUERIES = {f.__name__: f for f in (neighbour_band_join, causal_band_join, session_adjacent, link_expand, history_expand, version_edges, version_edges_sessions, contradiction_pairs, contradiction_pairs_sessions, contradiction_partners, contradiction_partners_sessions, govern_window, govern_window_sessions, temporal_weight, recency_boost, search_pipeline)}
 
 
 def band_sql(seeds: str, radius: int) -> str:
@@ -137,8 +162,15 @@ pp as (select *, case when len(o_tk) > 0 and len(n_tk) > 0 then sh / (len(o_tk)
 pq as (select *, n_nc >= 1.15 * o_nc and case when sh = len(o_tk) then len(o_tk) >= 3 or (len(o_tk) >= 2 and n_ch) else j >= 0.6 end as rw, tv or (sd and o_nc <= 160 and n_nc <= 160) as dv from pp)"""
 
 
+def near_sql(rows: str, user: str) -> str:
+    """CTEs to pq over rows: pairs of which the newer one is among the 300 of its user that follow the older one."""
+    placed = f"placed as (select *, row_number() over (partition by {user} order by moment, position, id) as place from {rows})"
+    return f"{placed}, {profile_sql('placed')}, {pair_sql(user).replace(' < (n.moment, n.position, n.id)', ' < (n.moment, n.position, n.id) and n.place - o.place <= 300')}"
+
+
 P = phrases_sql()
 SAID = f"{P}, said as (select *, session_id * 100 + position as moment, 1 as usr from phrases)"
+STATED = f"{M.TURNS}, {P}, stated as (select id, session_id, position, source, content, moment from turns union all select -id, -session_id, position, source, content, session_id * 100 + position from phrases)"
 VERSIONS = "select o_id as old_id, n_id as new_id, round(j, 4) as similarity from pq where (o_source = n_source or tv) and o_ky <> n_ky and not td and (dv or rw) and (dv or j >= 0.6 or cv >= 0.75)"
 CONTRA = f"ct as (select o_id as a, n_id as b, case when o_ng <> n_ng then 'negation_flip' else {X.opposite('o_content', 'n_content')} end as signal from pq where o_source = n_source and o_dm = n_dm and not o_rv and not n_rv and len(list_intersect(o_le, n_le)) >= 2 and (not (o_lt or n_lt) or len(list_intersect(o_st, n_st)) >= 2 or {X.opposite('o_content', 'n_content')} is not null) and o_nc <= 160 and n_nc <= 160 and o_tr is null and n_tr is null)"
 LINKS = "lk as (select a.id as from_id, b.id as to_id, case when a.session_id % 3 = 0 then 'explains' else 'related' end as relation from turns a join turns b on b.session_id = a.session_id + 1 and a.position = 0 and b.position = 0)"
@@ -156,6 +188,11 @@ ORACLE = {
     "govern_window": f"""with {SAID}, kept as (select * from said qualify row_number() over (partition by {X.normal('content')} order by moment desc, position desc, id desc) = 1), {profile_sql('kept')}, {pair_sql('usr')},
 w as (select o_id as id, max(j) as j, max(cv) as c from pq where o_source = n_source and (sd or rw) group by 1)
 select k.id, round(round(1.0::double - k.id * 0.01::double, 4) * case when j > 0 or c > 0 then case when j >= 0.6 or c >= 0.75 then 0.25 else 0.5 end else 1 end, 4) as score from kept k left join w on k.id = w.id""",
+    "contradiction_pairs_sessions": f"with {STATED}, {near_sql('stated', 'session_id')}, {CONTRA} select * from ct where signal is not null",
+    "contradiction_partners_sessions": f"with {STATED}, {near_sql('stated', 'session_id')}, {CONTRA}, b as (select a, b from ct where signal is not null union select b, a from ct where signal is not null) select distinct b as id, 0.5::double as score from b where a % 2 = 0 and b % 2 <> 0",
+    "govern_window_sessions": f"""with {STATED}, kept as (select * from stated qualify row_number() over (partition by session_id, {X.normal('content')} order by moment desc, position desc, id desc) = 1), {near_sql('kept', 'session_id')},
+w as (select o_id as id, max(j) as j, max(cv) as c from pq where o_source = n_source and (sd or rw) group by 1)
+select k.session_id as qid, k.id, round(round(1.0::double / (k.position + 1), 4) * case when j > 0 or c > 0 then case when j >= 0.6 or c >= 0.75 then 0.25 else 0.5 end else 1 end, 4) as score from kept k left join w on k.id = w.id""",
     "temporal_weight": f"with {M.TURNS} select id, ({WEIGHT})::double as weight from turns",
     "recency_boost": f"""with {M.TURNS}, q as (select item_id as qid, text as query from benchmark), {bm25_sql('turns', 'q')},
 h as (select qid, scores.id, relevance, moment from scores join turns on turns.id = scores.id qualify row_number() over (partition by qid order by relevance desc, scores.id) <= 20),

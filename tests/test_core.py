@@ -91,6 +91,21 @@ def test_versions_and_contradictions(spark):
     assert {(r["a"], r["b"], r["signal"]) for r in contradictions(rows, "user").collect()} == {(3, 4, "en-opposite")}
 
 
+def test_contradictions_and_windows_of_conversations(spark, tmp_path):
+    texts = ["She loves cats and dogs", "He works at the bank in London", "She hates cats and dogs", "He works at the bank in London and quit to move to the bank in Paris", "She hates cats and dogs"]
+    rows = [(c, k, "ann" if c < 3 or k % 2 else "bob", t) for c, own in ((1, texts), (2, texts[:1]), (3, texts[2:4] + texts[:1]), (4, [texts[0], texts[2]])) for k, t in enumerate(own)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    phrase = {(-a, -b, s) for a, b, s in run("contradiction_pairs")}
+    pairs = run("contradiction_pairs_sessions")
+    assert {p for p in pairs if p[0] > 0} == {(1000, 1002, "en-opposite"), (1000, 1004, "en-opposite"), (3000, 3002, "en-opposite")}
+    assert (-3, -4, "en-opposite") in pairs and {p for p in pairs if p[0] < 0} <= phrase
+    assert not {x for x, _ in run("contradiction_partners_sessions")} & {1000, 1002} and (-3, 0.5) in run("contradiction_partners_sessions")
+    window = {(q, i): s for q, i, s in run("govern_window_sessions")}
+    assert (1, 1002) not in window and (1, 1004) in window and (2, 2000) in window and window[1, 1001] == 0.125 and window[1, 1003] == 0.25
+    assert len(window) == 10 + sum(1 for q, _ in window if q < 0)
+
+
 def test_pair_blocks_cover_exactly_the_recent_ones(spark):
     from annalist.operators.governance import pairs
 
