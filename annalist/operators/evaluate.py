@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def budgeted(ranked: DataFrame, items: int, bytes_: int) -> DataFrame:
     """Of ranked rows (qid, id, rank, bytes), whole items in rank order that still fit: one too large is skipped, not the end.
 
-    A fold over each query's ranked items (the caller's cap bounds them).
+    Items that go in are at most the first ``items`` of their size: where a later one of that size fits, the earlier ones did.
+    So the fold over each query's ranked items has no more than ``items`` of each size up to ``bytes_``, however long the
+    ranking.
     """
+    first = F.row_number().over(W.partitionBy("qid", "bytes").orderBy("rank", "id"))
+    ranked = ranked.where(F.col("bytes") <= bytes_).withColumn("nth", first).where(F.col("nth") <= items)
     row = F.struct("rank", "id", "bytes")
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("got"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.operators.evaluate import budgeted, metrics
-from annalist.operators.lexical import bm25, top_each
+from annalist.operators.lexical import bm25
 from annalist.plans.retrieval import bm25_sql
 from annalist.sources import model as M
 
@@ -18,10 +18,11 @@ def asked(spark, sf):
 
 
 def selected(spark, sf):
-    """Up to five hits of each query within 4096 bytes, best first."""
+    """Up to five hits of each query within 4096 bytes, best first, from its whole ranking."""
     t, q = M.turns(spark, sf), asked(spark, sf)
-    hits = top_each(bm25(t, q.select("qid", "query")).where("qid <> id"), "qid", 50, F.desc("relevance"), "id").join(t.select("id", "content"), "id")
-    return budgeted(hits.select("qid", "id", "rank", F.octet_length("content").alias("bytes")), 5, 4096)
+    sizes = t.select("id", F.octet_length("content").cast("long").alias("bytes"))
+    hits = bm25(t, q.select("qid", "query")).where("qid <> id").join(sizes, "id")
+    return budgeted(hits.select("qid", "id", F.struct(-F.col("relevance"), "id").alias("rank"), "bytes"), 5, 4096)
 
 
 def recent(spark, sf):

@@ -127,6 +127,16 @@ def test_budget_skips_what_does_not_fit(spark, sizes):
     assert got == want
 
 
+def test_budget_goes_down_the_whole_ranking(spark, tmp_path):
+    long = ("needle " * 40 + "x" * 1800).split(" ", 40)
+    turns = [(0, 0, "user", "needle"), (0, 1, "user", "needle " + "filler " * 60)]
+    turns += [(c, 1, "user", " ".join(long) + f" {c}") for c in range(1, 81)] + [(c, 1, "user", "needle " * 30 + "y" * 4500) for c in range(81, 91)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["qid"]: r["id"] for r in queries.QUERIES["budget_select"](spark, str(tmp_path)).orderBy("rank").collect()}
+    assert got == {0: 1}  # only one long turn fits, and after it the short one at the end of the ranking
+    assert [tuple(r) for r in queries.QUERIES["retrieval_metrics"](spark, str(tmp_path)).collect()] == [(0, 1.0, 1, 0.5)]
+
+
 def test_expansion_keeps_seeds_and_takes_turns(spark):
     ranked = spark.createDataFrame([(0, i, i, i // 4, i % 4) for i in range(1, 13)], "qid long, id long, rank int, session_id long, position long")
     links = spark.createDataFrame([(1, 12, "related"), (11, 1, "explains")], "from_id long, to_id long, relation string")
