@@ -75,14 +75,14 @@ class Search:
         exact = float(np.abs(lists.vectors).max(initial=0)) * float(np.abs(self.query).sum(1).max(initial=0)) < 1 << 23
         kind = np.float32 if exact else np.float64
         plus, minus = self.plus.astype(kind), self.minus.astype(kind)
-        left = np.ones((len(self.ids), n), bool)
+        other = lists.ids != self.ids[:, None]  # a query's own rows are no candidates and must not set its bound
         for depth in DEPTHS:
             high, high_least, low, low_most = (x.astype(kind) for x in lists.read(depth))
             least = self.least
-            if n > self.k:  # lower bounds of this block's candidates; a query itself may be one of them, so one more
-                lower = plus @ high_least.T + minus @ low_most.T
-                least = np.maximum(least, np.partition(lower, n - self.k - 1, axis=1)[:, n - self.k - 1])
-            left = plus @ high.T + minus @ low.T >= least[:, None]
+            if n >= self.k:  # the k-th best lower bound of this block's candidates
+                lower = np.where(other, plus @ high_least.T + minus @ low_most.T, -np.inf)
+                least = np.maximum(least, np.partition(lower, n - self.k, axis=1)[:, n - self.k])
+            left = other & (plus @ high.T + minus @ low.T >= least[:, None])
             if left.mean() <= FEW:
                 break
         rows, columns = np.nonzero(left)
@@ -95,7 +95,7 @@ class Search:
             for a in range(0, len(rows), 1 << 16):
                 b = slice(a, a + (1 << 16))
                 scores[b] = np.einsum("ij,ij->i", self.query[rows[b]], lists.vectors[columns[b]].astype(np.float64))
-        keep = (scores >= self.least[rows]) & (lists.ids[columns] != self.ids[rows])
+        keep = scores >= self.least[rows]
         rows, scores, found = rows[keep], scores[keep].astype(np.int64), lists.ids[columns[keep]]
         cut = np.searchsorted(rows, np.arange(len(self.ids) + 1))
         for q in np.flatnonzero(np.diff(cut)):

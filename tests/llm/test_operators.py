@@ -355,6 +355,17 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_of_a_repeated_query_id(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(430, 64)) / 8
+    x[:30] = x[0]
+    ids = [20] * 30 + list(range(1000, 1400))
+    out = topk.top_k(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").coalesce(1), 20, 20, 64)
+    q = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
+    best = sorted((-int(q[a] @ q[b]), ids[b]) for a in range(30) for b in range(30, 430))[:20]
+    assert sorted((o["rank"], o["vec_id"], o["score"]) for o in out.collect() if o["query_id"] == 20) == [(k + 1, i, -v) for k, (v, i) in enumerate(best)]
+
+
 def test_ordinal_grades_share_weights():
     r = np.random.default_rng(0)
     n, size = 600, 12
