@@ -22,8 +22,8 @@ from annalist.llm.common import lean, prepare, stored
 CANDIDATES = 2048
 QUERIES = 512
 TILE = 32
-#: Shares of a list read from an end before bounds are compared.
-DEPTHS = (0.5, 0.75)
+#: Shares of a list read from an end before bounds are compared; after the last, bounds are the scores.
+DEPTHS = (0.5, 0.75, 0.875, 0.9375, 1.0)
 #: Final scores are resolved once this share of a block's candidates is left.
 FEW = 0.12
 
@@ -68,6 +68,7 @@ class Search:
         self.scores = [np.zeros(0, np.int64) for _ in ids]
         self.found = [np.zeros(0, np.int64) for _ in ids]
         self.least = np.full(len(ids), -np.inf)  # a score below it is not among the k best
+        self.resolved = 0  # candidates that got final scores
 
     def block(self, lists: Lists) -> None:
         n = len(lists.ids)
@@ -88,13 +89,11 @@ class Search:
         rows, columns = np.nonzero(left)
         if not len(rows):
             return
-        if len(rows) > FEW * left.size:
-            scores = (self.query @ lists.vectors.T.astype(np.float64))[rows, columns]
-        else:
-            scores = np.empty(len(rows))
-            for a in range(0, len(rows), 1 << 16):
-                b = slice(a, a + (1 << 16))
-                scores[b] = np.einsum("ij,ij->i", self.query[rows[b]], lists.vectors[columns[b]].astype(np.float64))
+        self.resolved += len(rows)
+        scores = np.empty(len(rows))
+        for a in range(0, len(rows), 1 << 16):
+            b = slice(a, a + (1 << 16))
+            scores[b] = np.einsum("ij,ij->i", self.query[rows[b]], lists.vectors[columns[b]].astype(np.float64))
         keep = scores >= self.least[rows]
         rows, scores, found = rows[keep], scores[keep].astype(np.int64), lists.ids[columns[keep]]
         cut = np.searchsorted(rows, np.arange(len(self.ids) + 1))

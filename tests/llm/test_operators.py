@@ -366,6 +366,16 @@ def test_topk_of_a_repeated_query_id(spark):
     assert sorted((o["rank"], o["vec_id"], o["score"]) for o in out.collect() if o["query_id"] == 20) == [(k + 1, i, -v) for k, (v, i) in enumerate(best)]
 
 
+def test_topk_resolves_few_candidates():
+    v = np.floor(64 * np.random.default_rng(3).normal(size=(1500, 64)) / 8).astype(np.int64)
+    search = topk.Search(np.arange(40), v[:40], 20)
+    search.block(topk.Lists(np.arange(1500), v))
+    assert search.resolved <= topk.FEW * 40 * 1500
+    for q in range(40):
+        s = v @ v[q]
+        assert list(zip(search.scores[q], search.found[q])) == [(-a, b) for a, b in sorted((-s[j], j) for j in range(1500) if j != q)[:20]]
+
+
 def test_ordinal_grades_share_weights():
     r = np.random.default_rng(0)
     n, size = 600, 12
