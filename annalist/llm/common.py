@@ -9,11 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: bounds a worker's memory when rows are long documents.
-ROWS_PER_BATCH = 512
+#: Rows and bytes in an Arrow batch: bound a worker's memory when rows are long documents, or blocks of many.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 8 << 20
 #: Bytes of text that numpy code takes at a time, so that its temporaries stay small.
 SLICE_BYTES = 2 << 20
 
@@ -21,18 +21,27 @@ SLICE_BYTES = 2 << 20
 def prepare(spark: SparkSession) -> None:
     """Session settings that the Arrow operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
+#: Paths that shared_path() gave out, for cleared().
+_paths: list[str] = []
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (tests on one machine) a temporary folder is used.
+    Where the setting is absent a temporary folder is used if all of Spark runs on this machine (tests); on a cluster, whose
+    machines don't share such a folder, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_annalist_dir", None) or tempfile.mkdtemp(prefix="annalist-")
         spark._annalist_dir = base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _paths.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -43,12 +52,33 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a stored() frame that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of stored() frames that nothing reads any more."""
+    for df in tables:
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            deleted(df.sparkSession, f)
+
+
+def marked() -> int:
+    """How many paths operators have been given: what they write from now on is cleared(..., since=marked())."""
+    return len(_paths)
+
+
+def cleared(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete what operators have written to the shared folder since a mark, but for the files that ``keep`` reads.
+
+    Results are lazy and read such tables: call it once all results that matter are written.
+    """
+    kept = {p.rsplit("/", 1)[0].rsplit("/", 1)[-1] for p in keep.inputFiles()} if keep is not None else set()
+    for k in range(since, len(_paths)):
+        if _paths[k] and _paths[k].rsplit("/", 1)[-1] not in kept:
+            deleted(spark, _paths[k])
+            _paths[k] = ""
 
 
 def lean(function):
@@ -97,6 +127,19 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str)
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text), *more)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def row_key() -> tuple[Column, Column]:
+    """What names a row of documents: its doc_id, and a hash of its text (and of whether the doc_id is null)."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -160,9 +203,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 PACKED = "bucket int, blob binary"
 
 
-def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows dealt out by bucket, those of one bucket together and in a row."""
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+#: Buckets that a task takes, one after the other: it holds one at a time.
+BUCKETS_PER_TASK = 8
+
+
+def by_bucket(df: DataFrame, tasks: int) -> DataFrame:
+    """Packed rows dealt out by bucket to so many tasks, those of one bucket together and in a row."""
+    return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
 
 def planes(records: np.ndarray) -> bytes:
@@ -175,12 +222,23 @@ def unplanes(data: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(dtype).ravel()
 
 
+def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of rows that are equal in all keys; none of no rows."""
+    n = len(keys[0])
+    fresh = np.zeros(n, bool)
+    fresh[:1] = True
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    heads = np.flatnonzero(fresh)
+    return heads, np.r_[heads, n][1:]
+
+
 def dealt(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     """Records (a structured array) as one binary row per bucket: the shuffle moves a few blobs, not a row per record."""
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-    return pa.record_batch([pa.array(bucket[cut].astype(np.int32)), pa.array([planes(records[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True)], pa.binary())], names=["bucket", "blob"])
+    heads, ends = runs_of(bucket)
+    return pa.record_batch([pa.array(bucket[heads].astype(np.int32)), pa.array([planes(records[a:b]) for a, b in zip(heads, ends, strict=True)], pa.binary())], names=["bucket", "blob"])
 
 
 def buckets_of(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
