@@ -2,10 +2,12 @@
 
 The format is a folder of two Parquet tables:
 
-``codes``   one row per id that occurs: ``id``, ``bits`` (length of its canonical code, at most ``LIMIT``).
+``codes``   one row per id that occurs: ``id``, ``bits`` (length of its canonical code, at most ``LIMIT``, or what so many
+            ids need).
 ``blocks``  one row per block of whole documents in ascending doc_id order: ``first`` (ids of all documents before the
-            block), ``docs`` (int64 doc ids), ``counts`` (int64 ids of each), ``bits`` (the codes, most significant bit
-            first, padded with four zero bytes) and ``marks`` (uint32 bit offset of every ``STRIDE``-th id).
+            block), ``docs`` (int64 doc ids, 0 for a null one), ``nulls`` (a byte for each, 1 if it is null; empty if none
+            is), ``counts`` (int64 ids of each), ``bits`` (the codes, most significant bit first, padded with four zero
+            bytes) and ``marks`` (uint32 bit offset of every ``STRIDE``-th id).
 A block is decoded on its own, and inside it from every mark on its own.
 """
 
@@ -22,6 +24,8 @@ from annalist.llm.common import dropped, gathered, lean, partitions, prepare, re
 from annalist.llm.tokens import END_ID, Encoder, vocabulary_path, with_end
 
 LIMIT = 18
+#: A decoding step looks at 32 bits from a whole byte on.
+WIDEST = 25
 STRIDE = 128
 BLOCK = 1 << 17
 
@@ -103,13 +107,13 @@ class Codebook:
         return out.reshape(-1)[:total]
 
 
-def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | None = END_ID) -> None:
+def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | None = END_ID, size_of_block: int = BLOCK) -> None:
     """Encode every text of ``docs`` (doc_id, text) and write the ids to the folder ``to``.
 
     A null or empty text has ``end_id`` alone (no ids if it is None).  Repeated doc_ids stay, in any order among
-    themselves.  An empty table gives an empty folder of blocks.  Texts are dealt out by doc_id ranges once and tokenized
-    there; ids are kept in the shared folder until the codes are known.  The driver gets a count for each id of the
-    vocabulary and one length for each partition.
+    themselves; null ones come first.  An empty table gives an empty folder of blocks.  Texts are dealt out by doc_id ranges
+    once and tokenized there; ids are kept in the shared folder until the codes are known.  A block has ``size_of_block`` ids
+    at most, or one document.  The driver gets a count for each id of the vocabulary and one length for each partition.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -161,7 +165,9 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
     for part in sorted(lengths):
         begins[part] = total
         total += lengths[part]
-    ids, bits = counts["id"].to_numpy(np.int64), code_lengths(counts["n"].to_numpy(np.int64))
+    ids, bits = counts["id"].to_numpy(np.int64), code_lengths(counts["n"].to_numpy(np.int64), max(LIMIT, (len(counts) - 1).bit_length()))
+    if len(bits) and bits.max() > WIDEST:
+        raise ValueError(f"{len(bits)} ids need codes of more than {WIDEST} bits")
     spark.createDataFrame(pa.table({"id": ids, "bits": bits.astype(np.int64)}).to_pandas(), "id long, bits long").coalesce(1).write.parquet(f"{to}/codes")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +176,14 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
         def block() -> pa.RecordBatch:
             code, marks = book.encode(np.concatenate([x[3] for x in held]))
             one = lambda v, kind: pa.array([v], kind)
-            row = [one(held[0][0], pa.int64()), one(np.array([x[1] for x in held], np.int64).tobytes(), pa.binary()), one(np.array([x[2] for x in held], np.int64).tobytes(), pa.binary()), one(code, pa.binary()), one(marks.tobytes(), pa.binary())]
-            return pa.record_batch(row, names=["first", "docs", "counts", "bits", "marks"])
+            missing = [x[1] is None for x in held]
+            blobs = [np.array([x[1] or 0 for x in held], np.int64).tobytes(), bytes(missing) if any(missing) else b"", np.array([x[2] for x in held], np.int64).tobytes(), code, marks.tobytes()]
+            return pa.record_batch([one(held[0][0], pa.int64()), *(one(b, pa.binary()) for b in blobs)], names=["first", "docs", "nulls", "counts", "bits", "marks"])
 
         for batch in batches:
             for part, doc, at, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 first = begins[part] + at
-                if held and (first != held[-1][0] + held[-1][2] or size + n > BLOCK):
+                if held and (first != held[-1][0] + held[-1][2] or size + n > size_of_block):
                     yield block()
                     held, size = [], 0
                 held.append((first, doc, n, np.frombuffer(blob, np.uint16 if len(blob) == 2 * n else np.uint32)))
@@ -184,7 +191,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
         if held:
             yield block()
 
-    kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(lean(blocks), "first long, docs binary, counts binary, bits binary, marks binary").write.parquet(f"{to}/blocks")
+    kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(lean(blocks), "first long, docs binary, nulls binary, counts binary, bits binary, marks binary").write.parquet(f"{to}/blocks")
     dropped(kept)
 
 
@@ -196,14 +203,14 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(ids, bits)
         for batch in batches:
-            for first, docs, counts, code, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs, counts = np.frombuffer(docs, np.int64), np.frombuffer(counts, np.int64)
+            for first, docs, nulls, counts, code, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs, counts = pa.array(np.frombuffer(docs, np.int64), mask=np.frombuffer(nulls, bool) if nulls else None), np.frombuffer(counts, np.int64)
                 ends = np.cumsum(counts)
                 flat = book.decode(code, np.frombuffer(marks, np.uint32), int(ends[-1]))
                 values = pa.BinaryArray.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((np.r_[0, ends] * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
-                yield pa.record_batch([pa.array(docs), pa.array(first + ends - counts), pa.array(counts), values], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.record_batch([docs, pa.array(first + ends - counts), pa.array(counts), values], names=["doc_id", "start", "n_tokens", "ids"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")  # blocks are large
+    prepare(spark)
     return spark.read.parquet(f"{folder}/blocks").mapInArrow(lean(decoded), "doc_id long, start long, n_tokens long, ids binary")
 
 
