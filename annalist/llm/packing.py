@@ -98,7 +98,8 @@ def pieces_of(spans: list[tuple], begin: int, window: int, total: int, first_id:
 
 def _batch(rows: list[tuple], loose: bool) -> pa.RecordBatch:
     names = "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()
-    columns = [pa.array(np.asarray(c, np.int64), pa.int64()) for c in (zip(*(r[:7] for r in rows), strict=True) if rows else [[]] * 7)]
+    doc, *numbers = zip(*(r[:7] for r in rows), strict=True) if rows else [[]] * 7
+    columns = [pa.array(doc, pa.int64()), *(pa.array(np.asarray(c, np.int64)) for c in numbers)]
     if loose:
         columns += [pa.array([r[7] for r in rows], pa.int64()), pa.array([r[8] for r in rows], pa.int64()), pa.array([r[9] for r in rows], pa.binary())]
         names += ["part", "at", "ids"]
@@ -108,7 +109,8 @@ def _batch(rows: list[tuple], loose: bool) -> pa.RecordBatch:
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_windows: int = OPEN, end_id: int = END_ID) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``window`` tokens; one row per piece.
 
-    Each document is its ids and ``end_id``; a null or empty text is ``end_id`` alone.  Repeated rows are packed each.
+    Each document is its ids and ``end_id``; a null or empty text is ``end_id`` alone.  Repeated rows are packed each; a null
+    doc_id stays null.
     An empty table gives no rows.  Documents are cut where a window ends.  ``sequence_id`` is unique but not dense.
 
     Every partition packs what it reads in one pass.  What its open windows hold at its end (fewer than ``open_windows``
