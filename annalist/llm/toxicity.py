@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import dropped, gathered, lean, prepare, slices, stored, text_bytes, texts_of
+from annalist.llm.common import dropped, gathered, lean, prepare, runs_of, slices, stored, text_bytes, texts_of
 from annalist.llm.words import SIGNS, word_bounds, word_hashes
 
 #: Labelled rows that a fit reads at most, half of them of grade 0: those with the least hash of their id.
@@ -99,17 +99,30 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, size: int, grades: np.nda
     return p[:size], np.concatenate([p[size : size + 1], p[size] + np.cumsum(np.exp(p[size + 1 :]))])
 
 
+def crossed(rows: np.ndarray, columns: np.ndarray, size: int, grades: np.ndarray) -> np.ndarray:
+    """The score of every row by a model of the other half of the rows, above that model's threshold."""
+    out, half = np.zeros(len(grades)), np.arange(len(grades)) % 2
+    for k in (0, 1):
+        own = half == k
+        if grades[own].max(initial=0) > 0:
+            number = np.cumsum(own) - 1
+            use = own[rows]
+            weights, thresholds = fit_ordinal(number[rows[use]], columns[use], size, grades[own])
+            out[~own] = np.bincount(rows, weights[columns], len(grades))[~own] - thresholds[0]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, spread: bool = True) -> Ordinal:
     """Fit on at most ``sample`` labelled texts: ``labels`` (doc_id, ``label`` = 0, 1, ...; null: not labelled).
 
-    If the labels only say yes or no and ``spread`` is set, texts with the label are graded 1 or 2 by whether the number of
-    features that go with the label is above the median, so that the model learns mild and severe cases.  Without rows of a
-    grade above 0, or features that go with it, every score is 0 and nothing is rejected.
+    If the labels only say yes or no and ``spread`` is set, texts with the label are graded 1 or 2, so that the model learns
+    mild and severe cases: by whether a yes-or-no model of the other half of the sample gives them more than the median.
+    Without rows of a grade above 0, or features that go with it, every score is 0 and nothing is rejected.  Of several labels
+    of a doc_id the highest counts, of several texts the one whose features come first; a null doc_id has no label.
     """
     spark = docs.sparkSession
     prepare(spark)
-    chosen = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("long").alias("grade"))
-    chosen = chosen.dropDuplicates(["doc_id"])
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("long")).alias("grade"))
     totals = {r["bad"]: r["n"] for r in chosen.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
     first = [chosen.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for c in ("grade > 0", "grade = 0")]
     chosen = first[0].unionByName(first[1])  # the sample's bound is the bound of what is broadcast
@@ -117,7 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, hashes, rows in features(batch.column(1)):
-                blobs = [np.unique(hashes[rows == k]).tobytes() for k in range(b - a)]
+                order = np.lexsort((hashes, rows))
+                hashes, rows = hashes[order], rows[order]
+                first, _ = runs_of(rows, hashes)
+                at = np.searchsorted(rows[first], np.arange(b - a + 1))
+                blobs = [hashes[first[x:y]].tobytes() for x, y in zip(at, at[1:])]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(blobs, pa.binary())], names=["doc_id", "grade", "features"])
 
     bad, good = totals.get(True, 0), totals.get(False, 0)
@@ -126,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if not bad_sample:
         return nothing
     texts = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
-    table = stored(texts.mapInArrow(lean(found), "doc_id long, grade long, features binary").dropDuplicates(["doc_id"]), "features")
+    table = stored(texts.mapInArrow(lean(found), "doc_id long, grade long, features binary").groupBy("doc_id", "grade").agg(F.min("features").alias("features")), "features")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
@@ -142,10 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     sums = table.select("grade", "features").mapInArrow(lean(counted), "key long, n long, yes long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
     least = min(LEAST_TEXTS, max(2, sampled // 20))
     telling = sums.where((F.col("n") >= least) & ((F.col("yes") - expected) ** 2 / expected / max(1 - share, 1e-9) >= LEAST_CHI))
-    chosen_keys = telling.select("key", (F.col("yes") > expected).alias("more")).toPandas()
-    keys = chosen_keys["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, more = keys[order], chosen_keys["more"].to_numpy(bool)[order]
+    keys = np.sort(telling.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
     if not len(keys):
         return nothing
 
@@ -168,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
     columns = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
     if grades.max() == 1 and spread and not toxic.all():
-        telling = np.bincount(rows, more[columns], len(grades))
-        grades = grades + (toxic & (telling > np.median(telling[toxic])))
+        held_out = crossed(rows, columns, len(keys), grades)
+        grades = grades + (toxic & (held_out > np.median(held_out[toxic])))
     weights, thresholds = fit_ordinal(rows, columns, len(keys), grades)
     # the sample has more of the graded texts than the corpus: the odds are set right
     odds = lambda x, y: np.log(max(x, 1) / max(y, 1))
