@@ -175,14 +175,58 @@ class Merges:
 
     def prefixes(self, s: str) -> list[int]:
         """Counts of all prefixes of a run without ASCII white space."""
+        found = [(s.find(t), t) for t in self.special if t in s] if "<|" in s else []
+        if found:  # up to its last letter a special token is ordinary text
+            at, special = min(found)
+            before = self.plain(s[: at + len(special) - 1])
+            base = (before[at - 1] if at else 0) + 1
+            return [*before, base, *(base + c for c in self.prefixes(s[at + len(special) :]))]
+        return self.plain(s)
+
+    def plain(self, s: str) -> list[int]:
+        """Counts of all prefixes of a string without special tokens."""
         if s.isascii():
-            if "<|" not in s:
-                return self.pieces(s.lower())
-        elif "<|" not in s and unicodedata.is_normalized("NFC", s) and not any(c.isspace() for c in s):
-            low = lower(s)
-            if len(low) == len(s) and unicodedata.is_normalized("NFC", low):
-                return self.pieces(low)
-        return [self.whole(s[: k + 1]) for k in range(len(s))]  # a later letter may change an earlier one
+            return self.pieces(s.lower())
+        out, base = [], 0
+        for k, part in enumerate(regex.split(r"(\s+)", s)):
+            own = [0] * len(part) if k % 2 or not part else self.normalized(part)
+            out += [base + c for c in own]
+            base += own[-1] if own else 0
+        return out
+
+    def normalized(self, s: str) -> list[int]:
+        """Counts of all prefixes of a string without white space that may not be in normal form: letter by letter where a
+        later one may change an earlier one, at once in between; only the last pieces are read again."""
+        if unicodedata.is_normalized("NFC", s) and len(low := lower(s)) == len(s):
+            return self.pieces(low)
+        first = [begins(c) for c in s] + [True]
+        regular = [first[k] and first[k + 1] and len(c.lower()) == 1 for k, c in enumerate(s)]
+        out, tail, base, k = [], "", 0, 0
+        while k < len(s):
+            e = k + 1
+            if regular[k]:
+                while e < len(s) and regular[e]:
+                    e += 1
+                now = tail + lower(s[k:e])
+                out += [base + c for c in self.pieces(now)[len(tail) :]]
+            else:
+                while not first[e]:
+                    e += 1
+                for x in range(k + 1, e + 1):
+                    now = tail + lower(unicodedata.normalize("NFC", s[k:x]))
+                    out.append(base + (self.pieces(now) or [0])[-1])
+            # three pieces may still become others: a sign, and the letters of a contraction
+            ends = [m.start() for m in self.pattern.finditer(now)]
+            cut = ends[-3] if len(ends) > 3 else 0
+            base += self.pieces(now[:cut])[-1] if cut else 0
+            tail, k = now[cut:], e
+        return out
+
+
+def begins(c: str) -> bool:
+    """Whether a letter never joins one before it, and stays as it is in normal form."""
+    o = ord(c)
+    return o < 0x300 or (unicodedata.combining(c) == 0 and unicodedata.category(c)[0] not in "MC" and not 0x1100 <= o <= 0x11FF and unicodedata.is_normalized("NFC", c))
 
 
 def lower(s: str) -> str:

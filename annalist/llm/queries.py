@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm import lines, topk, toxicity
+from annalist.llm.common import stored
 from annalist.llm.decontam import overlaps
 from annalist.llm.html import extract
 from annalist.llm.huffman import token_ids
@@ -53,7 +54,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_counts(table(spark, sf_dir, "documents"), limit=2048, store=False)
+    counts = stored(prefix_counts(table(spark, sf_dir, "documents"), limit=2048), "prefix-counts")
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within_limit")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
