@@ -33,30 +33,42 @@ class Trees:
 
 def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, l2: float = 2.0) -> Trees:
     n, width = x.shape
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for k in range(width)]
-    bins = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], 1).astype(np.int64)  # bin b: edge[b-1] < x <= edge[b]
-    flat = bins + np.arange(width) * BINS
+    yes_no = np.array([bool(((c == 0) | (c == 1)).all()) for c in x.T])
+    numbers, flags = np.flatnonzero(~yes_no), np.flatnonzero(yes_no)
+    edges = {f: np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in numbers}
+    bins = np.stack([np.searchsorted(edges[f], x[:, f], "left") for f in numbers] or [np.zeros(n, np.int64)], 1)  # bin b: edge[b-1] < x <= edge[b]
+    wide = bins.shape[1]
+    flat, flag = bins + np.arange(wide) * BINS, np.ascontiguousarray(x[:, flags], np.float32)
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     margin, inner, leaves = np.full(n, base), 2**depth - 1, 2**depth
     features, thresholds, values = np.zeros((rounds, inner), np.int64), np.full((rounds, inner), np.inf), np.zeros((rounds, leaves))
+
+    def gain(gl: np.ndarray, hl: np.ndarray, g: float, h: float) -> np.ndarray:
+        out = gl**2 / (hl + l2) + (g - gl) ** 2 / (h - hl + l2) - g**2 / (h + l2)
+        return np.where((hl < 1e-2) | (h - hl < 1e-2), 0, out)
+
     for r in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = y - p, p * (1 - p)
         at = np.zeros(n, np.int64)
         for level in range(depth):
-            first, many = 2**level - 1, 2**level
-            cell = (flat + ((at - first) * width * BINS)[:, None]).ravel()
-            gs, hs = (np.bincount(cell, np.repeat(v, width), many * width * BINS).reshape(many, width, BINS) for v in (g, h))
-            gl, hl = gs.cumsum(2)[:, :, :-1], hs.cumsum(2)[:, :, :-1]
-            gt, ht = gs.sum(2)[:, :, None], hs.sum(2)[:, :, None]
-            gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
-            gain[(hl < 1e-2) | (ht - hl < 1e-2)] = 0
-            best = gain.reshape(many, -1).argmax(1)
-            for k, b in enumerate(best):
-                f, cut = divmod(int(b), BINS - 1)
-                if gain[k, f, cut] > 1e-6 and cut < len(edges[f]):
-                    features[r, first + k], thresholds[r, first + k] = f, edges[f][cut]
+            first = 2**level - 1
+            for k in range(first, 2 * first + 1):
+                own = np.flatnonzero(at == k)
+                if not len(own):
+                    continue
+                go, ho, cells = g[own], h[own], flat[own].ravel()
+                gs, hs = (np.bincount(cells, np.repeat(v, wide), wide * BINS).reshape(wide, BINS).cumsum(1)[:, :-1] for v in (go, ho))
+                best = gain(gs, hs, go.sum(), ho.sum())
+                f, cut = divmod(int(best.argmax()), BINS - 1)
+                top = best[f, cut] if len(numbers) and cut < len(edges[numbers[f]]) else 0.0
+                if top > 1e-6:
+                    features[r, k], thresholds[r, k] = numbers[f], edges[numbers[f]][cut]
+                if len(flags):
+                    other = gain(go.sum() - go.astype(np.float32) @ flag[own], ho.sum() - ho.astype(np.float32) @ flag[own], go.sum(), ho.sum())
+                    if other.max() > max(top, 1e-6):
+                        features[r, k], thresholds[r, k] = flags[int(other.argmax())], 0.5
             at = 2 * at + 1 + (x[np.arange(n), features[r][at]] > thresholds[r][at])
         leaf = at - inner
         values[r] = rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + l2)

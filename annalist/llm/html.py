@@ -7,6 +7,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from annalist.llm.boosting import Trees, fit_trees
 from annalist.llm.common import lean, prepare
 
-# Fixed values of the HTML standard: elements without content, elements whose content is not markup, inline elements, and
-# elements that a start tag ends.
+# Fixed values of the HTML standard: elements without content, elements whose content is no text to read, foreign elements,
+# which a slash in their tag ends, inline elements, and elements that a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button".split())
+RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button".split())
+FOREIGN = frozenset("svg math".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
@@ -28,14 +30,17 @@ TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
-TAGS = "p div article main section nav header footer aside ul ol li h1 h2 h3 h4 table tr td form blockquote pre figure body dl".split()
+#: Text beside block elements is an element of its own, of this tag.
+RUN = "run"
+TAGS = "run p div article main section nav header footer aside ul ol li h1 h2 h3 h4 table tr td form blockquote pre figure body dl".split()
 AROUND = "article main nav header footer aside form ul table section".split()
 
 
 class Page:
     """The block elements of a page in document order, and its runs of text.
 
-    parent, tag, depth, tokens (of class, id, role) of each element; node, text, linked letters of each run.
+    parent, tag, depth, tokens (of class, id, role) of each element; node, text, linked letters of each run.  An element has
+    either one run of text and no elements inside, or elements alone: a run beside others is in an element RUN of its own.
     """
 
     def __init__(self, source: str):
@@ -45,20 +50,57 @@ class Page:
         self.text: list[str] = []
         self.linked: list[int] = []
         self._parse(source)
+        self._unwrap()
+
+    def _unwrap(self) -> None:
+        """Runs that are all that an element has belong to it."""
+        children = [0] * len(self.tag)
+        for p in self.parent[1:]:
+            children[p] += 1
+        alone = [k > 0 and self.tag[k] == RUN and children[self.parent[k]] == 1 for k in range(len(self.tag))]
+        number, n = [], 0
+        for gone in alone:
+            number.append(n)
+            n += not gone
+        self.node = [number[self.parent[k] if alone[k] else k] for k in self.node]
+        for k, gone in enumerate(alone):
+            if gone:
+                for counts in (self.inner, self.controls, self.images):
+                    counts[self.parent[k]] += counts[k]
+        kept = [k for k, gone in enumerate(alone) if not gone]
+        self.parent = [number[self.parent[k]] if k else -1 for k in kept]
+        for name in ("tag", "depth", "tokens", "inner", "controls", "images"):
+            values = getattr(self, name)
+            setattr(self, name, [values[k] for k in kept])
+
+    def _add(self, parent: int, tag: str, depth: int, tokens: frozenset[str]) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.depth.append(depth)
+        self.tokens.append(tokens)
+        for counts in (self.inner, self.controls, self.images):
+            counts.append(0)
+        return len(self.tag) - 1
 
     def _parse(self, s: str) -> None:
         stack, buffer, linked, link, at, n = [0], [], 0, 0, 0, len(s)
+        inner = controls = images = 0  # since the last run of text
+        open_ended: set[str] = set()  # names without an end tag from here on
 
         def flush() -> None:
-            nonlocal linked
-            if buffer:
-                text = " ".join("".join(buffer).split())
-                if text:
-                    self.node.append(stack[-1])
-                    self.text.append(text)
-                    self.linked.append(min(linked, len(text)))
-                buffer.clear()
-            linked = 0
+            nonlocal linked, inner, controls, images
+            text = " ".join("".join(buffer).split()) if buffer else ""
+            here = stack[-1]
+            if text:
+                here = self._add(here, RUN, len(stack), frozenset())
+                self.node.append(here)
+                self.text.append(text)
+                self.linked.append(min(linked, len(text)))
+            buffer.clear()
+            self.inner[here] += inner
+            self.controls[here] += controls
+            self.images[here] += images
+            linked = inner = controls = images = 0
 
         while at < n:
             m = TAG.search(s, at)
@@ -85,25 +127,25 @@ class Page:
             if name in RAW or name == "head" or name == "title":
                 if name == "head":  # its text is in elements of their own, which are left out
                     continue
-                if not close and not attrs.endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
+                if not close and not (name in FOREIGN and attrs.endswith("/")):
+                    end = None if name in open_ended else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
+                    if not end:
+                        open_ended.add(name)
                     at = end.end() if end else (n if name in ("script", "style", "title", "textarea") else at)
-                    if name in ("select", "textarea"):
-                        self.controls[stack[-1]] += 1
+                    controls += name in ("select", "textarea", "button")
                 continue
             if name in INLINE or name in VOID:
-                here = stack[-1]
-                self.inner[here] += not close
+                inner += not close
                 if name == "a":
                     link = 0 if close else 1
                 elif name == "br" or name == "hr":
                     buffer.append(" ")
                     if name == "hr":
                         flush()
-                elif name in ("input", "button"):
-                    self.controls[here] += not close
+                elif name == "input":
+                    controls += not close
                 elif name == "img":
-                    self.images[here] += 1
+                    images += 1
                 continue
             if name in ("html", "body"):
                 if not close and name == "body" and attrs:
@@ -129,14 +171,7 @@ class Page:
                         del stack[k:]
                     elif t in fence or t == "div":
                         break
-            self.parent.append(stack[-1])
-            self.tag.append(name)
-            self.depth.append(len(stack))
-            self.tokens.append(tokens_of(attrs) if "=" in attrs else frozenset())
-            for counts in (self.inner, self.controls, self.images):
-                counts.append(0)
-            if not attrs.endswith("/") or name in ENDS_P:
-                stack.append(len(self.tag) - 1)
+            stack.append(self._add(stack[-1], name, len(stack), tokens_of(attrs) if "=" in attrs else frozenset()))
         flush()
 
 
@@ -151,12 +186,14 @@ def node_features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.nda
     """A row per element of all pages, and where each page's begin (one more at the end).
 
     Of the subtree: letters, linked letters, elements, density, runs, full stops, controls, images, headings; depth, place
-    among and likeness to siblings, their lengths; shares of parent and page; tag, ancestors' tags, attribute tokens.
+    among and likeness to siblings, their lengths; shares of parent and page; tag, ancestors' tags, attribute tokens, ancestors'
+    attribute tokens.
     """
     begins = np.r_[0, np.cumsum([len(p.tag) for p in pages])].astype(np.int64)
     n = int(begins[-1])
-    out = np.zeros((n, len(NUMBERS) + len(TAGS) + len(AROUND) + len(vocabulary) + 1), np.float32)
+    out = np.zeros((n, len(NUMBERS) + len(TAGS) + len(AROUND) + 2 * len(vocabulary) + 1), np.float32)
     tag_at, around_at, token_at = len(NUMBERS), len(NUMBERS) + len(TAGS), len(NUMBERS) + len(TAGS) + len(AROUND)
+    above_at = token_at + len(vocabulary)
     tag_of, around_of = {t: k for k, t in enumerate(TAGS)}, {t: k for k, t in enumerate(AROUND)}
     for page, begin in zip(pages, begins, strict=False):
         m = len(page.tag)
@@ -179,11 +216,12 @@ def node_features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.nda
             images[p] += images[k]
             children[p].append(k)
         total = sums[0][0] or 1.0
-        before, around = 0.0, [frozenset()] * m
+        before, around, above = 0.0, [frozenset()] * m, [frozenset()] * m
         rows = out[begin : begin + m]
         own = [0.0] * m
         for node, text in zip(page.node, page.text, strict=True):
             own[node] += len(text)
+        own_tokens = [frozenset(vocabulary[t] for t in tokens if t in vocabulary) if tokens else frozenset() for tokens in page.tokens]
         for k in range(m):
             p, chars = page.parent[k], sums[0][k]
             r = rows[k]
@@ -196,24 +234,25 @@ def node_features(pages: list[Page], vocabulary: dict[str, int]) -> tuple[np.nda
                 for t in around[k]:
                     if t in around_of:
                         r[around_at + around_of[t]] = 1
+                above[k] = above[p] | own_tokens[p] if own_tokens[p] else above[p]
+                for j in above[k]:
+                    r[above_at + j] = 1
             if page.tag[k] in tag_of:
                 r[tag_at + tag_of[page.tag[k]]] = 1
-            unknown = 0
-            for t in page.tokens[k]:
-                j = vocabulary.get(t)
-                if j is None:
-                    unknown += 1
-                else:
-                    r[token_at + j] = 1
-            r[-1] = unknown
+            for j in own_tokens[k]:
+                r[token_at + j] = 1
+            r[-1] = len(page.tokens[k]) - len(own_tokens[k])
         for kids in children:
             if kids:
                 kids.reverse()
                 mean = sum(sums[0][k] for k in kids) / len(kids)
+                like: dict[str, int] = {}
+                for k in kids:
+                    like[page.tag[k]] = like.get(page.tag[k], 0) + 1
                 for i, k in enumerate(kids):
                     r = rows[k]
                     r[11], r[12] = i, len(kids)
-                    r[13] = sum(page.tag[j] == page.tag[k] for j in kids) / len(kids) if len(kids) < 50 else rows[kids[i - 1]][13] if i and page.tag[kids[i - 1]] == page.tag[k] else sum(page.tag[j] == page.tag[k] for j in kids) / len(kids)
+                    r[13] = like[page.tag[k]] / len(kids)
                     r[14] = sums[0][kids[i - 1]] if i else -1
                     r[15] = sums[0][kids[i + 1]] if i + 1 < len(kids) else -1
                     r[16] = mean
@@ -252,8 +291,10 @@ class Extractor:
         return out
 
 
-def fit_extractor(pages: int = 500, seed: int = 7) -> Extractor:
-    """Fit on ``pages`` labelled pages of many layouts, made here: an element is content if any of its text is."""
+@lru_cache(maxsize=2)
+def fit_extractor(pages: int = 1000, seed: int = 7) -> Extractor:
+    """Fit on ``pages`` labelled pages of many layouts, made here: an element is content if any of its text is.  Done once in a
+    process."""
     made = [sample_page(random.Random(seed * 1_000_003 + k)) for k in range(pages)]
     parsed = [Page(s) for s, _ in made]
     counts: dict[str, int] = {}
@@ -326,10 +367,26 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
             words = t.split()
             k = r.randint(1, len(words))
             t = " ".join([*words[: k - 1], f"<{(tag := r.choice(['b', 'em', 'i', 'a href=\"/x\"', 'span']))}>{words[k - 1]}</{tag.split()[0]}>", *words[k:]])
-        if 0.12 < kind < 0.2:
-            return f"<p><b>{t}<br>"
+        if 0.12 < kind < 0.2:  # tags that nothing ends
+            return f"<p><{r.choice(['b', 'i', 'font', 'span', 'strong'])}>{t}{r.choice(['', '<br>', '<br/>'])}"
+        if 0.2 < kind < 0.26 and keep:
+            t = r.choice(["{}<button>OK</button>", "<input type=checkbox> {}", '{} <button class="copy">+</button>', "<img src=x> {}"]).format(t.replace("{", "").replace("}", ""))
         return f"<p>{t}</p>" if kind < 0.93 else f"<p>{t}"
 
+    def stray() -> str:
+        """A line beside blocks: names of pages, a date, a copyright."""
+        bits = [text(r.randint(1, 2), False) for _ in range(r.randint(1, 6))]
+        how = r.random()
+        if how < 0.4:
+            line = r.choice([" | ", " - ", " &raquo; ", " / "]).join(bits)
+        elif how < 0.7:
+            line = r.choice([" ", " | "]).join(f'<a href="/{k}">{b}</a>' for k, b in enumerate(bits))
+        else:
+            line = f"{r.choice(['&copy; ', '(c) ', ''])}{r.randint(1999, 2030)} {bits[0]}"
+        if how < 0.4 or how >= 0.7:
+            return line
+        return line + r.choice(["", "<hr>", "<br>"])
+
     def menu(kind: str = "menu", n: int | None = None) -> str:
         items = "".join(f'<li><a href="/{k}">{text(r.randint(1, 3), False)}</a></li>' for k in range(n or r.randint(2, 10)))
         tag = r.choice(["nav", "div", "nav", "section"]) if kind == "menu" else r.choice(["div", "section", "aside"])
@@ -355,7 +412,7 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
         return f'<div{attrs("share", 1)}><a href="#">{text(1, False)}</a> <a href="#">{text(1, False)}</a></div>'
 
     def body() -> str:
-        out = []
+        out, bare = [], r.random() < 0.3
         if r.random() < 0.85:
             h = f"<h1>{text(r.randint(2, 12), True)}</h1>"
             out.append(f"<header>{h}</header>" if r.random() < 0.1 else h)
@@ -367,24 +424,28 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
             elif kind < 0.84:
                 out.append(f"<h2>{text(r.randint(1, 8), True)}</h2>")
             elif kind < 0.89:
-                out.append(f"<ul>{''.join(f'<li>{text(r.randint(2, 20), True)}</li>' for _ in range(r.randint(1, 5)))}</ul>")
+                out.append(f"<{(tag := r.choice(['ul', 'ul', 'ol']))}>{''.join(f'<li>{text(r.randint(2, 20), True)}</li>' for _ in range(r.randint(1, 5)))}</{tag}>")
             elif kind < 0.92:
-                out.append(f"<blockquote>{para(n, True)}</blockquote>")
+                out.append(f"<blockquote>{r.choice([para(n, True), text(n, True)])}</blockquote>")
             elif kind < 0.94:
                 out.append(f"<table>{''.join(f'<tr><td>{text(2, True)}</td><td>{text(3, True)}</td></tr>' for _ in range(r.randint(1, 4)))}</table>")
             elif kind < 0.96:
                 out.append(f'<figure><img src="a.png"><figcaption>{text(r.randint(3, 12), True)}</figcaption></figure>')
+            elif bare:
+                out.append(f"{text(n, True)}<hr>")
             else:
                 out.append(f"<div>{text(n, True)}</div>")
-            if r.random() < 0.04:
+            if r.random() < 0.08:
                 out.append(r.choice([ad, share, notice, form])())
+        if len(out) > 1 and r.random() < 0.3:  # the heading, then the rest in a box of its own
+            out[1:] = [f"<div{attrs('content', 0.8)}>", *out[1:], "</div>"]
         return "".join(out)
 
     core = body()
     if r.random() < 0.15:
         core += r.choice([comments, share, lambda: menu("side")])()
     how = r.random()
-    if how < 0.6:
+    if how < 0.45:
         core = f"<article{attrs('content', 0.3)}>{core}</article>"
     elif how < 0.75:
         core = f"<div{attrs('content', 1)}>{core}</div>"
@@ -392,16 +453,22 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
         core = f"<main{attrs('content', 0.3)}>{core}</main>"
     if r.random() < 0.25:
         core = f"<main>{core}</main>" if how < 0.75 else core
-    parts_before = [f for f, p in ((lambda: menu("menu"), 0.7), (lambda: f"<header{attrs('header', 0.4)}>{r.choice(['', '<h2>'])}{text(r.randint(1, 6), False)}{r.choice(['', menu('menu', 3)])}</header>", 0.4), (lambda: f"<div{attrs('header', 1)}>{text(r.randint(1, 6), False)}</div>", 0.15), (ad, 0.4), (notice, 0.25), (form, 0.15), (lambda: menu("side"), 0.15)) if r.random() < p]
-    parts_after = [f for f, p in ((comments, 0.3), (lambda: menu("side"), 0.3), (lambda: f"<aside{attrs('side', 0.5)}>{para(r.randint(3, 40), False)}{para(r.randint(3, 20), False)}</aside>", 0.25), (ad, 0.2), (share, 0.15), (form, 0.15), (notice, 0.15)) if r.random() < p]
+    parts_before = [f for f, p in ((lambda: menu("menu"), 0.7), (lambda: f"<header{attrs('header', 0.4)}>{r.choice(['', '<h2>'])}{text(r.randint(1, 6), False)}{r.choice(['', menu('menu', 3)])}</header>", 0.4), (lambda: f"<div{attrs('header', 1)}>{text(r.randint(1, 6), False)}</div>", 0.15), (ad, 0.4), (notice, 0.25), (form, 0.15), (lambda: menu("side"), 0.15), (stray, 0.2)) if r.random() < p]
+    parts_after = [f for f, p in ((comments, 0.3), (lambda: menu("side"), 0.3), (lambda: f"<aside{attrs('side', 0.5)}>{para(r.randint(3, 40), False)}{para(r.randint(3, 20), False)}</aside>", 0.25), (ad, 0.2), (share, 0.15), (form, 0.15), (notice, 0.15), (stray, 0.2)) if r.random() < p]
     r.shuffle(parts_before)
     r.shuffle(parts_after)
     foot = f"<footer{attrs('footer', 0.4)}>&copy; {text(r.randint(1, 25), False)}</footer>" if r.random() < 0.75 else f"<div{attrs('footer', 1)}>{text(r.randint(1, 15), False)}</div>"
     inside = "".join(f() for f in parts_before) + core + "".join(f() for f in parts_after)
     if r.random() < 0.4:
         inside = f"<div{attrs('plain', 0.9)}>{inside}</div>"
-    end = "</body></html>" if r.random() < 0.85 else ""
-    return f"<!DOCTYPE html><html><head><title>{_words(r, 4)}</title><style>p{{margin:0}}</style></head><body{attrs('plain', 0.1)}>{inside}{foot}{end}", kept
+    if r.random() < 0.15:
+        foot += stray()
+    if r.random() < 0.1:
+        inside = inside.replace("</div>", "", 1) if r.random() < 0.5 else inside + "</div></section>"
+    head = "".join(x for x in (f"<title>{_words(r, r.randint(1, 9))}</title>", "<meta charset=utf-8>", "<style>.a > p { color: #123 }</style>", '<script src="a.js"/></script>', "<script>if (1 < 2) document.write('<p>x</p>')</script>", "<link rel=stylesheet href=a.css>") if r.random() < 0.5)
+    begin = r.choice(["<!DOCTYPE html><html>", "<html>", "", "<!doctype html>\n<html lang=en>\n"])
+    end = r.choice(["</body></html>", "</body></html>", "</html>", ""])
+    return f"{begin}<head>{head}</head><body{attrs('plain', 0.1)}>{inside}{foot}{end}", kept
 
 
 def extract(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
