@@ -1,4 +1,10 @@
-"""Benchmark passages in documents: spaced seeds find them despite substituted words, an alignment verifies them."""
+"""Benchmark passages in documents: spaced seeds find them despite substituted words, an alignment verifies them.
+
+The hashes of all seeds of the items are joined with those of the documents.  Up to BLOCK_BYTES of item text, which is measured
+before, the items' side of the join is sent to every task and documents are read once, without a shuffle.  A larger benchmark's
+seeds stay a table: a bitmap of bounded size drops most of the documents' seeds, the others are joined by a shuffle, and the
+texts of the pairs that meet are fetched and verified.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import lean, mix, prepare, ranges, slices, text_bytes, texts_of
+from annalist.llm.common import free, lean, mix, prepare, ranges, row_key, slices, stored, text_bytes, texts_of
 from annalist.llm.words import ODD, SIGNS, word_bounds, word_hashes
 
 #: Seeds: runs of words, of which those at 1 count.  Every overlap has at least one of them whole (the tests count this out).
@@ -21,8 +27,10 @@ LEAST_WORDS = 13
 LEAST_SHARE = 0.75
 #: Shorter items can't be told from chance and match nothing.
 SHORTEST = 5
-#: Bytes of benchmark text whose seeds are sent to every task at once; a larger benchmark takes several passes.
+#: Bytes of benchmark text whose seeds are sent to every task.
 BLOCK_BYTES = 16 << 20
+#: Bits of the bitmap of a larger benchmark's seeds.
+BITMAP = 27
 
 
 @dataclass
@@ -93,36 +101,116 @@ def bounded(least_words: int, least_share: float) -> None:
         raise ValueError(f"seeds find overlaps of {LEAST_WORDS} words and a share of {LEAST_SHARE} or more")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, sent_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Verified overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text), one row per document row and item:
     doc_id, item_id, doc_word and item_word (where the longest overlap starts), n_words, n_equal.
 
     Along each diagonal that a seed names, the stretch with most equal words must have ``least_words`` words (all words of
     an item that has fewer), ``least_share`` of them equal.  Every such diagonal has a seed; bounds below LEAST_WORDS and
-    LEAST_SHARE, for which that does not hold, are refused.  Items under SHORTEST words, null and empty texts match
-    nothing.  Repeated rows give a row each; of items with one id the best counts.  Empty tables give no rows.
-
-    Items are read in blocks of at most BLOCK_BYTES, measured before: each block's seeds go to all tasks.
+    LEAST_SHARE, for which that does not hold, are refused.  Items under SHORTEST words, null and empty texts, and items with
+    a null item_id match nothing.  Repeated rows give a row each; of items with one id the best counts; a null doc_id stays
+    null.  Empty tables give no rows.  Items of at most ``sent_bytes`` are sent to all tasks, else they are joined.
     """
     bounded(least_words, least_share)
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    out = None
-    for seeds in blocks_of(items):
-        found = texts_of(docs).mapInArrow(lean(_rows(seeds, least_words, least_share)), ", ".join(f"{n} long" for n in NAMES))
-        out = found if out is None else out.unionByName(found)
-    return out
+    items = items_of(benchmark)
+    if fits(items, sent_bytes):
+        return texts_of(docs).mapInArrow(lean(_rows(sent(items), least_words, least_share)), ", ".join(f"{n} long" for n in NAMES))
+    doc, text_hash = row_key()
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), text_hash.alias("hash"))
+    return keys.join(joined(docs, items, least_words, least_share), ["doc", "hash"]).select(NAMES)
 
 
 NAMES = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"]
 
 
-def blocks_of(items: DataFrame) -> Iterator[Seeds]:
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) * 2 + 1
-    for k in range(blocks):
-        yield seeds_of([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()])
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+
+
+def fits(items: DataFrame, sent_bytes: int) -> bool:
+    """Whether the items' texts, and their ids, are few enough to be sent to all tasks."""
+    size = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    return size <= sent_bytes
+
+
+def sent(items: DataFrame) -> Seeds:
+    return seeds_of([tuple(r) for r in items.collect()])
+
+
+def joined(docs: DataFrame, items: DataFrame, least_words: int, least_share: float) -> DataFrame:
+    """doc and hash (of a row of docs), item_id and the best overlap of the two, by a join of seeds that stay tables."""
+    items = stored(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    masks = [*MASKS, *(whole_mask(n) for n in range(SHORTEST, LEAST_WORDS))]
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = seeds_of([(k, text)])
+                h, place = (np.concatenate([x[m] for m in own.keys]) for x in (own.keys, own.place))
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k)), pa.array(place)], names=["seed", "item", "place"])
+
+    seeds = stored(items.select("item", "text").mapInArrow(lean(seeded), "seed long, item long, place long"), "seeds")
+    place = F.shiftrightunsigned("seed", 64 - BITMAP) + 1  # Spark's bitmaps count from 1
+    marks = seeds.select(place.alias("x")).distinct().groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
+    bitmap = np.zeros((1 << BITMAP) // 8, np.uint8)
+    for r in marks.collect():  # one row of 4 KB for 32,768 bits: as many as the bitmap has
+        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            _, offsets = text_bytes(column)
+            for a, b in slices(offsets):
+                words, counts = words_of(column.slice(a, b - a).fill_null(""))
+                ends = np.cumsum(counts)
+                found = []
+                for mask in masks:
+                    h, at = seed_hashes(words, counts, mask)
+                    x = (h >> np.uint64(64 - BITMAP)).astype(np.int64)
+                    some = np.flatnonzero(bitmap[x >> 3] >> (x & 7).astype(np.uint8) & 1)
+                    row = np.searchsorted(ends, at[some], "right")
+                    found.append((h[some].view(np.int64), row, at[some] - (ends - counts)[row]))
+                h, row, at = (np.concatenate(f) for f in zip(*found, strict=True))
+                if len(h):
+                    yield pa.record_batch([batch.column(0).take(pa.array(a + row)), batch.column(1).take(pa.array(a + row)), pa.array(h), pa.array(at)], names=["doc", "hash", "seed", "at"])
+
+    doc, text_hash = row_key()
+    texts = docs.select(doc.alias("doc"), text_hash.alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    hits = stored(texts.mapInArrow(lean(met), "doc long, hash long, seed long, at long"), "hits")
+    pairs = hits.join(seeds, "seed").select("doc", "hash", "item", (F.col("at") - F.col("place")).alias("diagonal"))
+    # as many as a document and an item have diagonals
+    pairs = stored(pairs.groupBy("doc", "hash", "item").agg(F.collect_set("diagonal").alias("diagonals")), "pairs")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            doc_words, doc_counts = words_of(batch.column(2))
+            item_words, item_counts = words_of(batch.column(4))
+            doc_ends, item_ends = np.cumsum(doc_counts), np.cumsum(item_counts)
+            for k, diagonals in enumerate(batch.column(5).to_pylist()):
+                of = doc_words[doc_ends[k] - doc_counts[k] : doc_ends[k]]
+                own = item_words[item_ends[k] - item_counts[k] : item_ends[k]]
+                best = max((x for d in diagonals if (x := along(own, of, d, least_words, least_share))), default=None)
+                if best:
+                    out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py(), *best))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "hash", "item_id", "n_equal", "n_words", "doc_word", "item_word"])
+
+    wanted = texts.join(pairs, ["doc", "hash"]).dropDuplicates(["doc", "hash", "item"])
+    both = wanted.join(items.withColumnRenamed("text", "item_text"), "item").select("doc", "hash", "text", "item_id", "item_text", "diagonals")
+    best = both.mapInArrow(lean(verified), "doc long, hash long, item_id long, n_equal long, n_words long, doc_word long, item_word long")
+    one = best.groupBy("doc", "hash", "item_id").agg(F.max(F.struct("n_equal", "n_words", "doc_word", "item_word")).alias("x"))
+    return stored(one.select("doc", "hash", "item_id", "x.*"), "overlaps")
+
+
+def along(own: np.ndarray, doc: np.ndarray, diagonal: int, least_words: int, least_share: float) -> tuple[int, int, int, int] | None:
+    """Equal words, words, and where the best stretch along a diagonal starts in the document and the item, if it is enough."""
+    first, last = max(0, -diagonal), min(len(own), len(doc) - diagonal)
+    start, end, same = best_stretch(own[first:last] == doc[first + diagonal : last + diagonal])
+    n = end - start
+    return (same, n, first + start + diagonal, first + start) if n >= min(least_words, len(own)) and same >= least_share * n else None
 
 
 def _rows(seeds: Seeds, least_words: int, least_share: float):
@@ -136,24 +224,28 @@ def _rows(seeds: Seeds, least_words: int, least_share: float):
     return rows
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, sent_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that overlap a benchmark item, as overlaps() has it; columns as they were."""
     bounded(least_words, least_share)
     prepare(docs.sparkSession)
-    at = docs.columns.index("text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    for seeds in blocks_of(items):
-
-        def kept(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            find = _finder(seeds, least_words, least_share)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for row, *_ in find(batch.column(at)):
-                    keep[row] = False
-                yield batch.filter(pa.array(keep))
+    items = items_of(benchmark)
+    if not fits(items, sent_bytes):
+        found = joined(docs, items, least_words, least_share).select("doc", "hash").distinct()
+        names = [free(n, docs.columns) for n in ("doc", "hash")]
+        doc, text_hash = row_key()
+        found = found.toDF(*names)
+        return docs.join(found, (doc == F.col(names[0])) & (text_hash == F.col(names[1])), "left_anti")
+    at, seeds = docs.columns.index("text"), sent(items)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(seeds, least_words, least_share)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, *_ in find(batch.column(at)):
+                keep[row] = False
+            yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(lean(kept), docs.schema)
-    return docs
+    return docs.mapInArrow(lean(kept), docs.schema)
 
 
 def _finder(seeds: Seeds, least_words: int, least_share: float):
@@ -185,12 +277,9 @@ def _finder(seeds: Seeds, least_words: int, least_share: float):
             for row, item, diagonal in found[_enough(seeds, words, ends, counts, found, least_words, least_share)].tolist():
                 doc = words[ends[row] - counts[row] : ends[row]]
                 own = seeds.words[seeds.starts[item] : seeds.starts[item + 1]]
-                first, last = max(0, -diagonal), min(len(own), len(doc) - diagonal)
-                start, end, same = best_stretch(own[first:last] == doc[first + diagonal : last + diagonal])
-                n = end - start
-                if n >= min(least_words, len(own)) and same >= least_share * n:
+                if x := along(own, doc, diagonal, least_words, least_share):
                     key = (row, seeds.ids[item])
-                    best[key] = max(best.get(key, (0,)), (same, n, first + start + diagonal, first + start))
+                    best[key] = max(best.get(key, (0,)), x)
             for (row, item), (same, n, d, w) in best.items():
                 yield a + row, item, d, w, n, same
 
