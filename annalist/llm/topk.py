@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import lean, prepare, stored
+from annalist.llm.common import lean, partitions, prepare, stored
 
-#: Vectors in a block of candidates, queries in a block of queries, candidate blocks that one task reads for its queries.
+#: Vectors in a block of candidates and queries in a block of queries.
 CANDIDATES = 2048
 QUERIES = 512
-TILE = 32
+#: Blocks of candidates and of queries that meet in one task, about.
+TILE, QUERY_TILE = 8, 2
 #: Shares of a list read from an end before bounds are compared; after the last, bounds are the scores.
 DEPTHS = (0.5, 0.75, 0.875, 0.9375, 1.0)
 #: Final scores are resolved once this share of a block's candidates is left.
@@ -104,7 +105,7 @@ class Search:
                 self.least[q] = self.scores[q][-1]
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, candidates_in_block: int = CANDIDATES, queries_in_block: int = QUERIES) -> DataFrame:
     """The k candidates of highest inner product of every query: query_id, rank (from 1), vec_id, score.
 
     ``vectors`` (vec_id, embedding): components become floor(scale * x), x as double.  Queries are the rows whose vec_id is
@@ -113,7 +114,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     part; vectors of another length than a query's are no candidates of it.  Of rows with one vec_id each is a candidate.
     An empty table gives no rows.
 
-    Blocks of queries meet tiles of candidate blocks in one task each; a task holds one tile's lists at a time.
+    Tiles of about TILE blocks of candidates meet tiles of about QUERY_TILE blocks of queries, in a task each: no task grows
+    with the candidates or with the queries.  A task holds one tile's lists at a time.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -149,21 +151,25 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
 
     kind = "block long, dims long, ids binary, vectors binary"
     whole = whole.select("vec_id", "v")
-    candidates = stored(whole.mapInArrow(lean(blocks(CANDIDATES)), kind), "candidates")
-    queries = stored(whole.where(F.col("vec_id") % every == 0).coalesce(max(1, whole.rdd.getNumPartitions() // every)).mapInArrow(lean(blocks(QUERIES)), kind), "queries")
-    tiles = candidates.groupBy("dims").agg(F.count("*").alias("n"))
-    # every block of queries with every tile: a stated query set against all rows, in blocks
-    numbered = candidates.withColumn("tile", F.pmod(F.xxhash64("block"), F.lit(1 << 20)))
-    count = F.ceil(F.col("n") / TILE).cast("long")
-    numbered = numbered.join(tiles, "dims").withColumn("tile", F.pmod("tile", count)).select("dims", "tile", F.lit(0).alias("kind"), "ids", "vectors", F.lit(0).cast("long").alias("block"))
-    asked = queries.join(tiles, "dims").select("dims", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("tile"), F.lit(1).alias("kind"), "ids", "vectors", "block")
+    candidates = stored(whole.mapInArrow(lean(blocks(candidates_in_block)), kind), "candidates")
+    queries = stored(whole.where(F.col("vec_id") % every == 0).coalesce(max(1, whole.rdd.getNumPartitions() // every)).mapInArrow(lean(blocks(queries_in_block)), kind), "queries")
+
+    def tiles(table: DataFrame, of: str, size: int) -> DataFrame:
+        return table.groupBy("dims").agg(F.ceil(F.count("*") / size).cast("long").alias(of))
+
+    # every tile of queries with every tile of candidates: a stated query set against all rows, in blocks
+    grid = stored(tiles(candidates, "n", TILE).join(tiles(queries, "m", QUERY_TILE), "dims"), "grid")
+    own = lambda count: F.pmod(F.xxhash64("block"), F.col(count))
+    other = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    cells = candidates.join(F.broadcast(grid), "dims").select("dims", own("n").alias("tile"), other("m").alias("part"), F.lit(0).alias("kind"), "ids", "vectors")  # a row for each length of vectors
+    asked = queries.join(F.broadcast(grid), "dims").select("dims", other("n").alias("tile"), own("m").alias("part"), F.lit(1).alias("kind"), "ids", "vectors")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, now = [], None
         for batch in batches:
-            for dims, tile, is_query, ids, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (dims, tile) != now:
-                    lists, now = [], (dims, tile)
+            for dims, tile, part, is_query, ids, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (dims, tile, part) != now:
+                    lists, now = [], (dims, tile, part)
                 ids = np.frombuffer(ids, np.int64)
                 values = np.frombuffer(values, np.int64).reshape(len(ids), dims)
                 if not is_query:
@@ -175,8 +181,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
                 n = [len(s) for s in search.scores]
                 yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(search.found)), pa.array(np.concatenate(search.scores))], names=["query_id", "vec_id", "score"])
 
-    both = numbered.unionByName(asked).select("dims", "tile", "kind", "ids", "vectors", "block")
-    met = both.repartition("dims", "tile").sortWithinPartitions("dims", "tile", "kind").select("dims", "tile", "kind", "ids", "vectors")
+    cell = ["dims", "tile", "part"]
+    met = cells.unionByName(asked).repartition(partitions(spark), *cell).sortWithinPartitions(*cell, "kind")
     part = met.mapInArrow(lean(searched), "query_id long, vec_id long, score long")
     # k rows of each query and tile at most
     order = F.struct((-F.col("score")).alias("minus"), "vec_id")
