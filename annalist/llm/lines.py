@@ -5,57 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import stored
+from annalist.llm.common import free, stored
 
 #: A line on this many sites is boilerplate.
 SITES = 10
 #: Sketch size (2 ** LG_K registers) and the share of the threshold within which estimates are not trusted.
 LG_K = 11
 MARGIN = 0.2
+#: Parts into which the rows of a line are dealt before their sketches are merged.
+PARTS = 64
+#: Stands for a null doc_id: such rows come last.
+LAST = (1 << 63) - 1
+
+
+def row_key() -> tuple:
+    """What names a row: its doc_id, and a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text", F.col("doc_id").isNull())
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, pos and a 128-bit hash of every line that isn't blank; a line counts without outer spaces."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """doc and hash (of the row), source, pos and a 128-bit hash of every line that isn't blank; a line counts without outer
+    spaces."""
+    doc, text = row_key()
+    lines = docs.select(doc.alias("doc"), text.alias("hash"), F.col("source").cast("string").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     line = F.trim("line")
-    return lines.where(F.length(line) > 0).select("doc_id", "source", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
+    return lines.where(F.length(line) > 0).select("doc", "hash", "source", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """Hashes (h1, h2) of lines on at least ``sites`` distinct sources, and the first place (doc_id, pos) of each.
+    """Hashes (h1, h2) of lines on at least ``sites`` distinct sources, and the first place (doc, pos, hash) of each.
 
     Only lines with that many rows and two sources can qualify; their sources go into sketches that merge by aggregation.
     Estimates near the threshold are replaced by exact counts.  A null source is no site.
     """
-    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("source").alias("x"), F.max("source").alias("y"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("source").alias("x"), F.max("source").alias("y"), F.min(F.struct("doc", "pos", "hash")).alias("first"))
     often = stored(seen.where((F.col("n") >= sites) & ((F.col("x") != F.col("y")) | F.lit(sites <= 1)) & F.col("x").isNotNull()).select("h1", "h2", "first"), "often")
-    rows = lines.join(often.select("h1", "h2"), ["h1", "h2"]).where("source is not null")
-    # sketches of parts of a line's rows, then their union: a common line is not one task's work
-    part = rows.groupBy("h1", "h2", F.pmod(F.col("doc_id"), F.lit(16)).alias("part")).agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"))
-    spread = stored(part.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites")), "spread")
+    # a common line is no single task's work: its rows are dealt by part, too, and their sketches merged
+    dealt = often.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    rows = lines.where("source is not null").select("h1", "h2", "source", F.pmod(F.xxhash64("doc", "hash"), F.lit(PARTS)).cast("int").alias("part")).join(dealt, ["h1", "h2", "part"])
+    sketches = rows.groupBy("h1", "h2", "part").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"))
+    spread = stored(sketches.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites")), "spread")
     close = spread.where(F.abs(F.col("sites") - sites) <= MARGIN * sites + 1).select("h1", "h2")
-    exact = rows.join(close, ["h1", "h2"]).select("h1", "h2", "source").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    near = close.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    exact = rows.join(near, ["h1", "h2", "part"]).select("h1", "h2", "part", "source").distinct().select("h1", "h2", "source").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     return spread.join(exact, ["h1", "h2"], "left").where(F.coalesce("exact", "sites") >= sites).join(often, ["h1", "h2"]).select("h1", "h2", "first")
 
 
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that dedup_lines() adds: n_lines and n_removed, with underscores where docs has such a column."""
+    return free("n_lines", docs.columns), free("n_removed", docs.columns)
+
+
 def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """``docs`` (doc_id, source, text and any others) with boilerplate lines cut from text, all rows and columns kept, and
-    ``n_lines``, ``n_removed`` (long).
+    ``n_lines``, ``n_removed`` (long); see count_names() where docs has columns of these names, which stay as they are.
 
-    Of each boilerplate line the first place (least doc_id, then line) stays.  Blank lines, null and empty texts are as
-    they were (n_lines counts the pieces between line feeds; 0 for null).  Rows that repeat a doc_id lose the same lines.
-    An empty table stays empty.
+    Of each boilerplate line the first place (least doc_id, a null one last; then least line) stays.  Blank lines, null and
+    empty texts are as they were (n_lines counts the pieces between line feeds; 0 for null).  Rows that repeat a doc_id and
+    a text lose the same lines; rows of one doc_id with other texts are rows of their own.  An empty table stays empty.
     """
+    n_lines, n_removed = count_names(docs)
+    doc, text_hash, gone_at = (free(n, [*docs.columns, n_lines, n_removed]) for n in ("doc", "hash", "gone"))
     lines = stored(lines_of(docs), "lines")
-    bad = boilerplate(lines, sites)
-    gone = lines.join(bad, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos")
+    bad = stored(boilerplate(lines, sites), "boilerplate")
+    place = F.struct("doc", "pos", "hash")
+    gone = lines.join(bad, ["h1", "h2"]).where(place != F.col("first")).select(F.col("doc").alias(doc), F.col("hash").alias(text_hash), "pos")
     # at most as many numbers as the document has lines
-    gone = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    gone = gone.groupBy(doc, text_hash).agg(F.collect_set("pos").alias(gone_at))
+    own_doc, own_hash = row_key()
+    out = docs.join(gone, (own_doc == F.col(doc)) & (own_hash == F.col(text_hash)), "left")
     pieces = F.split("text", "\n", -1)
-    kept = F.filter(F.arrays_zip(pieces.alias("line"), F.sequence(F.lit(0), F.size(pieces) - 1).alias("pos")), lambda x: ~F.array_contains(F.col("__gone"), x["pos"]))
-    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return out.withColumns({"text": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop("__id", "__gone")
+    kept = F.filter(pieces, lambda _, i: ~F.array_contains(F.col(gone_at), i))
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    counts = {n_lines: F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long"), n_removed: F.coalesce(F.size(gone_at), F.lit(0)).cast("long")}
+    return out.withColumns({"text": text} | counts).drop(doc, text_hash, gone_at)
 
 
 #: DuckDB SQL for the digest query: exact counts of sites.
