@@ -113,6 +113,15 @@ def test_huffman_round_trip(spark, sample):
     assert huffman.token_ids(docs_of(spark, [])).count() == 0
 
 
+def test_huffman_blocks(spark, sample, tmp_path):
+    """Blocks of few ids: whole documents, each decoded on its own."""
+    huffman.write_ids(docs_of(spark, sample), str(tmp_path / "ids"), size_of_block=300)
+    blocks = spark.read.parquet(str(tmp_path / "ids" / "blocks"))
+    assert blocks.count() > 20
+    got = sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in huffman.read_ids(spark, str(tmp_path / "ids")).collect())
+    assert got == sorted((d, [*encode(t), 2]) for d, t, *_ in sample)
+
+
 def test_packing(spark, sample):
     out = packing.pack(docs_of(spark, sample).repartition(3), window=256, open_windows=4).collect()
     sequences, pieces = defaultdict(list), defaultdict(list)
@@ -160,9 +169,10 @@ def test_suffix_order_prefixes_and_merge():
             assert suffixes.repeated(data, begins, lengths, np.zeros(len(texts), int), depth, size).tolist() == want
 
 
-@pytest.mark.parametrize("depth", [60, 200])
-def test_repeats(spark, sample, depth):
-    out = repeats.remove_repeats(docs_of(spark, sample), depth).collect()
+@pytest.mark.parametrize("depth,most", [(60, repeats.MOST), (200, repeats.MOST), (60, 2), (200, 0)])
+def test_repeats(spark, sample, depth, most):
+    """With few stretches to an anchor in a task, the others are split by what surrounds it."""
+    out = repeats.remove_repeats(docs_of(spark, sample), depth, most).collect()
     texts = [(d, (t or "").encode()) for d, t, *_ in sample]
     counts = Counter(t[i : i + depth] for _, t in texts for i in range(len(t) - depth + 1))
     want = {}
@@ -210,7 +220,8 @@ def test_signatures_of_similar_sets_meet():
         if x == y or 100 * len(x & y) < 80 * len(x | y):
             continue
         common = np.sort(np.array(r.sample(sorted(x), r.choice([0, n // 3, n])), np.uint64))
-        sig, of = jaccard.signatures([np.sort(np.array(sorted(s), np.uint64)) for s in (x, y)], 80, 100, common)
+        both = np.array([*sorted(x), *sorted(y)], np.uint64)
+        sig, of = jaccard.signatures(both, np.array([len(x), len(y)]), ~jaccard.member_of(both, common), 80, 100)
         assert set(sig[of == 0]) & set(sig[of == 1])
 
 
@@ -233,13 +244,17 @@ def test_near_duplicates_of_one_large_borderline_group(spark):
         rows.append((d, " ".join(w), "en", "s", 1))
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_duplicates(docs_of(spark, rows), 4, 85, 100).collect()}
     assert got == brute_components([(d, t) for d, t, *_ in rows], 4, 85, 100)
+    # groups passed on in part, compared in blocks after the prefix filter
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_duplicates(docs_of(spark, rows), 4, 85, 100, collapse=2, block=8).collect()}
+    assert got == brute_components([(d, t) for d, t, *_ in rows], 4, 85, 100)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1000, 0])
+def test_components(spark, at_once):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (4, 4), (3, 1), (20, 3), (None, 5)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, 9: 7}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), at_once).count() == 0
 
 
 def test_lines(spark):
@@ -332,6 +347,9 @@ def test_decontamination_of_spread_substitutions(spark):
             want.add((k, k, 20 + start, start, end - start, same))
     docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(x) for x in overlaps(docs, bench).collect()} == want
+    # the same by a join of seeds that stay a table
+    assert {tuple(x) for x in overlaps(docs, bench, sent_bytes=0).collect()} == want
+    assert {x["doc_id"] for x in decontaminated(docs, bench, sent_bytes=0).collect()} == set(range(len(rows))) - {x[0] for x in want}
     assert {x["doc_id"] for x in decontaminated(docs, bench).collect()} == set(range(len(rows))) - {x[0] for x in want}
     with pytest.raises(ValueError, match="share"):
         overlaps(docs, bench, least_share=0.5)
@@ -342,7 +360,10 @@ def test_topk_equals_brute_force(spark):
     x = r.normal(size=(400, 8)) / 3
     x[50:90] = x[50]
     rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(1000, None), (1020, [1.0, None, *[0.0] * 6]), (1040, [float("nan")] * 8), (None, [0.1] * 8), (1060, [1.0, 2.0])]
-    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 7, 20, 64).collect()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = topk.top_k(table, 7, 20, 64).collect()
+    # many blocks and tiles of both sides
+    assert sorted(map(tuple, out)) == sorted(map(tuple, topk.top_k(table.coalesce(1), 7, 20, 64, candidates_in_block=9, queries_in_block=3).collect()))
     q = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
     got = defaultdict(list)
     for o in out:
