@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm import toxicity
-from annalist.llm.common import stored
+from annalist.llm.common import cleared, marked, stored
 from annalist.llm.decontam import decontaminated
-from annalist.llm.jaccard import near_duplicates
-from annalist.llm.lines import dedup_lines
+from annalist.llm.jaccard import one_of_each
+from annalist.llm.lines import count_names, dedup_lines
 from annalist.llm.packing import pack
 
 
@@ -23,15 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without cross-site boilerplate lines; documents that had nothing else go."""
-    out = dedup_lines(docs).where("not (n_removed > 0 and length(trim(text)) = 0)")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Texts without cross-site boilerplate lines; documents that had nothing else go.  n_chars, if docs have it, follows."""
+    removed = F.col(count_names(docs)[1])
+    out = dedup_lines(docs).where(~((removed > 0) & (F.length(F.trim("text")) == 0)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at a similarity of 0.8."""
-    kept = near_duplicates(docs, size=5, num=80, den=100).select(F.col("component_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    """One document of each group that five-word shingles link at a similarity of 0.8: that of the smallest id."""
+    return one_of_each(docs, size=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what one leaves in the shared folder is deleted once the next one's documents are written."""
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), marked()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        cleared(spark, docs, begun)
     return STAGES[-1][1](spark, docs, sf_dir)
