@@ -75,19 +75,19 @@ def contradictions(rows: DataFrame, user: str, recent: int = 300) -> DataFrame:
 
 
 def governed(window: DataFrame, superseded: DataFrame | None = None) -> DataFrame:
-    """A result window (qid, id, source, content, moment, position, score) without duplicates, older versions discounted.
+    """A result window (qid, id, source, content, moment, position, score, ...) without duplicates, older versions discounted.
 
     Of texts with one normal form the newest stays.  A statement that a later one of its speaker revises keeps a quarter of
     its score if they overlap strongly, else half; ``superseded`` (qid, id) keep a tenth.  No score stays none.
     """
     newest = F.row_number().over(W.partitionBy("qid", "key").orderBy(F.desc("moment"), F.desc("position"), F.desc("id")))
-    rows = profiled(window).withColumn("n", newest).where("n = 1").drop("n")
+    rows = window.withColumn("key", T.normal(F.col("content"))).withColumn("n", newest).where("n = 1").drop("n", "key")
     jaccard, coverage = overlap()
-    found = pairs(rows, "qid").where((F.col("old.source") == F.col("new.source")) & (same_domain() | rewrite(jaccard)))
+    found = pairs(profiled(rows), "qid").where((F.col("old.source") == F.col("new.source")) & (same_domain() | rewrite(jaccard)))
     worst = found.groupBy(F.col("old.qid").alias("qid"), F.col("old.id").alias("id")).agg(F.max(jaccard).alias("j"), F.max(coverage).alias("c"))
     strong = (F.col("j") >= V.STRONG_JACCARD) | (F.col("c") >= V.STRONG_COVERAGE)
     factor = F.when((F.col("j") > 0) | (F.col("c") > 0), F.when(strong, V.STRONG_DISCOUNT).otherwise(V.WEAK_DISCOUNT)).otherwise(1.0)
     out = rows.join(worst, ["qid", "id"], "left").withColumn("score", F.round(F.col("score") * factor, 4))
     if superseded is not None:
         out = out.join(superseded.select("qid", "id", F.lit(True).alias("old")).distinct(), ["qid", "id"], "left").withColumn("score", F.when(F.col("old"), F.round(F.col("score") * V.SUPERSEDED_DISCOUNT, 4)).otherwise(F.col("score")))
-    return out.select("qid", "id", "score")
+    return out.select(*window.columns)

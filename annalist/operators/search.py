@@ -47,13 +47,15 @@ def neighbours(rows: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame
     """(qid, id, place, score) of turns near what was found that share a token with the question or with what was found; near
     a causal question's, any with tokens.  As many as top_k leaves room for, by session and place in it."""
     words = F.array_distinct(T.tokens(F.col("content")))
-    seeds = found.where("section <> 'canon'").join(rows.select("id", "session_id", "position", words.alias("words")), "id")
-    signal = seeds.groupBy("qid").agg(F.flatten(F.collect_list("words")).alias("said"), F.count("*").alias("seeds"))
-    signal = signal.join(asked.select("qid", "top_k", "causal", "expanded"), "qid").withColumn("signal", F.array_union(F.array_distinct("said"), F.array_distinct(T.tokens(F.col("expanded")))))
-    signal = signal.select("qid", "signal", "causal", (F.col("top_k") - F.col("seeds")).alias("room"))
+    seed = F.when(F.col("section") != "canon", F.struct("session_id", "position", words.alias("words")))
+    ask = asked.select("qid", "top_k", "causal", F.array_distinct(T.tokens(F.col("expanded"))).alias("asks"))
+    # one row per search with what it found: at most top_k rows and the anchors
+    per = found.join(rows.select("id", "session_id", "position", "content"), "id").groupBy("qid").agg(F.collect_list(seed).alias("seeds"), F.collect_list("id").alias("ids")).join(F.broadcast(ask), "qid")
+    per = per.withColumns({"signal": F.array_distinct(F.concat(F.flatten("seeds.words"), "asks")), "room": F.col("top_k") - F.size("seeds")})
     reach = F.when(F.col("causal"), V.CAUSAL_RADIUS).otherwise(V.NEAR_RADIUS)
-    around = seeds.join(signal.select("qid", "causal"), "qid").select("qid", "session_id", F.explode(F.sequence(F.col("position") - reach, F.col("position") + reach)).alias("position")).distinct()
-    near = around.join(rows.select("id", "session_id", "position", words.alias("words")), ["session_id", "position"]).join(found.select("qid", "id"), ["qid", "id"], "left_anti").join(signal, "qid")
+    places = F.flatten(F.transform("seeds", lambda s: F.transform(F.sequence(s["position"] - reach, s["position"] + reach), lambda p: F.struct(s["session_id"].alias("session_id"), p.alias("position")))))
+    around = per.select("qid", "ids", "signal", "causal", "room", F.inline(F.array_distinct(places)))
+    near = around.join(rows.select("id", "session_id", "position", words.alias("words")), ["session_id", "position"]).where(~F.array_contains("ids", F.col("id")))
     hits = F.when(F.col("causal"), F.least(F.size("words"), F.lit(1))).otherwise(F.size(F.array_intersect("words", "signal")))
     n = F.row_number().over(W.partitionBy("qid").orderBy("session_id", "position", "id"))
     near = near.withColumn("hits", hits).where("hits > 0").withColumn("n", n).where("n <= room")
@@ -90,11 +92,10 @@ def evidence(rows: DataFrame, asked: DataFrame, updates: DataFrame) -> DataFrame
     was replaced (``updates``: old_id), if the question names no time."""
     found = sections(rows, asked)
     base = found.select("qid", "id", "place", "score").unionByName(neighbours(rows, asked, found))
-    entries = timed(base.join(rows.select("id", "source", "content", "moment", "position"), "id"), asked)
+    entries = timed(base.join(rows.select("id", "source", "content", "moment", "position"), "id"), asked).persist()
     old = updates.select(F.col("old_id").alias("id")).distinct().crossJoin(F.broadcast(asked.where(F.size("windows") == 0).select("qid")))  # as many as were asked
-    kept = governed(entries.drop("place"), old).join(entries.select("qid", "id", "place", "content", "moment"), ["qid", "id"])
     after = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").isNotNull(), F.desc("score"), "place"))
-    return kept.select("qid", "id", "content", "moment", "score", after.alias("place"))
+    return governed(entries, old).select("qid", "id", "content", "moment", "score", after.alias("place"))
 
 
 def searched(rows: DataFrame, asked: DataFrame, updates: DataFrame, contradictions: DataFrame) -> DataFrame:
@@ -102,7 +103,8 @@ def searched(rows: DataFrame, asked: DataFrame, updates: DataFrame, contradictio
     content, moment, section, rule), with the versions (old_id) and contradictions (a, b) that were recorded when rows came.
 
     Entries with one id count once, with their best score.  Unscored ones (anchors and canon) come first.  Ties keep the
-    order in which entries came in.
+    order in which entries came in.  What the searches found and what they show (a few times top_k rows each) is persisted,
+    as later steps read it again.
     """
     main = evidence(rows, asked, updates).select("qid", F.col("id").cast("string").alias("entry"), "content", "moment", "score", F.lit(2).alias("group"), "place")
     cap = F.greatest(F.lit(1), F.least(F.lit(4), F.floor(F.col("top_k") / 4))).cast("int")
@@ -114,12 +116,12 @@ def searched(rows: DataFrame, asked: DataFrame, updates: DataFrame, contradictio
     rule = F.exists(F.array(*map(F.lit, V.RULE_INDICATORS)), lambda x: F.contains(F.lower("content"), x))
     out = out.join(F.broadcast(asked.select("qid", "rule_answer")), "qid").withColumn("score", F.when(F.col("rule_answer") & rule & F.col("score").isNotNull(), F.greatest("score", F.lit(V.RULE_FLOOR))).otherwise(F.col("score"))).drop("rule_answer")
     likes = added(rows, asked, "preference", [F.desc("moment"), F.desc("id")], F.lit(V.PREFERENCES_SEEN), V.PREFERENCE_SCORE, 3).where(T.domain(F.col("content")) == "preference")
-    out = unseen(out, likes)
-    out = lifted(unseen(out, added(rows, asked, "recent", [F.desc("moment"), F.desc("id")], top, V.RECENT_SCORE, 4)), asked)
+    recent = added(rows, asked, "recent", [F.desc("moment"), F.desc("id")], top, V.RECENT_SCORE, 4)
+    out = lifted(unseen(out.unionByName(likes).unionByName(recent)), asked).persist()
     ids = out.select("qid", "entry").distinct()
     both = contradictions.select("a", "b").unionByName(contradictions.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").cast("string").alias("entry"), F.col("b").alias("other"))
     partner = both.join(ids, "entry").select("qid", "other").distinct().join(rows.select(F.col("id").alias("other"), "content", "moment"), "other")
-    out = unseen(out, partner.select("qid", F.col("other").cast("string").alias("entry"), "content", "moment", F.lit(V.PARTNER_SCORE).alias("score"), F.lit(5).alias("group"), F.col("other").cast("int").alias("place")))
+    out = unseen(out.unionByName(partner.select("qid", F.col("other").cast("string").alias("entry"), "content", "moment", F.lit(V.PARTNER_SCORE).alias("score"), F.lit(5).alias("group"), F.col("other").cast("int").alias("place"))))
     once = F.row_number().over(W.partitionBy("qid", "entry").orderBy(F.col("score").isNotNull(), F.desc("score"), "group", "place"))
     out = out.withColumn("n", once).where("n = 1").join(F.broadcast(asked.select("qid", "top_k", "order")), "qid")
     scored = F.col("score").isNotNull()
@@ -129,9 +131,10 @@ def searched(rows: DataFrame, asked: DataFrame, updates: DataFrame, contradictio
     return out.withColumn("rank", rank).where("rank <= top_k").select("qid", "rank", "entry", F.round("score", 4).alias("score"))
 
 
-def unseen(out: DataFrame, more: DataFrame) -> DataFrame:
-    """Entries and those of more that aren't in yet."""
-    return out.unionByName(more.join(out.select("qid", "entry").distinct(), ["qid", "entry"], "left_anti").select(out.columns))
+def unseen(out: DataFrame) -> DataFrame:
+    """Entries without those of groups from 3 on that an earlier group has."""
+    first = F.min("group").over(W.partitionBy("qid", "entry"))
+    return out.withColumn("first", first).where((F.col("group") <= F.greatest("first", F.lit(2)))).drop("first")
 
 
 def lifted(entries: DataFrame, asked: DataFrame) -> DataFrame:

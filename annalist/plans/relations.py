@@ -99,7 +99,7 @@ def contradiction_partners_sessions(spark, sf):
 def govern_window_sessions(spark, sf):
     """Every session is a window of results, earlier turns first."""
     rows = stated(spark, sf).select(F.col("session_id").alias("qid"), "id", "source", "content", "moment", "position", F.round(1.0 / (F.col("position") + 1), 4).alias("score"))
-    return governed(rows)
+    return governed(rows).select("qid", "id", "score")
 
 
 def govern_window(spark, sf):

@@ -118,7 +118,7 @@ GOVERNED = f"""{NEAR}, base as (select b.qid, b.place, b.score, store.* from (se
 tm as (select base.* exclude (score), round(score * case when half is not null and len(list_intersect({YEARS}, yrs)) > 0 then 1.5::double else 1::double end, 4) as s1, half, case when half is null then 1::double when abs(moment - coalesce(centre, max(moment) over (partition by base.qid) - back)) <= half then 1.25::double else 0.8::double end as f from base join asked using (qid)),
 ent as (select *, round(s1 * f, 4) as score from tm),
 kept as (select * from ent qualify row_number() over (partition by qid, {X.normal('content')} order by moment desc, position desc, id desc) = 1), {R.near_sql('stated', 'session_id')}, ver as (select distinct old_id from ({R.VERSIONS})), {R.CONTRA},
-{renamed(R.near_sql('kept', 'qid').replace('len(list_intersect(o.tk, n.tk)) as sh', 'o.qid as qid, len(list_intersect(o.tk, n.tk)) as sh'))},
+{renamed(R.near_sql('(select * exclude (place) from kept)', 'qid').replace('len(list_intersect(o.tk, n.tk)) as sh', 'o.qid as qid, len(list_intersect(o.tk, n.tk)) as sh'))},
 wg as (select qid, o_id as id, max(j) as j, max(cv) as c from g_pq where o_source = n_source and (sd or rw) group by 1, 2),
 gv as (select k.qid, k.id, k.content, k.moment, k.place, case when ver.old_id is not null and k.half is null then round(s * 0.1::double, 4) else s end as score from (select kept.*, round(kept.score * case when j > 0 or c > 0 then case when j >= 0.6 or c >= 0.75 then 0.25::double else 0.5::double end else 1::double end, 4) as s from kept left join wg on wg.qid = kept.qid and wg.id = kept.id) k left join ver on ver.old_id = k.id),
 mn as (select qid, id, content, moment, score, row_number() over (partition by qid order by (score is not null)::int, score desc, place)::int as place from gv)"""
