@@ -61,8 +61,7 @@ def version_edges(spark, sf):
 
 
 def version_edges_sessions(spark, sf):
-    rows = M.turns(spark, sf).select("id", "session_id", "position", "source", "content", "moment")
-    return versions(rows, "session_id")
+    return versions(stated(spark, sf), "session_id")
 
 
 def contradiction_pairs(spark, sf):
@@ -182,7 +181,7 @@ ORACLE = {
     "session_adjacent": band_sql("s.position = 2", 1),
     "link_expand": f"with {M.TURNS}, {LINKS}, u as (select id from turns where source = 'user'), x as (select from_id, to_id, relation from lk union select to_id, from_id, relation from lk) select * from x where from_id in (select id from u) and to_id in (select id from u)",
     "version_edges": f"with {SAID}, {profile_sql('said')}, {pair_sql('usr')} {VERSIONS}",
-    "version_edges_sessions": f"with {M.TURNS}, {profile_sql('turns')}, {pair_sql('session_id')} {VERSIONS}",
+    "version_edges_sessions": f"with {STATED}, {near_sql('stated', 'session_id')} {VERSIONS}",
     "contradiction_pairs": f"with {SAID}, {profile_sql('said')}, {pair_sql('usr')}, {CONTRA} select * from ct where signal is not null",
     "contradiction_partners": f"with {SAID}, {profile_sql('said')}, {pair_sql('usr')}, {CONTRA}, b as (select a, b from ct where signal is not null union select b, a from ct where signal is not null) select distinct b as id, 0.5::double as score from b where a % 2 = 0 and b % 2 <> 0",
     "govern_window": f"""with {SAID}, kept as (select * from said qualify row_number() over (partition by {X.normal('content')} order by moment desc, position desc, id desc) = 1), {profile_sql('kept')}, {pair_sql('usr')},

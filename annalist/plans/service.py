@@ -22,7 +22,7 @@ ASKED = [
     (3, "can she lock the door, what is the rule", 8),
     (4, "what does she like", 8),
     (5, "she moved to the bank yesterday", 8),
-    (6, "timeline of cats and dogs in order", 8),
+    (6, "timeline of spicy noodles in order", 8),
     (7, "why did he quit the bank", 8),
     (8, "thing ther that than oner", 15),
     (9, "den schen que between 2019 and 2023", 10),
@@ -88,7 +88,7 @@ BY_HAND = """asked as (select * from (values
   (3, 'can she lock the door, what is the rule', 'can she lock the door, what is the rule', 8, false, true, true, false, false, false, false, null, null, null, []),
   (4, 'what does she like', 'what does she like love prefer favorite enjoy', 8, false, false, false, false, false, true, false, null, null, null, []),
   (5, 'she moved to the bank yesterday', 'she moved to the bank yesterday', 8, false, false, false, false, false, false, true, null, 86400, 43200, []),
-  (6, 'timeline of cats and dogs in order', 'timeline of cats and dogs in order', 8, false, false, false, false, true, false, false, null, null, null, []),
+  (6, 'timeline of spicy noodles in order', 'timeline of spicy noodles in order', 8, false, false, false, false, true, false, false, null, null, null, []),
   (7, 'why did he quit the bank', 'why did he quit the bank', 8, false, false, false, true, false, false, false, null, null, null, []),
   (8, 'thing ther that than oner', 'thing ther that than oner', 15, false, false, false, false, false, false, false, null, null, null, []),
   (9, 'den schen que between 2019 and 2023', 'den schen que between 2019 and 2023', 10, false, false, false, false, false, false, false, 1609459200, null, 78840000, [2019, 2023])
