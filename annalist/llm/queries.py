@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import lines, topk, toxicity
+from annalist.llm import audit, lines, topk, toxicity, trees
 from annalist.llm.common import stored
 from annalist.llm.decontam import overlaps
 from annalist.llm.html import extract
@@ -15,6 +15,7 @@ from annalist.llm.huffman import token_ids
 from annalist.llm.jaccard import near_duplicates
 from annalist.llm.packing import pack
 from annalist.llm.prefixes import prefix_counts
+from annalist.llm.repair import repair_digest
 from annalist.llm.repeats import remove_repeats
 
 
@@ -67,6 +68,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = trees.encode(table(spark, sf_dir, "documents"))
+    spelled = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    texts = trees.decode(ids.withColumn("ids_sha256", spelled))
+    return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
@@ -78,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_lines": op9_lines,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_topk": topk.ORACLE, "op9_lines": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_topk": topk.ORACLE, "op9_lines": lines.ORACLE, "op13_filter_audit": audit.ORACLE}
