@@ -57,7 +57,8 @@ class Merges:
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.rank.setdefault(x << 20 | y, r)
             self.parts.setdefault(z, (x, y, r))
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else regex.compile("(?!)()")
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = byte_letters()
         self.apart: dict[int, bool] = {}
@@ -67,6 +68,7 @@ class Merges:
         for t in self.vocab:
             reach, t = (self.reach_end, t[: -len(END)]) if t.endswith(END) else (self.reach, t)
             reach[t[-2:]] = max(reach.get(t[-2:], 1), len(t))
+        self.longest = max(*self.reach.values(), *self.reach_end.values())
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the tokens a, b, encoded as one word, come out as a, b: undo their merges from the latest to the
@@ -163,25 +165,28 @@ class Merges:
 
     def whole(self, s: str) -> int:
         """Tokens of any string, special tokens and white space included."""
-        for special in self.special:
-            if special in s:
-                a, b = s.split(special, 1)
-                return self.whole(a) + 1 + self.whole(b)
         total = 0
-        for m in self.pattern.finditer(lower(unicodedata.normalize("NFC", s))):
-            raw = m.group().encode()
-            total += self.piece("".join([self.letters[b] for b in raw]))[-1]
+        for k, part in enumerate(self.specials.split(s)):
+            if k % 2:
+                total += 1
+                continue
+            for m in self.pattern.finditer(lower(unicodedata.normalize("NFC", part))):
+                total += self.piece("".join([self.letters[b] for b in m.group().encode()]))[-1]
         return total
 
     def prefixes(self, s: str) -> list[int]:
         """Counts of all prefixes of a run without ASCII white space."""
-        found = [(s.find(t), t) for t in self.special if t in s] if "<|" in s else []
-        if found:  # up to its last letter a special token is ordinary text
-            at, special = min(found)
-            before = self.plain(s[: at + len(special) - 1])
-            base = (before[at - 1] if at else 0) + 1
-            return [*before, base, *(base + c for c in self.prefixes(s[at + len(special) :]))]
-        return self.plain(s)
+        out, base, at, known = [], 0, 0, {}
+        for m in self.specials.finditer(s) if "<|" in s else ():  # up to its last letter a special token is ordinary text
+            text = s[at : m.end() - 1]
+            before = known.get(text) or self.plain(text)
+            if len(text) < 64 and len(known) < 1000:
+                known[text] = before
+            out += [base + c for c in before]
+            base += (before[m.start() - at - 1] if m.start() > at else 0) + 1
+            out.append(base)
+            at = m.end()
+        return out + [base + c for c in self.plain(s[at:])] if at else self.plain(s)
 
     def plain(self, s: str) -> list[int]:
         """Counts of all prefixes of a string without special tokens."""
@@ -199,34 +204,121 @@ class Merges:
         later one may change an earlier one, at once in between; only the last pieces are read again."""
         if unicodedata.is_normalized("NFC", s) and len(low := lower(s)) == len(s):
             return self.pieces(low)
-        first = [begins(c) for c in s] + [True]
+        first = [begins(c, s[k - 1] if k else "") for k, c in enumerate(s)] + [True]
         regular = [first[k] and first[k + 1] and len(c.lower()) == 1 for k, c in enumerate(s)]
-        out, tail, base, k = [], "", 0, 0
+        out, reader, k = [], Reader(self), 0
         while k < len(s):
             e = k + 1
             if regular[k]:
-                while e < len(s) and regular[e]:
-                    e += 1
-                now = tail + lower(s[k:e])
-                out += [base + c for c in self.pieces(now)[len(tail) :]]
+                out.append(reader.add(lower(s[k])))
             else:
                 while not first[e]:
                     e += 1
-                for x in range(k + 1, e + 1):
-                    now = tail + lower(unicodedata.normalize("NFC", s[k:x]))
-                    out.append(base + (self.pieces(now) or [0])[-1])
-            # three pieces may still become others: a sign, and the letters of a contraction
-            ends = [m.start() for m in self.pattern.finditer(now)]
-            cut = ends[-3] if len(ends) > 3 else 0
-            base += self.pieces(now[:cut])[-1] if cut else 0
-            tail, k = now[cut:], e
+                # letters of a cluster may still become one or change places: most steps only add to what was read before
+                mark, raw, now = reader.mark(), "", ""
+                for x in range(k, e):
+                    c = s[x]
+                    if len(raw) > 1 and unicodedata.combining(c) and unicodedata.combining(c) == unicodedata.combining(raw[-1]):
+                        raw, then = raw + c, now + lower(c)  # a mark of the same class as the last: blocked, and in its place
+                    else:
+                        raw = unicodedata.normalize("NFC", s[k : x + 1])
+                        then = lower(raw)
+                    if not then.startswith(now):
+                        reader.back(mark)
+                        now = ""
+                    out.append(reader.add(then[len(now) :]))
+                    now = then
+            k = e
         return out
 
 
-def begins(c: str) -> bool:
-    """Whether a letter never joins one before it, and stays as it is in normal form."""
-    o = ord(c)
-    return o < 0x300 or (unicodedata.combining(c) == 0 and unicodedata.category(c)[0] not in "MC" and not 0x1100 <= o <= 0x11FF and unicodedata.is_normalized("NFC", c))
+class Reader:
+    """Token counts of a string without white space that grows at its end, or might: each letter is read once."""
+
+    #: Letters from which on the last piece can no longer become part of a contraction.
+    SETTLED = 4
+
+    def __init__(self, merges: Merges):
+        self.merges, self.base, self.tail = merges, 0, ""
+        #: an open piece: its class (of letters, or of signs), its last letters, and what State has of its prefixes
+        self.kind, self.recent, self.last, self.count = None, "", [0], [0]
+
+    @staticmethod
+    def kind_of(c: str) -> str | None:
+        return "letter" if c.isalpha() and unicodedata.category(c)[0] == "L" else None if unicodedata.category(c)[0] == "N" else "sign"
+
+    def _push(self, c: str) -> None:
+        m = self.merges
+        for b in c.encode():
+            letter = m.letters[b]
+            self.recent = (self.recent + letter)[-m.longest :]
+            n = len(self.last)
+            r = self.recent
+            for j in range(max(0, n - len(r), n - m.reach.get(r[-2:], 1) if n > 1 else 0), n):
+                t = m.vocab.get(r[len(r) - (n - j) :])
+                if t is not None and (j == 0 or m.stay_apart(self.last[j], t)):
+                    self.last.append(t)
+                    self.count.append(self.count[j] + 1)
+                    break
+            else:
+                raise ValueError("a letter without a token")
+
+    def _ended(self) -> int:
+        """Tokens of the open piece if it ends here."""
+        m, n, r = self.merges, len(self.last) - 1, self.recent
+        for j in range(max(0, n - len(r), n - m.reach_end.get(r[-2:], 1) if n > 1 else 0), n):
+            t = m.vocab.get(r[len(r) - (n - j) :] + END)
+            if t is not None and (j == 0 or m.stay_apart(self.last[j], t)):
+                return self.count[j] + 1
+        return 0
+
+    def add(self, text: str) -> int:
+        """Appends a text; the count of all."""
+        for c in text:
+            kind = self.kind_of(c)
+            if self.kind is not None:
+                if kind == self.kind:
+                    self._push(c)
+                    continue
+                self.base += self._ended()
+                self.kind, self.recent, self.last, self.count, self.tail = None, "", [0], [0], ""
+            self.tail += c
+            found = [m.start() for m in self.merges.pattern.finditer(self.tail)]
+            if not found:
+                continue
+            begun = found[-1]
+            if kind is not None and len(self.tail) - begun >= self.SETTLED and self.tail[begun : begun + 1] != "'":
+                self.base += self._read(self.tail[:begun])
+                self.kind, rest, self.tail = kind, self.tail[begun:], ""
+                for x in rest:
+                    self._push(x)
+            elif len(found) > 4:
+                cut = found[-4]
+                self.base += self._read(self.tail[:cut])
+                self.tail = self.tail[cut:]
+        return self.base + (self._ended() if self.kind is not None else self._read(self.tail))
+
+    def _read(self, text: str) -> int:
+        counts = self.merges.pieces(text)
+        return counts[-1] if counts else 0
+
+    def mark(self) -> tuple:
+        """A place to come back to."""
+        return self.base, self.tail, self.kind, self.recent, self.last, self.count, len(self.last)
+
+    def back(self, mark: tuple) -> None:
+        self.base, self.tail, self.kind, self.recent, self.last, self.count, n = mark
+        del self.last[n:], self.count[n:]
+
+
+def begins(c: str, before: str = "") -> bool:
+    """Whether a letter never joins the one before it, and stays as it is in normal form."""
+    o, p = ord(c), ord(before or "a")
+    if 0x1160 <= o <= 0x11A7:  # a vowel of Hangul joins a leading consonant, a trailing consonant a vowel
+        return not 0x1100 <= p <= 0x115F
+    if 0x11A8 <= o <= 0x11FF:
+        return not (0x1160 <= p <= 0x11A7 or 0xAC00 <= p <= 0xD7A3)
+    return o < 0x300 or (unicodedata.combining(c) == 0 and unicodedata.category(c)[0] not in "MC" and unicodedata.is_normalized("NFC", c))
 
 
 def lower(s: str) -> str:
