@@ -20,13 +20,27 @@ from pyspark.sql import functions as F
 from annalist.llm.common import free, lean, mix, prepare, ranges, row_key, slices, stored, text_bytes, texts_of
 from annalist.llm.words import ODD, SIGNS, word_bounds, word_hashes
 
-#: Seeds: runs of words, of which those at 1 count.  Every overlap has at least one of them whole (the tests count this out).
-MASKS = ("1000100101111", "110101000111", "111011011", "101100101011", "11100011011", "1110011000101", "111010101001", "11011111")
+#: Seeds: runs of words, of which those at 1 count.  An overlap of LEAST_WORDS words or more, LEAST_SHARE of them equal wherever
+#: the others stand, has at least one of them whole; the tests count this out.
+MASKS = ("1111011", "1110100011", "10010010111", "1110000100011", "1100010001011", "101100010101", "1111101")
+#: The same for items that are shorter, by their number of words: of these LEAST_SHARE of all words must be equal.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("11011", "1111", "1100011"),
+    9: ("111011", "1001111", "11010011", "111101"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("111011", "110100011", "11001011", "110111"),
+}
 #: An overlap: as many words in a row, this share of them equal.
 LEAST_WORDS = 13
 LEAST_SHARE = 0.75
 #: Shorter items can't be told from chance and match nothing.
-SHORTEST = 5
+SHORTEST = min(SHORT_MASKS)
+#: Pairs of places that are held at a time.
+PAIRS = 4 << 20
 #: Bytes of benchmark text whose seeds are sent to every task.
 BLOCK_BYTES = 16 << 20
 #: Bits of the bitmap of a larger benchmark's seeds.
@@ -35,7 +49,8 @@ BITMAP = 27
 
 @dataclass
 class Seeds:
-    """Words of benchmark items and the hashes of their seeds, ascending, with the item's index and the word's place."""
+    """Words of benchmark items and the hashes of their seeds, ascending, with the item's index and the word's place; a seed at
+    ``length`` places in a row of an item is one entry."""
 
     ids: list[int]
     words: np.ndarray
@@ -43,6 +58,7 @@ class Seeds:
     keys: dict[str, np.ndarray]
     item: dict[str, np.ndarray]
     place: dict[str, np.ndarray]
+    length: dict[str, np.ndarray]
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,34 +81,50 @@ def seed_hashes(words: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.nd
     return mix(out[at] if len(at) < len(out) else out), at
 
 
-def whole_mask(n: int) -> str:
-    """The seed of an item of n < LEAST_WORDS words: a stretch that spans it has three equal words at both ends."""
-    return "1" * n if n <= 6 else "111" + "0" * (n - 6) + "111"
+def masks_of(sizes: set[int]) -> dict[str, set[int]]:
+    """The masks that items of such numbers of words need, with those numbers; LEAST_WORDS stands for all from there on."""
+    out: dict[str, set[int]] = {}
+    for n in sorted({min(n, LEAST_WORDS) for n in sizes if n >= SHORTEST}):
+        for mask in MASKS if n == LEAST_WORDS else SHORT_MASKS[n]:
+            out.setdefault(mask, set()).add(n)
+    return out
 
 
 def seeds_of(items: list[tuple[int, str]]) -> Seeds:
     words, counts = words_of(pa.array([t or "" for _, t in items], pa.string()))
     starts = np.r_[0, np.cumsum(counts)]
-    keys, item, place = {}, {}, {}
-    # an item too short for an overlap of LEAST_WORDS has one seed, as long as itself
-    whole = {whole_mask(int(n)) for n in counts if SHORTEST <= n < LEAST_WORDS}
-    for mask in [*MASKS, *sorted(whole)]:
+    keys, item, place, length = {}, {}, {}, {}
+    for mask, sizes in masks_of(set(counts.tolist())).items():
         h, at = seed_hashes(words, counts, mask)
-        n = counts[np.searchsorted(starts, at, "right") - 1]
-        own = n == len(mask) if mask in whole else n >= LEAST_WORDS
+        own = np.isin(np.minimum(counts, LEAST_WORDS)[np.searchsorted(starts, at, "right") - 1], list(sizes))
         h, at = h[own], at[own]
         of = np.searchsorted(starts, at, "right") - 1
-        order = np.argsort(h, kind="stable")
-        keys[mask], item[mask], place[mask] = h[order], of[order], (at - starts[of])[order]
-    return Seeds([i for i, _ in items], words, starts, keys, item, place)
-
-
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and equal words of the stretch with most equal words, an unequal one costing two."""
-    total = np.r_[0, np.cumsum(np.where(equal, 1, -2))]
+        order = np.lexsort((at, h))
+        h, of, at = h[order], of[order], (at - starts[of])[order]
+        heads, n = in_a_row(at, h, of)
+        keys[mask], item[mask], place[mask], length[mask] = h[heads], of[heads], at[heads], n
+    return Seeds([i for i, _ in items], words, starts, keys, item, place, length)
+
+
+def in_a_row(at: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of entries whose keys are equal and whose places follow each other."""
+    fresh = np.ones(len(at), bool)
+    if len(at):
+        fresh[1:] = at[1:] != at[:-1] + 1
+        for key in keys:
+            fresh[1:] |= key[1:] != key[:-1]
+    heads = np.flatnonzero(fresh)
+    return heads, np.diff(np.r_[heads, len(at)])
+
+
+def best_stretch(equal: np.ndarray, least_share: float = LEAST_SHARE) -> tuple[int, int, int]:
+    """Start, end and equal words of the longest stretch of which the share is equal; the first of those."""
+    total = np.r_[0, np.cumsum(equal)] - least_share * np.arange(len(equal) + 1)
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
+    first = np.searchsorted(-low, -total - 1e-9)  # where the total was no higher for the first time
+    length = np.arange(len(total)) - first
+    end = int(np.argmax(length))
+    start = int(first[end])
     return start, end, int(equal[start:end].sum())
 
 
@@ -105,8 +137,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WOR
     """Verified overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text), one row per document row and item:
     doc_id, item_id, doc_word and item_word (where the longest overlap starts), n_words, n_equal.
 
-    Along each diagonal that a seed names, the stretch with most equal words must have ``least_words`` words (all words of
-    an item that has fewer), ``least_share`` of them equal.  Every such diagonal has a seed; bounds below LEAST_WORDS and
+    An overlap is a stretch of ``least_words`` words or more along a diagonal, ``least_share`` of them equal, wherever the
+    others stand; of an item that has fewer words, all of it.  The overlap with most equal words is told, of equal ones that
+    on the diagonal with most equal words and smallest place.  Every overlap has a seed; bounds below LEAST_WORDS and
     LEAST_SHARE, for which that does not hold, are refused.  Items under SHORTEST words, null and empty texts, and items with
     a null item_id match nothing.  Repeated rows give a row each; of items with one id the best counts; a null doc_id stays
     null.  Empty tables give no rows.  Items of at most ``sent_bytes`` are sent to all tasks, else they are joined.
@@ -142,13 +175,17 @@ def sent(items: DataFrame) -> Seeds:
 def joined(docs: DataFrame, items: DataFrame, least_words: int, least_share: float) -> DataFrame:
     """doc and hash (of a row of docs), item_id and the best overlap of the two, by a join of seeds that stay tables."""
     items = stored(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
-    masks = [*MASKS, *(whole_mask(n) for n in range(SHORTEST, LEAST_WORDS))]
+    masks = list(masks_of({*SHORT_MASKS, LEAST_WORDS}))
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = seeds_of([(k, text)])
-                h, place = (np.concatenate([x[m] for m in own.keys]) for x in (own.keys, own.place))
+                if not own.keys:
+                    continue
+                length = np.concatenate(list(own.length.values()))
+                h = np.repeat(np.concatenate(list(own.keys.values())), length)
+                place = ranges(np.concatenate(list(own.place.values())), length)
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k)), pa.array(place)], names=["seed", "item", "place"])
 
     seeds = stored(items.select("item", "text").mapInArrow(lean(seeded), "seed long, item long, place long"), "seeds")
@@ -192,7 +229,7 @@ def joined(docs: DataFrame, items: DataFrame, least_words: int, least_share: flo
             for k, diagonals in enumerate(batch.column(5).to_pylist()):
                 of = doc_words[doc_ends[k] - doc_counts[k] : doc_ends[k]]
                 own = item_words[item_ends[k] - item_counts[k] : item_ends[k]]
-                best = max((x for d in diagonals if (x := along(own, of, d, least_words, least_share))), default=None)
+                best = max((x for d in diagonals if (x := along(own, of, d, least_words, least_share))), default=None, key=lambda x: (x[0], -x[2], -x[3]))
                 if best:
                     out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py(), *best))
             if out:
@@ -206,11 +243,14 @@ def joined(docs: DataFrame, items: DataFrame, least_words: int, least_share: flo
 
 
 def along(own: np.ndarray, doc: np.ndarray, diagonal: int, least_words: int, least_share: float) -> tuple[int, int, int, int] | None:
-    """Equal words, words, and where the best stretch along a diagonal starts in the document and the item, if it is enough."""
+    """Equal words, words, and where the longest overlap along a diagonal starts in the document and the item, if there is one."""
     first, last = max(0, -diagonal), min(len(own), len(doc) - diagonal)
-    start, end, same = best_stretch(own[first:last] == doc[first + diagonal : last + diagonal])
-    n = end - start
-    return (same, n, first + start + diagonal, first + start) if n >= min(least_words, len(own)) and same >= least_share * n else None
+    equal = own[first:last] == doc[first + diagonal : last + diagonal]
+    if len(own) < least_words:
+        same = int(equal.sum())
+        return (same, len(own), diagonal, 0) if len(equal) == len(own) and same >= least_share * len(own) else None
+    start, end, same = best_stretch(equal, least_share)
+    return (same, end - start, first + start + diagonal, first + start) if end - start >= least_words else None
 
 
 def _rows(seeds: Seeds, least_words: int, least_share: float):
@@ -262,42 +302,59 @@ def _finder(seeds: Seeds, least_words: int, least_share: float):
         for a, b in slices(offsets):
             words, counts = words_of(column.slice(a, b - a).fill_null(""))
             ends = np.cumsum(counts)
-            hits = []
+            found = np.zeros((0, 3), np.int64)
             for mask, keys in seeds.keys.items():
                 h, at = seed_hashes(words, counts, mask)
                 some = np.flatnonzero(likely[mask][h >> shift[mask]])
                 h, at = h[some], at[some]
-                low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
-                n = high - low
-                which, at = ranges(low, n), np.repeat(at, n)
                 row = np.searchsorted(ends, at, "right")
-                hits.append(np.stack([row, seeds.item[mask][which], at - (ends - counts)[row] - seeds.place[mask][which]], 1))
+                heads, length = in_a_row(at, h, row)
+                h, at, row = h[heads], at[heads] - (ends - counts)[row[heads]], row[heads]
+                low = np.searchsorted(keys, h)
+                n = np.searchsorted(keys, h, "right") - low
+                stop = np.cumsum(n)
+                i = 0
+                while i < len(h):  # of a word that is repeated over and over a run of diagonals is one pair
+                    j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + PAIRS, "right")))
+                    which = ranges(low[i:j], n[i:j])
+                    of, first, last = (np.repeat(x[i:j], n[i:j]) for x in (row, at, at + length - 1))
+                    place = seeds.place[mask][which]
+                    spans = np.unique(np.stack([of, seeds.item[mask][which], first - place - seeds.length[mask][which] + 1, last - place], 1), axis=0)
+                    size = spans[:, 3] - spans[:, 2] + 1
+                    each = np.repeat(spans[:, :2], size, axis=0)
+                    found = np.unique(np.concatenate([found, np.c_[each, ranges(spans[:, 2], size)]]), axis=0)
+                    i = j
+            same = _same(seeds, words, ends, counts, found)
+            some = np.flatnonzero(same >= least_share * np.minimum(least_words, np.diff(seeds.starts)[found[:, 1]]))
+            found, same = found[some], same[some]
             best: dict[tuple[int, int], tuple] = {}
-            found = np.unique(np.concatenate(hits), axis=0)
-            for row, item, diagonal in found[_enough(seeds, words, ends, counts, found, least_words, least_share)].tolist():
+            order = np.lexsort((found[:, 2], -same))
+            for (row, item, diagonal), most in zip(found[order].tolist(), same[order].tolist(), strict=True):
+                key = (row, seeds.ids[item])
+                if key in best and best[key][0] >= most:
+                    continue
                 doc = words[ends[row] - counts[row] : ends[row]]
                 own = seeds.words[seeds.starts[item] : seeds.starts[item + 1]]
-                if x := along(own, doc, diagonal, least_words, least_share):
-                    key = (row, seeds.ids[item])
-                    best[key] = max(best.get(key, (0,)), x)
+                if (x := along(own, doc, diagonal, least_words, least_share)) and x[0] > best.get(key, (0,))[0]:
+                    best[key] = x
             for (row, item), (same, n, d, w) in best.items():
                 yield a + row, item, d, w, n, same
 
     return find
 
 
-def _enough(seeds: Seeds, words: np.ndarray, ends: np.ndarray, counts: np.ndarray, found: np.ndarray, least_words: int, least_share: float) -> np.ndarray:
-    """Which diagonals have as many equal words as the shortest overlap: few of those that a seed names by chance."""
+def _same(seeds: Seeds, words: np.ndarray, ends: np.ndarray, counts: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """How many words are equal along each diagonal: few of those that a seed names by chance have enough."""
     row, item, diagonal = found.T
     size = np.diff(seeds.starts)[item]
     first, last = np.maximum(0, -diagonal), np.minimum(size, counts[row] - diagonal)
     same, stop = np.zeros(len(found), np.int64), np.cumsum(last - first)
     i = 0
     while i < len(found):
-        j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + (1 << 22), "right")))
+        j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + PAIRS, "right")))
         n = (last - first)[i:j]
         own = ranges(seeds.starts[item[i:j]] + first[i:j], n)
         doc = ranges((ends - counts)[row[i:j]] + first[i:j] + diagonal[i:j], n)
         same[i:j] = np.add.reduceat((seeds.words[own] == words[doc]).astype(np.int64), np.cumsum(n) - n)
         i = j
-    return same >= least_share * np.minimum(least_words, size)
+    return same

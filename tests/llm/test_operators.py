@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from annalist.llm import decontam, html, huffman, jaccard, lines, packing, prefixes, repeats, suffixes, tokens, topk, toxicity
 from annalist.llm.common import text_bytes
 from annalist.llm.components import components
-from annalist.llm.decontam import SHORTEST, best_stretch, decontaminated, overlaps, whole_mask
+from annalist.llm.decontam import SHORT_MASKS, best_stretch, decontaminated, overlaps
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [
@@ -287,53 +287,67 @@ def test_decontamination(spark):
     assert overlaps(docs, bench.limit(0)).count() == 0 and overlaps(docs.limit(0), bench).count() == 0
 
 
-def stretches(n):
-    """Places of unequal words, for all stretches of n words that are accepted as a whole."""
+def longest(equal):
+    """By trying every stretch: the first of the longest ones that are an overlap; of fewer than 13 words only all of them."""
+    n = len(equal)
+    least = min(13, n)
+    ways = [(b - a, -a) for a in range(n) for b in range(a + least, n + 1) if 4 * sum(equal[a:b]) >= 3 * (b - a)]
+    size, start = max(ways, default=(0, 0))
+    return (-start, -start + size, int(sum(equal[-start : -start + size]))) if size else None
 
-    def more(c):
-        if all(n - x > 3 * (len(c) - j) for j, x in enumerate(c)):
-            yield c
-        if len(c) < n // 4:
-            for x in range(max(c[-1] + 1 if c else 0, 3 * len(c) + 3), n - 3):
-                yield from more((*c, x))
 
-    return more(())
-
-
-def test_stretches_are_those_that_the_alignment_accepts():
-    for n in range(SHORTEST, 18):
-        want = set()
-        for c in itertools.chain(*(itertools.combinations(range(n), m) for m in range(n // 4 + 1))):
-            equal = np.ones(n, bool)
-            equal[list(c)] = False
-            if best_stretch(equal) == (0, n, n - len(c)):
-                want.add(c)
-        assert set(stretches(n)) == want
+def test_longest_stretch_by_trying_all():
+    r = random.Random(4)
+    for _ in range(400):
+        equal = np.array([r.random() < r.choice([0.6, 0.75, 0.9]) for _ in range(r.randint(13, 45))])
+        start, end, same = best_stretch(equal)
+        assert (end - start >= 13) == (longest(equal) is not None)
+        assert end - start < 13 or (start, end, same) == longest(equal)
 
 
-def test_every_accepted_overlap_has_a_seed():
-    """Whole short items and stretches of 13 to 28 words one by one; beyond, the fewest unequal words of any text without a
-    seed are more than a quarter, for 29 to 57 words, and what is longer has a part of as many with three quarters equal."""
-    for n in range(SHORTEST, 29):
-        masks = [whole_mask(n)] if n < 13 else decontam.MASKS
+def test_every_overlap_has_a_seed():
+    """Whole short items one by one, with unequal words at any places; of 13 to 57 words, the fewest unequal ones of any text
+    without a seed are more than a quarter, and what is longer has a part of as many with three quarters equal."""
+    for n, masks in SHORT_MASKS.items():
         seeds = [sum(1 << k + i for i, bit in enumerate(m) if bit == "1") for m in masks for k in range(n - len(m) + 1)]
-        for c in stretches(n):
+        for c in itertools.combinations(range(n), n // 4):
             changed = sum(1 << x for x in c)
             assert any(not changed & s for s in seeds), (n, c)
     last = np.arange(1 << 12)[:, None] << 1 | np.arange(2)  # of 13 words, those at 1 are equal
-    seeded = np.any([(last & int(m, 2)) == int(m, 2) for m in decontam.MASKS], axis=0)
+    seeded = np.any([(last & int(m[::-1], 2)) == int(m[::-1], 2) for m in decontam.MASKS], axis=0)
     cost = np.where(np.arange(1 << 12) == 0, 0, 10**6)
     for n in range(1, 58):
         new = np.full(1 << 12, 10**6)
         np.minimum.at(new, last & 4095, np.where(seeded, 10**6, cost[:, None] + np.array([1, 0])))
         cost = new
-        assert n < 29 or cost.min() > n / 4
+        assert n < 13 or cost.min() > n / 4
+
+
+def test_recall_over_all_placements():
+    """Items of 5 to 40 words, as many words changed as three quarters allow, at random places: all are found."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=9))
+    for n in range(5, 41):
+        own = [word() for _ in range(n)]
+        find = decontam._finder(decontam.seeds_of([(n, " ".join(own))]), 13, 0.75)
+        texts = []
+        for _ in range(60):
+            changed = set(r.sample(range(n), n // 4))
+            texts.append(" ".join([word() for _ in range(8)] + [word() if k in changed else w for k, w in enumerate(own)] + [word() for _ in range(8)]))
+        assert {x[0] for x in find(pa.array(texts))} == set(range(60))
+
+
+@pytest.mark.parametrize(("text", "item"), [("ha " * 300_000, "ha " * 300), ("ha ho " * 10_000, "ha ho " * 100), ("ha " * 7, "ha " * 6)])
+def test_repeated_words_take_bounded_work(text, item):
+    found = list(decontam._finder(decontam.seeds_of([(1, item)]), 13, 0.75)(pa.array([text])))
+    n = len(item.split())
+    assert found == [(0, 1, 0, 0, n, n)]
 
 
 def test_decontamination_of_spread_substitutions(spark):
     r = random.Random(12)
     word = lambda: "".join(r.choices("abcdefghijklmnop", k=9))
-    shapes = [(n, (k,)) for n in range(7, 14) for k in range(n)] + [(13, (3, 9)), (13, (3, 6, 9)), (15, (4, 7, 10)), *((n, range(3, n - 3, 4)) for n in (16, 30, 38, 59))]
+    shapes = [(n, (k,)) for n in range(5, 14) for k in range(n)] + [(13, (3, 9)), (13, (3, 6, 9)), (15, (4, 7, 10)), *((n, range(3, n - 3, 4)) for n in (16, 30, 38, 59))]
     shapes += [(n, sorted(r.sample(range(n), n // 4))) for n in range(12, 40) for _ in range(6)]
     items, rows, want = [], [], set()
     for k, (n, changed) in enumerate(shapes):
@@ -342,8 +356,8 @@ def test_decontamination_of_spread_substitutions(spark):
         items.append((k, " ".join(own)))
         text = [word() for _ in range(20)] + [w if e else word() for w, e in zip(own, equal)] + [word() for _ in range(20)]
         rows.append((k, " ".join(text), "en", "s", 1))
-        start, end, same = best_stretch(equal)
-        if end - start >= min(13, n) and same >= 0.75 * (end - start):
+        if stretch := longest(equal):
+            start, end, same = stretch
             want.add((k, k, 20 + start, start, end - start, same))
     docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(x) for x in overlaps(docs, bench).collect()} == want
