@@ -275,15 +275,41 @@ def decode(page: Page, margin: np.ndarray) -> list[bool]:
     return kept
 
 
+def context(pages: list[Page], begins: np.ndarray, x: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """x with what the first trees say of an element, its parent, the siblings of its tag (their mean), and those on either side."""
+    around = np.zeros((len(margin), 5), np.float32)
+    around[:, 0] = margin
+    for page, a in zip(pages, begins, strict=False):
+        own = margin[a : a + len(page.tag)].tolist()
+        last: dict[int, int] = {}
+        sums: dict[tuple[int, str], list[float]] = {}
+        for k in range(1, len(own)):
+            p = page.parent[k]
+            r = around[a + k]
+            r[1] = own[p]
+            total = sums.setdefault((p, page.tag[k]), [0.0, 0])
+            total[0] += own[k]
+            total[1] += 1
+            if p in last:
+                r[3] = own[last[p]]
+                around[a + last[p], 4] = own[k]
+            last[p] = k
+        for k in range(1, len(own)):
+            total = sums[page.parent[k], page.tag[k]]
+            around[a + k, 2] = total[0] / total[1]
+    return np.concatenate([x, around], 1)
+
+
 @dataclass
 class Extractor:
     trees: Trees
+    refined: Trees
     vocabulary: dict[str, int]
 
     def texts(self, sources: list[str]) -> list[str]:
         pages = [Page(s) for s in sources]
         x, begins = node_features(pages, self.vocabulary)
-        margin = self.trees.margin(x)
+        margin = self.refined.margin(context(pages, begins, x, self.trees.margin(x)))
         out = []
         for page, a, b in zip(pages, begins[:-1], begins[1:], strict=True):
             kept = decode(page, margin[a:b])
@@ -292,7 +318,7 @@ class Extractor:
 
 
 @lru_cache(maxsize=2)
-def fit_extractor(pages: int = 1000, seed: int = 7) -> Extractor:
+def fit_extractor(pages: int = 1600, seed: int = 7) -> Extractor:
     """Fit on ``pages`` labelled pages of many layouts, made here: an element is content if any of its text is.  Done once in a
     process."""
     made = [sample_page(random.Random(seed * 1_000_003 + k)) for k in range(pages)]
@@ -310,7 +336,11 @@ def fit_extractor(pages: int = 1000, seed: int = 7) -> Extractor:
                 while node >= 0:
                     y[a + node] = 1
                     node = page.parent[node]
-    return Extractor(fit_trees(x, y), vocabulary)
+    # the second trees learn from what the first ones say of pages that they haven't seen
+    half = int(begins[len(parsed) // 2])
+    unseen = np.concatenate([fit_trees(x[half:], y[half:], rounds=36).margin(x[:half]), fit_trees(x[:half], y[:half], rounds=36).margin(x[half:])])
+    refined = fit_trees(context(parsed, begins, x, unseen), y, rounds=36)
+    return Extractor(fit_trees(x, y, rounds=36), refined, vocabulary)
 
 
 # ---- labelled pages
@@ -352,7 +382,19 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
             kept.add(" ".join(_html.unescape(t).split()))
         return t
 
+    style = r.choices(["p", "div", "section", "span", "breaks", "any"], [42, 28, 7, 6, 7, 10])[0]
+    generated = r.random() < 0.25  # names of classes say nothing, here and there or all over the page
+
+    def odd() -> str:
+        """Names that a tool made up, or none."""
+        if r.random() < 0.3:
+            return ""
+        name = r.choice(["css-", "sc-", "_", "x", "jsx-", "c", ""]) + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=r.randint(2, 7)))
+        return f' {r.choice(["class", "class", "id"])}="{name if r.random() < 0.8 else r.choice(["hd", "bd", "ft", "txt", "t", "para", "p", "cnt", "main2", "l", "r"])}"'
+
     def attrs(kind: str, always: float = 0.8) -> str:
+        if kind in ("content", "plain", "header", "footer", "menu") and (generated and r.random() < 0.9 or r.random() < 0.04):
+            return odd()  # prose that is no article is only told by its names
         if r.random() > always:
             return ""
         names = r.sample(NAMES[kind], r.randint(1, 2))
@@ -411,16 +453,44 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
     def share() -> str:
         return f'<div{attrs("share", 1)}><a href="#">{text(1, False)}</a> <a href="#">{text(1, False)}</a></div>'
 
+    def prose(n: int) -> str:
+        """A paragraph, or some, as this page marks them up."""
+        how = r.choice(["p", "div", "section", "span"]) if style == "any" else style
+        if how == "p" or r.random() < 0.03:
+            if r.random() < 0.02:  # one link and nothing else
+                return f'<p><a href="/{n}">{text(max(n, 5), True)}</a></p>'
+            return para(n, True)
+        if how == "breaks":
+            parts = [_words(r, n) for _ in range(r.randint(1, 5))]
+            kept.add(" ".join(_html.unescape(" ".join(parts)).split()))
+            return f"<div{own_names}>{r.choice(['<br><br>', '<br/>', '<br>'  + chr(10)]).join(parts)}</div>"
+        t = text(n, True)
+        if how == "span":
+            return f"<div{own_names}><span>{t}</span></div>"
+        return f"<{how}{own_names if r.random() < 0.8 else odd()}>{t}</{how}>"
+
+    own_names = odd() if r.random() < 0.5 else ""
+
+    def meta() -> str:
+        """What stands in an article's own head or foot: who wrote it and when, under what it is filed, where to go next."""
+        bits = r.choice([
+            lambda: f"{text(1, False)} {text(2, False)}, {r.randint(1, 28)} {text(1, False)} {r.randint(1999, 2030)}",
+            lambda: ", ".join(f'<a href="/t{k}">{text(1, False)}</a>' for k in range(r.randint(1, 4))),
+            lambda: f'<a href="/n">{text(r.randint(1, 4), False)}</a>',
+        ])()
+        tag = r.choice(["footer", "footer", "div", "nav"])
+        return f"<{tag}{attrs('share', 1) if tag == 'div' else attrs('footer', 0.5)}>{bits}</{tag}>"
+
     def body() -> str:
         out, bare = [], r.random() < 0.3
-        if r.random() < 0.85:
+        if r.random() < 0.72:
             h = f"<h1>{text(r.randint(2, 12), True)}</h1>"
             out.append(f"<header>{h}</header>" if r.random() < 0.1 else h)
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14, 25])):
+        for _ in range(r.choice([1, 1, 2, 3, 3, 5, 8, 14, 25])):
             kind = r.random()
-            n = r.choice([1, 2, 5, 12, 30, 60, 120])
+            n = r.choice([1, 2, 5, 12, 18, 30, 60, 120])
             if kind < 0.78:
-                out.append(para(n, True))
+                out.append(prose(n))
             elif kind < 0.84:
                 out.append(f"<h2>{text(r.randint(1, 8), True)}</h2>")
             elif kind < 0.89:
@@ -434,9 +504,11 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
             elif bare:
                 out.append(f"{text(n, True)}<hr>")
             else:
-                out.append(f"<div>{text(n, True)}</div>")
+                out.append(f"<div{odd()}>{text(n, True)}</div>")
             if r.random() < 0.08:
                 out.append(r.choice([ad, share, notice, form])())
+        if r.random() < 0.12:
+            out.append(meta())
         if len(out) > 1 and r.random() < 0.3:  # the heading, then the rest in a box of its own
             out[1:] = [f"<div{attrs('content', 0.8)}>", *out[1:], "</div>"]
         return "".join(out)
@@ -445,23 +517,36 @@ def sample_page(r: random.Random) -> tuple[str, set[str]]:
     if r.random() < 0.15:
         core += r.choice([comments, share, lambda: menu("side")])()
     how = r.random()
-    if how < 0.45:
+    alone = r.random() < 0.08  # nothing but prose
+    if alone:
+        core = "".join(prose(r.choice([1, 3, 12, 30, 60])) for _ in range(r.choice([1, 2, 2, 3, 4])))
+        if r.random() < 0.5:
+            core = f"<div{odd()}>{core}</div>"
+    elif how < 0.35:
         core = f"<article{attrs('content', 0.3)}>{core}</article>"
-    elif how < 0.75:
+    elif how < 0.55:
         core = f"<div{attrs('content', 1)}>{core}</div>"
+    elif how < 0.75:
+        core = f"<{(tag := r.choice(['div', 'div', 'section']))}{odd()}>{core}</{tag}>"
+    elif how < 0.8:
+        core = f"<table><tr><td>{menu('menu', 4) if r.random() < 0.5 else ''}</td><td{odd()}>{core}</td></tr></table>"
     elif how < 0.9:
         core = f"<main{attrs('content', 0.3)}>{core}</main>"
-    if r.random() < 0.25:
+    if r.random() < 0.25 and not alone:
         core = f"<main>{core}</main>" if how < 0.75 else core
-    parts_before = [f for f, p in ((lambda: menu("menu"), 0.7), (lambda: f"<header{attrs('header', 0.4)}>{r.choice(['', '<h2>'])}{text(r.randint(1, 6), False)}{r.choice(['', menu('menu', 3)])}</header>", 0.4), (lambda: f"<div{attrs('header', 1)}>{text(r.randint(1, 6), False)}</div>", 0.15), (ad, 0.4), (notice, 0.25), (form, 0.15), (lambda: menu("side"), 0.15), (stray, 0.2)) if r.random() < p]
+    parts_before = [f for f, p in ((lambda: menu("menu"), 0.7), (lambda: f"<header{attrs('header', 0.4)}>{r.choice(['', '<h2>'])}{text(r.randint(1, 6), False)}{r.choice(['', menu('menu', 3)])}</header>", 0.4), (lambda: f"<div{attrs('header', 1)}>{r.choice([lambda: text(r.randint(1, 6), False), stray, stray])()}</div>", 0.35), (ad, 0.4), (notice, 0.25), (form, 0.15), (lambda: menu("side"), 0.15), (stray, 0.2)) if r.random() < p]
     parts_after = [f for f, p in ((comments, 0.3), (lambda: menu("side"), 0.3), (lambda: f"<aside{attrs('side', 0.5)}>{para(r.randint(3, 40), False)}{para(r.randint(3, 20), False)}</aside>", 0.25), (ad, 0.2), (share, 0.15), (form, 0.15), (notice, 0.15), (stray, 0.2)) if r.random() < p]
+    if alone:
+        parts_before, parts_after = [], []
     r.shuffle(parts_before)
     r.shuffle(parts_after)
     foot = f"<footer{attrs('footer', 0.4)}>&copy; {text(r.randint(1, 25), False)}</footer>" if r.random() < 0.75 else f"<div{attrs('footer', 1)}>{text(r.randint(1, 15), False)}</div>"
+    if alone:
+        foot = ""
     inside = "".join(f() for f in parts_before) + core + "".join(f() for f in parts_after)
     if r.random() < 0.4:
         inside = f"<div{attrs('plain', 0.9)}>{inside}</div>"
-    if r.random() < 0.15:
+    if r.random() < 0.15 and not alone:
         foot += stray()
     if r.random() < 0.1:
         inside = inside.replace("</div>", "", 1) if r.random() < 0.5 else inside + "</div></section>"

@@ -94,3 +94,38 @@ def test_runs_beside_blocks_are_elements():
     assert page.text == ["one", "two", "three", "four", "five"]
     assert [page.tag[k] for k in page.node] == ["run", "p", "run", "run", "run"]
     assert html.Page("a<svg/>b<script/>c</script>d<button>e</button>f").text == ["abdf"]
+
+
+PROSE = [
+    "Rain fell over the valley for most of the week, and the river rose by a metre before it stopped.",
+    "Farmers had moved their herds to higher ground on Monday, as the council had asked them to do.",
+    "Nobody was hurt, but two bridges are closed and the school bus takes another road until spring.",
+]
+
+
+def boxed(tag, names):
+    rows = "".join(f"<{tag}>{p}</{tag}>" for p in PROSE)
+    return f"<div class=hd>Valley News | Home | About</div><div{names}>{rows}</div><div class=ft>(c) 2020 Valley News</div>"
+
+
+@pytest.mark.parametrize("names", [" class=content", " class=txt", "", " class=css-1q2w3e"])
+@pytest.mark.parametrize("tag", ["p", "div", "section"])
+def test_prose_without_telling_names(tag, names):
+    """Prose in paragraphs, boxes and sections, without a heading, names that say nothing, or none: all of it and no more."""
+    assert html.fit_extractor().texts([boxed(tag, names)]) == ["\n\n".join(PROSE)]
+
+
+@pytest.mark.parametrize(
+    ("source", "blocks"),
+    [
+        ("<section class=sc-a1>" + "".join(f"<div class=x{k}>{p}</div>" for k, p in enumerate(PROSE)) + "</section>", PROSE),
+        (f"<p>{PROSE[0]}</p><p>{PROSE[0]}</p>", [PROSE[0]] * 2),
+        ("<p>A</p><p>A</p>", ["A", "A"]),
+        (f"<div>{PROSE[1]}</div>", [PROSE[1]]),
+        (PROSE[2], [PROSE[2]]),
+        ("<table><tr><td><a href=/>Home</a><br><a href=/a>News</a></td><td>" + "".join(f"<p>{p}</p>" for p in PROSE) + "</td></tr></table>", PROSE),
+        (f"<article><h1>Rain</h1><p>{PROSE[0]}</p><p><a href=/r>{PROSE[1]}</a></p><p>{PROSE[2]}</p><footer>Filed under: rain</footer></article><a href=/n>next</a>", ["Rain", *PROSE]),
+    ],
+)
+def test_bare_pages(source, blocks):
+    assert html.fit_extractor().texts([source]) == ["\n\n".join(blocks)]
