@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import vocab as V
 from annalist.functions.text import tokens
+from annalist.sources.store import stored
 
 
 def tokenized(rows: DataFrame, content: str = "content") -> DataFrame:
@@ -48,5 +49,14 @@ def top(scores: DataFrame, k: int, *order) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """All rows with their rank in an order: sorted over the cluster, numbered within each range after those before it."""
+    ranged = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "numbered")  # ranges are drawn once
+    own = W.partitionBy("part").orderBy(*order)
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    return ranged.withColumn("rank", F.row_number().over(own)).join(F.broadcast(before), "part").withColumn("rank", (F.col("rank") + F.col("before")).cast("int")).drop("part", "before")  # a row for each partition
+
+
 def top_each(scores: DataFrame, key: str, k: int, *order) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.operators.fold import replayed
 
 #: What replay() returns: the command, its audit actions joined by '+', and the memory's state after it.
-AUDIT = "seq long, memory_id long, moment long, op string, action string, detail string, known boolean, tier string, status string, consolidated_at long, reason string, pinned_at long, forgotten_at long, sensitive boolean, origin_known boolean, independent int, canon array<struct<scope: string, at: long>>, reviewed_at long, frame string"
+AUDIT = "seq long, memory_id long, moment long, op string, action string, detail string, known boolean, created_at long, tier string, status string, consolidated_at long, reason string, pinned_at long, forgotten_at long, sensitive boolean, origin_known boolean, independent int, canon array<struct<scope: string, at: long>>, reviewed_at long, frame string"
 
 
 @dataclass
@@ -20,6 +20,7 @@ class Memory:
     status: str = "working"
     source: str | None = None
     sensitive: bool = False
+    created_at: int | None = None
     consolidated_at: int | None = None
     reason: str | None = None
     pinned_at: int | None = None
@@ -46,6 +47,7 @@ def remember(m: Memory, c: dict) -> list[str]:
     if c["tier"] == "testimony":  # only corroboration makes testimony
         return ["testimony_refused"]
     m.known, m.tier, m.source, m.sensitive = True, c["tier"], c["source"], bool(c["sensitive"])
+    m.created_at = c["moment"]
     m.reviewed_at = c["moment"] if m.tier == "interpretation" else None
     return ["remember"]
 
@@ -156,21 +158,43 @@ def step(m: Memory, c: dict) -> list[dict]:
     if not actions:
         return []
     canon = [{"scope": s, "at": at} for s, at in m.canon.items()]
-    state = {k: getattr(m, k) for k in "known tier status consolidated_at reason pinned_at forgotten_at sensitive independent reviewed_at frame".split()}
+    state = {k: getattr(m, k) for k in "known created_at tier status consolidated_at reason pinned_at forgotten_at sensitive independent reviewed_at frame".split()}
     return [{k: c[k] for k in ("seq", "memory_id", "moment", "op")} | {"action": "+".join(actions), "detail": c["scope"] or c["label"], "origin_known": bool((m.source or "").strip()), "canon": canon} | state]
 
 
 def replay(commands: DataFrame) -> DataFrame:
     """Commands (seq, memory_id, moment, op, label, scope, source, tier, sensitive) to AUDIT rows.
 
-    The end of a scope names no memory: it goes to every memory that ever asked for the scope.
+    The end of a scope names no memory.  It can only end what was asked for since the end before it, so each memory gets the
+    first end after each time that it asked for the scope: no more ends than canonizations, however many memories and ends.
     """
-    held = commands.where("op = 'canonize'").select("memory_id", "scope").distinct()
-    ends = commands.where("op = 'end_scope'").drop("memory_id").join(held, "scope").select(commands.columns)
-    every = commands.where("op <> 'end_scope'").unionByName(ends)
+    ends = first_after(commands.where("op = 'canonize'").select("scope", "seq", "memory_id"), commands.where("op = 'end_scope'").drop("memory_id"), "scope")
+    every = commands.where("op <> 'end_scope'").unionByName(ends.select("memory_id", "after.*").distinct().select(commands.columns))
     return replayed(every, "memory_id", ["seq"], Memory, step, AUDIT)
 
 
+#: Numbers in a row that the join by time takes as one block.
+BLOCK = 4096
+
+
+def first_after(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """rows (key, seq, ...) with ``after``: the first of ``marks`` (key, seq, ...) with a greater seq; rows without one go.
+
+    A join by time in blocks of seq: within a block by a window over the block, else by the first mark of the next block that
+    has one, which a window over blocks finds.  So a key with most rows is many groups.
+    """
+    block = F.floor(F.col("seq") / BLOCK)
+    mark = F.struct("seq", *(c for c in marks.columns if c not in ("seq",)))
+    both = rows.withColumn("mark", F.lit(None).cast(marks.select(mark).schema[0].dataType)).unionByName(marks.select(key, "seq", mark.alias("mark")), allowMissingColumns=True).withColumn("block", block)
+    inside = Window.partitionBy(key, "block").orderBy(F.desc("seq"), F.col("mark").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.last("mark", ignorenulls=True).over(inside)).where("mark is null")
+    blocks = both.groupBy(key, "block").agg(F.min("mark").alias("own"))
+    later = Window.partitionBy(key).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("far", F.last("own", ignorenulls=True).over(later)).select(key, "block", "far")
+    found = near.join(blocks, [key, "block"], "left").withColumn("after", F.coalesce("near", "far"))
+    return found.where("after is not null").select(*rows.columns, "after")
+
+
 def last_states(audit: DataFrame) -> DataFrame:
     """The state of every memory after its last answered command."""
     names = [c for c in audit.columns if c not in ("seq", "moment", "op", "action", "detail", "memory_id")]
@@ -181,9 +205,7 @@ def last_states(audit: DataFrame) -> DataFrame:
 def alternating(commands: DataFrame, key: list[str], opens: str, closes: str) -> DataFrame:
     """Records of ``opens`` ... ``closes`` commands (seq, op) per key, in order: an open one is not opened again, a closed one not
     closed: opened, closed (null while open).  A command counts iff it differs from the one before it."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy(*key).orderBy("seq")
+    order = Window.partitionBy(*key).orderBy("seq")
     real = commands.withColumn("before", F.coalesce(F.lag("op").over(order), F.lit(closes))).where("op <> before").drop("before")
     real = real.withColumns({"closed": F.lead("seq").over(order), "closing": F.lead(F.struct(*[c for c in commands.columns if c not in key])).over(order)})
     return real.where(F.col("op") == opens).withColumnRenamed("seq", "opened")
@@ -192,14 +214,12 @@ def alternating(commands: DataFrame, key: list[str], opens: str, closes: str) ->
 def moved(contexts: DataFrame) -> DataFrame:
     """Context commands (seq, memory_id, event_at, session_id, position) with what they replace: before and after as JSON, changed,
     and refused where another memory has had the place in the session before; places stay taken."""
-    from pyspark.sql import Window as W
-
-    place = W.partitionBy("session_id", "position").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    place = Window.partitionBy("session_id", "position").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     first = F.first("memory_id").over(place)
     taken = F.col("position").isNotNull() & first.isNotNull() & (first != F.col("memory_id"))
     ok = contexts.withColumn("refused", taken)
     now = F.struct("event_at", "session_id", "position")
-    order = W.partitionBy("memory_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    order = Window.partitionBy("memory_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last(F.when(~F.col("refused"), now), ignorenulls=True).over(order)
     ok = ok.withColumns({"before": before, "after": now})
     return ok.select("seq", "memory_id", "refused", F.to_json("before").alias("before"), F.to_json("after").alias("after"), (~F.col("refused") & ~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))

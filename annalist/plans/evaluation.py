@@ -91,10 +91,11 @@ QUERIES = {f.__name__: f for f in (budget_select, retrieval_metrics, metrics_gro
 
 ASKED = "asked as (select id as qid, session_id as qsession, source as qsource, content as query from turns where position = 0)"
 CHAIN = f"""{M.TURNS}, {ASKED}, {bm25_sql('turns', 'asked')},
-h as (select qid, scores.id, row_number() over (partition by qid order by relevance desc, scores.id) as rank, strlen(content)::bigint as bytes from scores join turns on turns.id = scores.id where qid <> scores.id qualify rank <= 50),
+h as (select qid, scores.id, row_number() over (partition by qid order by relevance desc, scores.id) as rank, strlen(content)::bigint as bytes from scores join turns on turns.id = scores.id where qid <> scores.id),
+  e as (select qid, max(rank) as last from h group by 1),
 f as (select qid, 0::bigint as k, 0::bigint as used, []::bigint[] as got from asked
-  union all select f.qid, k + 1, used + case when h.id is not null and used + bytes <= 4096 and len(got) < 5 then bytes else 0 end, case when h.id is not null and used + bytes <= 4096 and len(got) < 5 then list_append(got, h.id) else got end from f left join h on h.qid = f.qid and h.rank = k + 1 where k < 50),
-g as (select qid, got from f where k = 50),
+  union all select f.qid, k + 1, used + case when h.id is not null and used + bytes <= 4096 and len(got) < 5 then bytes else 0 end, case when h.id is not null and used + bytes <= 4096 and len(got) < 5 then list_append(got, h.id) else got end from f join e on e.qid = f.qid join h on h.qid = f.qid and h.rank = k + 1 where k < e.last and len(got) < 5),
+g as (select qid, arg_max(got, k) as got from f group by 1),
 sel as (select qid, unnest(got) as id, unnest(range(1, len(got) + 1)) as rank from g),
 gold as (select qid, t.id from asked join turns t on t.session_id = qsession and t.id <> qid),
 m as (select a.qid, qsource, count(gold.id) as n_gold, count(sel.id)::double / count(gold.id) as recall, (count(sel.id) > 0)::int as hit, coalesce(1.0 / min(sel.rank), 0)::double as mrr from asked a join gold on gold.qid = a.qid left join sel on sel.qid = gold.qid and sel.id = gold.id group by all)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import vocab as V
 from annalist.operators import lifecycle as L
-from annalist.operators.lexical import top
+from annalist.operators.lexical import numbered, top
 from annalist.sources import model as M
 
 DAY = 86400
@@ -62,8 +62,7 @@ def anchors_listed(spark, sf):
     """Anchors of living memories in the order in which they were pinned; whether they are more than the soft limit."""
     rows = states(spark, sf).where("pinned_at is not null and forgotten_at is null").select("memory_id", "pinned_at", "reason")
     n = rows.agg(F.count("*").alias("n"))
-    order = W.orderBy("pinned_at", "memory_id")  # anchors are few; a soft limit says so
-    return rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(n)).select("rank", "memory_id", "pinned_at", "reason", (F.col("n") > V.ANCHOR_LIMIT).alias("too_many"))
+    return numbered(rows, "pinned_at", "memory_id").join(F.broadcast(n)).select("rank", "memory_id", "pinned_at", "reason", (F.col("n") > V.ANCHOR_LIMIT).alias("too_many"))  # one row
 
 
 def forgotten_newest(spark, sf):
@@ -79,7 +78,10 @@ def canon_listed(spark, sf):
 
 
 def scopes_active(spark, sf):
-    return states(spark, sf).select(F.explode("canon.scope").alias("scope")).groupBy("scope").agg(F.count("*").alias("entries")).withColumn("too_many", F.col("entries") > V.CANON_LIMIT)
+    """Scopes with active canon entries; the soft limit is on the entries of all scopes."""
+    rows = states(spark, sf).select(F.explode("canon.scope").alias("scope")).groupBy("scope").agg(F.count("*").alias("entries"))
+    total = rows.agg(F.sum("entries").alias("total"))
+    return rows.join(F.broadcast(total)).select("scope", "entries", (F.col("total") > V.CANON_LIMIT).alias("too_many"))  # one row
 
 
 def frames_listed(spark, sf):
@@ -93,9 +95,9 @@ def reviews_due(spark, sf):
 
 
 def consolidated_first(spark, sf):
-    """Living memories that aren't anchors: consolidated ones first, newest first (by id where nothing else tells them apart)."""
+    """Living memories that aren't anchors: consolidated ones first, newest capture first, then by id."""
     rows = states(spark, sf).where("forgotten_at is null and pinned_at is null")
-    return top(rows, 60, F.desc(F.col("status") == "consolidated"), F.desc_nulls_last("consolidated_at"), "memory_id").select("rank", "memory_id", "status")
+    return top(rows, 60, F.desc(F.col("status") == "consolidated"), F.desc("created_at"), "memory_id").select("rank", "memory_id", "status")
 
 
 def conflict_commands(spark, sf):
@@ -131,7 +133,7 @@ def links_of_memory(spark, sf):
     """Active links from or to one memory, oldest first."""
     r = link_records(spark, sf).where("closed is null")
     rows = r.where("from_id = 7").unionByName(r.where("to_id = 7 and from_id <> 7"))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy("opened", "from_id", "to_id"))).select("rank", "from_id", "to_id", "relation", "opened")
+    return numbered(rows, "opened", "from_id", "to_id").select("rank", "from_id", "to_id", "relation", "opened")
 
 
 def contexts(spark, sf):
@@ -201,10 +203,10 @@ ORACLE = {
     "anchors_listed": f"{R} select row_number() over (order by pinned, memory_id)::int as rank, memory_id, pinned as pinned_at, reason, count(*) over () > 12 as too_many from fin where pinned is not null and forgotten is null",
     "forgotten_newest": f"{R} select row_number() over (order by forgotten desc, memory_id)::int as rank, memory_id, forgotten as forgotten_at from fin where forgotten is not null qualify rank <= 50",
     "canon_listed": f"{R}, u as (select memory_id, unnest(canon) as scope, unnest(since) as canonized_at, not sens or independent > 0 as eligible from fin where forgotten is null) select *, row_number() over (partition by memory_id order by canonized_at, scope) = 1 as stands, count(*) over (partition by memory_id) as scopes from u",
-    "scopes_active": f"{R}, u as (select unnest(canon) as scope from fin) select scope, count(*) as entries, count(*) > 8 as too_many from u group by scope",
+    "scopes_active": f"{R}, u as (select unnest(canon) as scope from fin) select scope, count(*) as entries, sum(count(*)) over () > 8 as too_many from u group by scope",
     "frames_listed": f"{R} select frame, count(*) as n from fin where frame is not null group by frame",
     "reviews_due": f"{R} select memory_id, reviewed as reviewed_at from fin where tier = 'interpretation' and forgotten is null and (reviewed is null or reviewed < {NOW - 30 * DAY})",
-    "consolidated_first": f"{R} select row_number() over (order by (status = 'consolidated')::int desc, cons desc nulls last, memory_id)::int as rank, memory_id, status from fin where forgotten is null and pinned is null qualify rank <= 60",
+    "consolidated_first": f"{R} select row_number() over (order by (status = 'consolidated')::int desc, born desc, memory_id)::int as rank, memory_id, status from fin join (select memory_id as m, arg_min(moment, seq) as born from acts where op = 'remember' group by 1) on m = memory_id where forgotten is null and pinned is null qualify rank <= 60",
     "conflict_records": f"with {CONFLICTS} select * from rec",
     "conflicts_shown": f"{R}, {CONFLICTS} select rec.a, rec.b, opened, x.status as status_a, x.frame as frame_a, y.status as status_b, y.frame as frame_b from rec join fin x on x.memory_id = rec.a and x.forgotten is null join fin y on y.memory_id = rec.b and y.forgotten is null where closed is null",
     "link_records": f"with {LINKS} select * from lr",
