@@ -10,10 +10,14 @@ from annalist.functions import text as T
 from annalist.functions import vocab as V
 
 
+def profile(c: Column) -> dict[str, Column]:
+    """All that pairwise rules read of a statement."""
+    return {"tokens": F.array_distinct(T.tokens(c)), "stems": T.stems(c), "words": T.content_words(c), "letters": F.array_distinct(F.split(c, "")), "domain": T.domain(c), "pronoun": T.pronoun(c), "changed": T.changed(c), "revoked": T.revoked(c), "negated": T.negated(c), "latin": T.latin(c), "triple": T.triple_key(c), "key": T.normal(c), "n_chars": F.length(c)}
+
+
 def profiled(rows: DataFrame) -> DataFrame:
-    """Rows with all that pairwise rules read, computed once per row."""
-    c = F.col("content")
-    return rows.withColumns({"tokens": F.array_distinct(T.tokens(c)), "stems": T.stems(c), "words": T.content_words(c), "letters": F.array_distinct(F.split(c, "")), "domain": T.domain(c), "pronoun": T.pronoun(c), "changed": T.changed(c), "revoked": T.revoked(c), "negated": T.negated(c), "latin": T.latin(c), "triple": T.triple_key(c), "key": T.normal(c), "n_chars": F.length(c)})
+    """Rows with their profiles, computed once per row."""
+    return rows.withColumns(profile(F.col("content")))
 
 
 def pairs(rows: DataFrame, user: str, recent: int = 300) -> DataFrame:
@@ -53,24 +57,33 @@ def rewrite(jaccard: Column) -> Column:
 
 
 def versions(rows: DataFrame, user: str, recent: int = 300) -> DataFrame:
-    """(old_id, new_id, similarity): the new statement replaces the old one.  Only a speaker revises their own facts, unless
-    both are triples of one subject and relation."""
+    """(old_id, new_id, similarity): the new statement replaces the old one."""
+    return judged_versions(pairs(profiled(rows), user, recent))
+
+
+def judged_versions(found: DataFrame) -> DataFrame:
+    """Which pairs (old, new) of profiled statements are versions.  Only a speaker revises their own facts, unless both are
+    triples of one subject and relation."""
     jaccard, coverage = overlap()
     triple = F.coalesce(F.col("old.triple") == F.col("new.triple"), F.lit(False))
     other = F.coalesce(F.col("old.triple") != F.col("new.triple"), F.lit(False))
     domain = triple | (same_domain() & (F.col("old.n_chars") <= V.STATEMENT_CHARS) & (F.col("new.n_chars") <= V.STATEMENT_CHARS))
-    found = pairs(profiled(rows), user, recent).where(((F.col("old.source") == F.col("new.source")) | triple) & (F.col("old.key") != F.col("new.key")) & ~other & (domain | rewrite(jaccard)) & (domain | (jaccard >= V.STRONG_JACCARD) | (coverage >= V.STRONG_COVERAGE)))
+    found = found.where(((F.col("old.source") == F.col("new.source")) | triple) & (F.col("old.key") != F.col("new.key")) & ~other & (domain | rewrite(jaccard)) & (domain | (jaccard >= V.STRONG_JACCARD) | (coverage >= V.STRONG_COVERAGE)))
     return found.select(F.col("old.id").alias("old_id"), F.col("new.id").alias("new_id"), F.round(jaccard, 4).alias("similarity"))
 
 
 def contradictions(rows: DataFrame, user: str, recent: int = 300) -> DataFrame:
     """(a, b, signal): statements of one speaker that contradict each other; both stay."""
+    return judged_contradictions(pairs(profiled(rows), user, recent))
+
+
+def judged_contradictions(found: DataFrame) -> DataFrame:
     opposite = T.opposite(F.col("old.content"), F.col("new.content"))
     about = (F.col("old.domain") == F.col("new.domain")) & ~F.col("old.revoked") & ~F.col("new.revoked") & (shared("letters") >= 2)
     words = ~(F.col("old.latin") | F.col("new.latin")) | (shared("stems") >= 2) | opposite.isNotNull()
     short = (F.col("old.n_chars") <= V.STATEMENT_CHARS) & (F.col("new.n_chars") <= V.STATEMENT_CHARS) & F.col("old.triple").isNull() & F.col("new.triple").isNull()
     signal = F.when(F.col("old.negated") != F.col("new.negated"), F.lit("negation_flip")).otherwise(opposite)
-    found = pairs(profiled(rows), user, recent).where((F.col("old.source") == F.col("new.source")) & about & words & short)
+    found = found.where((F.col("old.source") == F.col("new.source")) & about & words & short)
     return found.select(F.col("old.id").alias("a"), F.col("new.id").alias("b"), signal.alias("signal")).where("signal is not null")
 
 

@@ -169,6 +169,25 @@ def point(c: str) -> str:
 
 P = phrases_sql()
 BOTH = f"with {M.TURNS}, {M.MATERIALS}, {P}"
+def chunk_sql(rows: str) -> str:
+    """CTEs ending in chunks (id, n, chunk) of a relation (id, content), in a recursive query."""
+    blank = r"'^[\s\p{Z}]+|[\s\p{Z}]+$'"
+    return rf"""p_ as (select id, content, list_filter(regexp_extract_all(content, '[^。！？；.!?\n]*[。！？；.!?\n]|[^。！？；.!?\n]+$'), lambda s: length(regexp_replace(s, '[\s\p{{Z}}]+', '', 'g')) > 0 or contains(s, chr(10))) as s from {rows}),
+f_ as (select id, s, 0 as k, []::varchar[] as done, '' as now from p_ where length(content) > 1200 and len(s) > 1
+  union all select id, s, k + 1, case when length(now) + length(s[k + 1]) > 1200 and length(now) >= 200 then list_append(done, now) else done end, case when length(now) + length(s[k + 1]) > 1200 and length(now) >= 200 then s[k + 1] else now || s[k + 1] end from f_ where k < len(s)),
+c_ as (select id, list_filter(list_transform(list_append(done, now), lambda x: regexp_replace(x, {blank}, '', 'g')), lambda x: length(x) > 0) as c from f_ where k = len(s) union all select id, [content] from p_ where not (length(content) > 1200 and len(s) > 1)),
+u_ as (select id, c, unnest(range(0, len(c))) as n from c_), chunks as (select id, n, c[n + 1] as chunk from u_)"""
+
+
+def summary_sql(rows: str, key: str, order: str) -> str:
+    """CTEs ending in summaries (key, summary, n) of a relation with content, one point after the other."""
+    return f"""s_ as (select {key} as key_, row_number() over (partition by {key} order by {order}) as k, {point('r.content')} as pt from {rows} r),
+g_ as (select distinct key_, 0::bigint as k, '' as acc from s_
+  union all select key_, s_.k, case when pt = '' or list_contains(string_split(acc, chr(10)), pt) then acc when length(t) <= 4000 then t else substring(t, 1, 1600) || chr(10) || '…' || chr(10) || right(t, 2397) end
+  from (select g_.key_, g_.k + 1 as k, acc, s_.pt, case when acc = '' then s_.pt else acc || chr(10) || s_.pt end as t from g_ join s_ on s_.key_ = g_.key_ and s_.k = g_.k + 1) s_),
+summaries as (select key_ as {key}, arg_max(acc, k) as summary, max(k) as n from g_ group by key_)"""
+
+
 ORACLE = {
     "normalize_dedup": f"with {M.MATERIALS} select min(id) as first_id, count(*) as copies from materials group by {normal('content')} having count(*) > 1",
     "normalize_inline": f"with {P} select id, {normal('content')} as key from phrases",
@@ -182,11 +201,8 @@ ORACLE = {
     "triple_keys_inline": f"with {P}, r as (select id, {triple_key('content')} as key from phrases) select * from r where key is not null",
     "content_years_inline": rf"with {P}, r as (select id, regexp_extract_all(content, '(20\d\d)年|(?i:in|during) (?i:the year )?(20\d\d)') as m from phrases), u as (select id, m, generate_subscripts(m, 1) - 1 as n from r where len(m) > 0) select id, n::int as n, regexp_extract(m[n + 1], '(20\d\d)', 1)::int as year from u",
     "stems_inline": f"with {P} select id, unnest({stems('content')}) as stem from phrases",
-    "chunk_sentences": r"with recursive " + M.MATERIALS + r""", p as (select id, content, list_filter(regexp_extract_all(content, '[^。！？；.!?\n]*[。！？；.!?\n]|[^。！？；.!?\n]+$'), lambda s: length(regexp_replace(s, '[\s\p{Z}]+', '', 'g')) > 0 or contains(s, chr(10))) as s from materials),
-f as (select id, s, 0 as k, []::varchar[] as done, '' as now from p where length(content) > 1200 and len(s) > 1
-  union all select id, s, k + 1, case when length(now) + length(s[k + 1]) > 1200 and length(now) >= 200 then list_append(done, now) else done end, case when length(now) + length(s[k + 1]) > 1200 and length(now) >= 200 then s[k + 1] else now || s[k + 1] end from f where k < len(s)),
-c as (select id, list_filter(list_transform(list_append(done, now), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: length(x) > 0) as c from f where k = len(s) union all select id, [content] from p where not (length(content) > 1200 and len(s) > 1)),
-u as (select id, c, unnest(range(0, len(c))) as n from c) select id, n::int as n, length(c[n + 1])::int as n_chars, md5(c[n + 1]) as chunk_md5 from u""",
+    "chunk_sentences": f"with recursive {M.MATERIALS}, {chunk_sql('materials')} select id, n::int as n, length(chunk)::int as n_chars, md5(chunk) as chunk_md5 from chunks",
+    "rolling_summary": f"with recursive {M.TURNS}, {summary_sql('turns', 'session_id', 'position')} select session_id, length(summary)::int as n_chars, md5(summary) as summary_md5 from summaries",
     "summary_points": f"{BOTH}, r as (select id, content from turns union all select -id, content from phrases) select id, {point('r.content')} as point from r",
 }
 from annalist.plans.retrieval import tok  # noqa: E402
