@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``.  Where that is unset, a temporary folder if all of Spark runs on this
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Where that is unset, a temporary folder if all of Spark runs on this
     machine (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -18,7 +19,12 @@ def shared_path(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_annalist_tables", None) or tempfile.mkdtemp(prefix="annalist-")
         spark._annalist_tables = base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -36,3 +42,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 def deleted(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """What a folder or file looked like: its path, bytes, files, and when it was written last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(at)
+    newest = max((s.getModificationTime() for s in fs.listStatus(at)), default=0)
+    return hashlib.sha256(f"{path} {summary.getLength()} {summary.getFileCount()} {newest}".encode()).hexdigest()[:16]
