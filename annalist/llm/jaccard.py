@@ -146,10 +146,23 @@ def row_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
     return distinct_rows(*shingles(word_hashes(data, starts, ends), counts, size))
 
 
+def pack_set(s: np.ndarray) -> bytes:
+    """Ascending elements byte by byte and compressed: their first bytes repeat.  The number of elements comes first."""
+    return len(s).to_bytes(4, "little") + CODEC.compress(s.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True) if len(s) else b""
+
+
+def unpack_set(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    n = int.from_bytes(blob[:4], "little")
+    raw = np.frombuffer(CODEC.decompress(memoryview(blob)[4:], 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(np.uint64).ravel()
+
+
 def elements_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The elements of sets that were stored as binary, one set after the other, and the sets' sizes."""
-    data, offsets = text_bytes(column)
-    return np.frombuffer(data.tobytes(), np.uint64), np.diff(offsets) // 8
+    """The elements of packed sets, one set after the other, and the sets' sizes."""
+    sets = [unpack_set(b) for b in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array(list(map(len, sets)), np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -184,12 +197,15 @@ def tables(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
 
 
-SETS = "row long, doc_id long, doc long, hash long, n_shingles long, h1 long, h2 long, sketch binary, shingles binary"
+#: Of packed sets.
+CODEC = pa.Codec("zstd", 1)
+
+SETS = "row long, doc_id long, doc long, hash long, n_shingles long, h1 long, h2 long, shingles binary"
 
 
 def sets_of(texts: DataFrame, size: int) -> DataFrame:
     """Rows (doc_id, text, doc, hash; the last two name a row) with a number of their own and the set of their shingles, stored:
-    row, doc_id, doc, hash, n_shingles, h1 and h2 (hashes of the whole set), sketch, shingles (ascending hashes)."""
+    row, doc_id, doc, hash, n_shingles, h1 and h2 (hashes of the whole set), shingles (ascending hashes, packed)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -206,7 +222,7 @@ def sets_of(texts: DataFrame, size: int) -> DataFrame:
                     raise ValueError("too many rows in a partition")
                 row = (part << PLACE_BITS) + np.arange(at, at + b - a)
                 at += b - a
-                yield pa.record_batch([pa.array(row), *(batch.column(c).slice(a, b - a) for c in (0, 2, 3)), pa.array(list(map(len, sets)), pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[c.split()[0] for c in SETS.split(", ")])
+                yield pa.record_batch([pa.array(row), *(batch.column(c).slice(a, b - a) for c in (0, 2, 3)), pa.array(list(map(len, sets)), pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([pack_set(s) for s in sets], pa.binary())], names=[c.split()[0] for c in SETS.split(", ")])
 
     return stored(texts.mapInArrow(lean(made), SETS), "sets")
 
@@ -476,11 +492,23 @@ def rest_of(sets: DataFrame, groups: DataFrame, common: np.ndarray, num: int, de
     mine = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = left.withColumn("mine", mine).withColumn("other", other).select("a", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("b").alias("row"), "component", "mine")
-    brief = stored(sets.select("row", "n_shingles", "sketch").join(small(groups.select(F.col("b").alias("row")).distinct()), "row"), "sketches")
+    brief = sketches(sets, groups.select(F.col("b").alias("row")).distinct())
     cells = cells.join(brief, "row").select("a", "i", "j", "mine", "row", "component", "n_shingles", "sketch")
     return stored(cells.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(lean(lambda batches: compared(batches, num, den)), "a long, b long").distinct(), "rest")
 
 
+def sketches(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """row, n_shingles and sketch of some rows, stored."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sketch(unpack_set(b)) for b in batch.column(2).to_pylist()]
+            yield pa.record_batch([*batch.columns[:2], pa.array(own, pa.binary())], names=["row", "n_shingles", "sketch"])
+
+    some = sets.select("row", "n_shingles", "shingles").join(small(rows), "row", "left_semi")
+    return stored(some.mapInArrow(lean(drawn), "row long, n_shingles long, sketch binary"), "sketches")
+
+
 def compared(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows (a, i, j, mine, row, component, n, sketch; those of one (a, i, j) together) of different components
     that their sketches let link; where i < j, one of block i and one of block j."""
@@ -534,7 +562,7 @@ def checked(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
                 keep[at] = may_link(x, y, nx[at], ny[at], num, den)
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    brief = stored(sets.select("row", "n_shingles", "sketch").join(small(ends_of(pairs)), "row", "left_semi"), "sketches")
+    brief = sketches(sets, ends_of(pairs))
     both = pairs.join(brief.select(F.col("row").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a").join(brief.select(F.col("row").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
     near = both.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
     near = stored(near.mapInArrow(lean(likely), "a long, b long"), "likely")
@@ -549,7 +577,7 @@ def linked(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                both = np.sort(np.concatenate([unpack_set(x), unpack_set(y)]))
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(den * same >= num * (len(both) - same))
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
