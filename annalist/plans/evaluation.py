@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.operators.evaluate import budgeted, metrics
-from annalist.operators.lexical import bm25
-from annalist.plans.retrieval import bm25_sql
+from annalist.operators.evaluate import budgeted, ceilings, metrics, nearest, without_overlap
+from annalist.operators.lexical import bm25, tokenized
+from annalist.plans.retrieval import bm25_sql, tok
 from annalist.sources import model as M
 
 
@@ -61,6 +61,37 @@ def paired_outcomes(spark, sf):
     return a.join(b, "qid").agg(F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"))
 
 
+def gold_diagnostics(spark, sf):
+    """Of each question: whether its evidence is beyond the budget, what a perfect selector could reach, and how much of it shares
+    no word with the question."""
+    t, q, g = M.turns(spark, sf), asked(spark, sf), gold(spark, sf)
+    sizes = g.join(t.select("id", F.octet_length("content").cast("long").alias("bytes")), "id")
+    apart = without_overlap(g, tokenized(q, "query"), tokenized(t)).groupBy("qid").agg(F.count("*").alias("n"))
+    out = ceilings(sizes, 5, 4096).join(apart, "qid", "left")
+    return out.select("qid", "n_gold", "too_many", "too_large", F.round("ceiling", 6).alias("ceiling"), F.coalesce("n", F.lit(0)).cast("long").alias("without_overlap"))
+
+
+def misses(spark, sf):
+    """Evidence that the selection missed: how far the nearest selected turn of its session is, whether it shares a word."""
+    t, q, g = M.turns(spark, sf), asked(spark, sf), gold(spark, sf)
+    places = t.select("id", "session_id", "position")
+    chosen = selected(spark, sf).select("qid", "id")
+    missed = g.join(chosen, ["qid", "id"], "left_anti").join(places, "id").select("qid", "id", "session_id", "position")
+    far = nearest(missed, chosen.join(places, "id"))
+    apart = without_overlap(missed, tokenized(q, "query"), tokenized(t)).select("qid", "id", F.lit(False).alias("overlap"))
+    return far.join(apart, ["qid", "id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(True)))
+
+
+def miss_distances(spark, sf):
+    return misses(spark, sf).select("qid", "id", "distance", "overlap")
+
+
+def miss_report(spark, sf):
+    """Misses within one and three turns of what was selected, in a session without any, and without a shared word, by speaker."""
+    rows = misses(spark, sf).join(asked(spark, sf).select("qid", "qsource"), "qid")
+    return rows.groupBy("qsource").agg(F.count("*").alias("missed"), F.count_if(F.col("distance") <= 1).alias("within_one"), F.count_if(F.col("distance") <= 3).alias("within_three"), F.count_if(F.col("distance").isNull()).alias("other_session"), F.count_if(~F.col("overlap")).alias("without_overlap"))
+
+
 def latency_percentiles(spark, sf):
     e = M.table(spark, sf, "events")
     return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
@@ -87,7 +118,7 @@ def rejected_requests(spark, sf):
     return M.table(spark, sf, "events").select(bad.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (budget_select, retrieval_metrics, metrics_grouping_sets, paired_outcomes, latency_percentiles, idempotent_ingest, session_positions, rejected_requests)}
+QUERIES = {f.__name__: f for f in (budget_select, retrieval_metrics, metrics_grouping_sets, paired_outcomes, gold_diagnostics, miss_distances, miss_report, latency_percentiles, idempotent_ingest, session_positions, rejected_requests)}
 
 ASKED = "asked as (select id as qid, session_id as qsession, source as qsource, content as query from turns where position = 0)"
 CHAIN = f"""{M.TURNS}, {ASKED}, {bm25_sql('turns', 'asked')},
@@ -99,7 +130,15 @@ g as (select qid, arg_max(got, k) as got from f group by 1),
 sel as (select qid, unnest(got) as id, unnest(range(1, len(got) + 1)) as rank from g),
 gold as (select qid, t.id from asked join turns t on t.session_id = qsession and t.id <> qid),
 m as (select a.qid, qsource, count(gold.id) as n_gold, count(sel.id)::double / count(gold.id) as recall, (count(sel.id) > 0)::int as hit, coalesce(1.0 / min(sel.rank), 0)::double as mrr from asked a join gold on gold.qid = a.qid left join sel on sel.qid = gold.qid and sel.id = gold.id group by all)"""
+MISSES = f"""{CHAIN}, tk as (select id, session_id, position, {tok('content')} as t, strlen(content)::bigint as bytes from turns),
+ms as (select g.qid, g.id, qsource, (select min(abs(x.position - m.position)) from sel s join tk x on x.id = s.id where s.qid = g.qid and x.session_id = m.session_id) as distance, len(list_intersect(q.t, m.t)) > 0 as overlap
+  from gold g join tk m on m.id = g.id join tk q on q.id = g.qid join asked on asked.qid = g.qid where not exists (select 1 from sel where sel.qid = g.qid and sel.id = g.id))"""
 ORACLE = {
+    "gold_diagnostics": f"""with recursive {CHAIN}, tk as (select id, {tok('content')} as t, strlen(content)::bigint as bytes from turns),
+r as (select g.qid, g.id, m.bytes, row_number() over (partition by g.qid order by m.bytes, g.id) as n, sum(m.bytes) over (partition by g.qid order by m.bytes, g.id) as used, len(list_intersect(q.t, m.t)) = 0 as apart from gold g join tk m on m.id = g.id join tk q on q.id = g.qid)
+select qid, count(*) as n_gold, count(*) > 5 as too_many, sum(bytes) > 4096 as too_large, round(count(*) filter (where n <= 5 and used <= 4096)::double / count(*), 6) as ceiling, count(*) filter (where apart) as without_overlap from r group by qid""",
+    "miss_distances": f"with recursive {MISSES} select qid, id, distance, overlap from ms",
+    "miss_report": f"with recursive {MISSES} select qsource, count(*) as missed, count(*) filter (where distance <= 1) as within_one, count(*) filter (where distance <= 3) as within_three, count(*) filter (where distance is null) as other_session, count(*) filter (where not overlap) as without_overlap from ms group by 1",
     "budget_select": f"with recursive {CHAIN} select qid, rank::int as rank, id from sel",
     "retrieval_metrics": f"with recursive {CHAIN} select qid, recall, hit, mrr from m",
     "metrics_grouping_sets": f"with recursive {CHAIN}, n as (select * replace (least(n_gold, 5) as n_gold) from m) select qsource, n_gold, count(*) as n, round(avg(recall), 6) as recall, round(avg(hit), 6) as hit, round(avg(mrr), 6) as mrr, round(avg((recall = 1)::int), 6) as complete from n group by grouping sets ((qsource), (n_gold), ())",

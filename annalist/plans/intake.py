@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annalist.functions import paths as P
 from annalist.functions import rules as R
 from annalist.functions import vocab as V
 from annalist.plans.relations import STATED, stated
+from annalist.sources import dialogues
 from annalist.sources import model as M
 from annalist.sources.keyed import OFFER, KeyedTable
 from annalist.sources.store import shared_path
@@ -89,7 +91,46 @@ def profiles_looked_up(spark, sf):
     return profiles(spark, sf).lookup(wanted).select("user_id", "event_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (requests_judged, requests_split, times_parsed, profiles_upserted, profiles_looked_up)}
+#: What is read of every Add request, in one scan.
+PATHS = {"roles": "messages.*.role", "times": "messages.*.timestamp", "first_role": "messages.0.role", "second": "messages.1", "who": "user_id", "request": "request_id", "nothing": "messages.*.colour"}
+
+
+def request_paths(spark, sf):
+    rows = requests(spark, sf).where("kind = 'add'")
+    return rows.select("id", *P.read(F.col("value"), PATHS))
+
+
+def dialogue_lines(spark, sf):
+    """Conversations as dialogue files: five to a file, a session each, questions on them; some files are wrong."""
+    t = M.turns(spark, sf).withColumns({"file": F.floor(F.col("session_id") / 5), "n": F.col("session_id") % 5 * 3 + 1})
+    turn = F.struct(F.concat_ws(":", F.concat(F.lit("D"), "n"), "position").alias("dia_id"), F.col("source").alias("speaker"), F.col("content").alias("text"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("picture "), "id")).alias("blip_caption"))
+    sessions = t.groupBy("file", "n").agg(F.sort_array(F.collect_list(F.struct("position", turn.alias("turn")))).alias("s"), F.max("position").alias("last"))
+    sessions = sessions.select("file", "n", "last", F.to_json("s.turn").alias("json"))
+    files = sessions.groupBy("file").agg(F.array_join(F.transform(F.collect_list(F.struct("n", "json")), lambda x: F.concat(F.lit('"session_'), x["n"], F.lit('": '), x["json"], F.lit(', "session_'), x["n"], F.lit('_date": "x"'))), ", ").alias("sessions"), F.sort_array(F.collect_list(F.struct("n", "last"))).alias("ends"))
+
+    def question(x, k):
+        gold = F.concat(F.lit('"D'), x["n"], F.lit(":"), x["last"], F.lit('"'))
+        evidence = F.when(k % 4 == 0, F.concat(gold, F.lit(", "), F.lit('" D1:0 "'), F.lit(', "D1:0"'))).when(k % 4 == 1, F.lit("")).when(k % 4 == 2, F.lit('"D99:0"')).otherwise(gold)
+        return F.concat(F.lit('{"question": "what of '), x["n"], F.lit('?", "category": '), (x["n"] % 5 + 1).cast("string"), F.lit(', "evidence": ['), evidence, F.lit("]}"))
+
+    qa = F.array_join(F.transform("ends", question), ", ")
+    wrong = piece(F.col("file") % 9, (4, '[{"question": " ", "category": 1}]'), (7, "[]"), otherwise=F.concat(F.lit("["), qa, F.lit("]")))
+    return files.select("file", F.concat(F.lit('{"sample_id": "f'), F.col("file"), F.lit('", "conversation": {"speaker_a": "x", '), "sessions", F.lit('}, "qa": '), wrong, F.lit("}")).alias("value"))
+
+
+def dialogue_documents(spark, sf):
+    documents, _, _ = dialogues.imported(dialogue_lines(spark, sf))
+    return documents.select("conversation", "session", "position", "id", F.md5("text").alias("text_md5"))
+
+
+def dialogue_questions(spark, sf):
+    """Questions by what excludes them, with their evidence; files that are wrong by reason."""
+    _, questions, wrong = dialogues.imported(dialogue_lines(spark, sf))
+    rows = questions.select("conversation", "number", "category", F.array_join("gold", ",").alias("gold"), F.coalesce("excluded", F.lit("")).alias("excluded"))
+    return rows.unionByName(wrong.select("conversation", F.lit(-1).alias("number"), F.lit(None).cast("int").alias("category"), F.lit("").alias("gold"), F.col("reason").alias("excluded")))
+
+
+QUERIES = {f.__name__: f for f in (requests_judged, requests_split, times_parsed, profiles_upserted, profiles_looked_up, request_paths, dialogue_documents, dialogue_questions)}
 
 # What is wrong is said by hand here, for each remainder.
 JUDGED = rf"""a as (select 'add' as kind, id, ((id % 11) + 11) % 11 as k, not regexp_matches(content, '[^\s\p{{Z}}]') as blank from stated),
@@ -98,6 +139,7 @@ j as (
   union all select 'search', event_id, concat_ws(',', case when event_id % 7 < 4 then 'top_k' end, case when event_id % 5 < 2 then 'options' end) from events
   union all select 'claim', o_orderkey, concat_ws(',', case when o_orderkey % 8 > 5 then 'kind' end, case when o_orderkey % 6 in (0, 1, 3) then 'statement_at' end, case when o_orderkey % 5 < 2 then 'valid_order' end) from orders
   union all select 'range', o_orderkey, concat_ws(',', case when o_orderkey % 9 < 2 then 'limit' end, case when o_orderkey % 3 = 0 then 'time_order' end) from orders)"""
+DIALOGUES = f"{M.TURNS}, d as (select *, session_id // 5 as file, 'f' || (session_id // 5) as conversation, session_id % 5 * 3 + 1 as n, 'D' || (session_id % 5 * 3 + 1) || ':' || position as dia from turns)"
 UPSERTED = """p as (
   select *, 'l' || event_id as l, event_id % 4 = 0 as first from events where (event_id % 4 = 0 and event_id % 3 = 0) or (event_id % 4 = 2 and event_id % 5 = 0)
   qualify row_number() over (partition by user_id order by event_id % 4 desc, event_id desc) = 1),
@@ -105,6 +147,14 @@ o as (select * from events where event_id % 4 in (1, 3) and user_id not in (sele
 up as (select user_id, event_id, event_type, round(value, 6) as value, case when not first then l end as label from p union all select user_id, event_id, event_type, round(value, 6), null from o)"""
 ORACLE = {
     "requests_judged": f"with {STATED}, {JUDGED} select * from j",
+    "request_paths": f"""with {STATED}, a as (select id, ((id % 11) + 11) % 11 as k from stated), r as (select id, k, case when k = 8 then 'null' else '"user"' end as role, case k when 4 then '-5' when 7 then 'true' when 9 then 'null' else '1704067200000' end as ts from a)
+select id, case when k = 2 then '[]' when k <> 5 then '[' || role || ']' end as roles, case when k = 2 then '[]' when k <> 5 then '[' || ts || ']' end as times, case when k not in (2, 5) then role end as first_role, null::varchar as second,
+  case when k = 1 then '" "' when k <> 5 then '"u"' end as who, case when k = 6 then '6' when k <> 5 then '"r"' end as request, case when k = 2 then '[]' end as nothing from r""",
+    "dialogue_documents": f"with {DIALOGUES} select conversation, n as session, position::int as position, dia as id, md5(source || ': ' || content || case when id % 4 = 0 then chr(10) || 'Image caption: picture ' || id else '' end) as text_md5 from d where file % 9 not in (4, 7)",
+    "dialogue_questions": f"""with {DIALOGUES}, e as (select file, conversation, n, max(position) as last, row_number() over (partition by file order by n) - 1 as number from d group by file, conversation, n),
+q as (select conversation, number::int as number, (n % 5 + 1)::int as category, case number % 4 when 0 then case when 'D' || n || ':' || last = 'D1:0' then 'D1:0' else 'D' || n || ':' || last || ',D1:0' end when 1 then '' when 2 then 'D99:0' else 'D' || n || ':' || last end as gold, file,
+  case when n % 5 = 4 then 'adversarial' when number % 4 = 1 then 'no_evidence' when number % 4 = 2 or (number % 4 = 0 and not exists (select 1 from d where d.file = e.file and dia = 'D1:0')) then 'unresolved_evidence' else '' end as excluded from e)
+select conversation, number, category, gold, excluded from q where file % 9 not in (4, 7) union all select distinct conversation, -1, null, '', case file % 9 when 4 then 'question' else 'empty' end from d where file % 9 in (4, 7)""",
     "requests_split": f"with {STATED}, {JUDGED} select kind, string_split(reasons, ',')[1] as reason, count(*) as n from j group by all",
     "times_parsed": """with e as (select event_id, event_id % 8 as k, floor(epoch(ts))::bigint as s, floor(epoch(date_trunc('day', ts)))::bigint as d from events)
 select event_id, case k when 0 then s * 1000000 when 1 then (s - 19800) * 1000000 when 4 then (s + 900) * 1000000 + 500000 end as strict, (case k when 0 then s when 1 then s - 19800 when 2 then s when 3 then d when 4 then s + 900.5 when 5 then s end)::double as lenient from e""",
