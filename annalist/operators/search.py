@@ -12,7 +12,8 @@ from annalist.functions import question as Q
 from annalist.functions import text as T
 from annalist.functions import vocab as V
 from annalist.operators.governance import governed
-from annalist.operators.lexical import bm25
+from annalist.operators.lexical import bm25, top_each
+from annalist.sources.store import stored
 
 REQUEST = "qid long, query string, top_k int, expanded string, windows array<struct<centre: double, back: double, half: double>>, years array<int>, " + ", ".join(f"{n} boolean" for n in Q.INTENTS)
 
@@ -39,7 +40,8 @@ def sections(rows: DataFrame, asked: DataFrame) -> DataFrame:
     shown = shown.select("qid", "id", "section", F.when(F.col("section") == "anchor", F.col("n")).otherwise(F.col("anchors") + F.col("n")).alias("place"), F.lit(None).cast("double").alias("score"))
     ordinary = rows.where("section = 'ordinary'")
     hits = bm25(ordinary, asked.select("qid", F.col("expanded").alias("query"))).where("relevance > 0").join(ordinary.select("id", "moment"), "id")
-    ranked = hits.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("relevance"), F.desc("moment"), "id"))).join(F.broadcast(limits), "qid").where("n <= rest")
+    most = asked.agg(F.max("top_k")).first()[0] or 0  # as many as any search shows: the others drop out before they are shuffled
+    ranked = top_each(hits, "qid", most, F.desc("relevance"), F.desc("moment"), "id").withColumnRenamed("rank", "n").join(F.broadcast(limits), "qid").where("n <= rest")
     return shown.unionByName(ranked.select("qid", "id", F.lit("ordinary").alias("section"), (F.col("anchors") + F.col("canon") + F.col("n")).alias("place"), F.col("relevance").alias("score")))
 
 
@@ -92,23 +94,25 @@ def evidence(rows: DataFrame, asked: DataFrame, updates: DataFrame) -> DataFrame
     was replaced (``updates``: old_id), if the question names no time."""
     found = sections(rows, asked)
     base = found.select("qid", "id", "place", "score").unionByName(neighbours(rows, asked, found))
-    entries = timed(base.join(rows.select("id", "source", "content", "moment", "position"), "id"), asked).persist()
-    old = updates.select(F.col("old_id").alias("id")).distinct().crossJoin(F.broadcast(asked.where(F.size("windows") == 0).select("qid")))  # as many as were asked
+    entries = timed(base.join(rows.select("id", "source", "content", "moment", "position"), "id"), asked)
+    entries = stored(entries, "entries")
+    timeless = entries.join(F.broadcast(asked.where(F.size("windows") == 0).select("qid")), "qid").select("qid", "id")  # as many as were asked
+    old = timeless.join(updates.select(F.col("old_id").alias("id")), "id", "left_semi")
     after = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").isNotNull(), F.desc("score"), "place"))
     return governed(entries, old).select("qid", "id", "content", "moment", "score", after.alias("place"))
 
 
-def searched(rows: DataFrame, asked: DataFrame, updates: DataFrame, contradictions: DataFrame) -> DataFrame:
+def searched(rows: DataFrame, asked: DataFrame, updates: DataFrame, contradictions: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """(qid, rank, entry, score) of a batch of searches (see requests()) over ``rows`` (id, session_id, position, source,
     content, moment, section, rule), with the versions (old_id) and contradictions (a, b) that were recorded when rows came.
 
     Entries with one id count once, with their best score.  Unscored ones (anchors and canon) come first.  Ties keep the
-    order in which entries came in.  What the searches found and what they show (a few times top_k rows each) is persisted,
-    as later steps read it again.
+    order in which entries came in.  What the searches found and what they show (a few times top_k rows each) is written, as
+    later steps read it again.  ``told`` are the sessions' summaries if they are kept.
     """
     main = evidence(rows, asked, updates).select("qid", F.col("id").cast("string").alias("entry"), "content", "moment", "score", F.lit(2).alias("group"), "place")
     cap = F.greatest(F.lit(1), F.least(F.lit(4), F.floor(F.col("top_k") / 4))).cast("int")
-    told = summaries(rows).where("summary <> ''").select(F.concat(F.lit("summary_"), F.substring(F.sha2(F.col("session_id").cast("string"), 256), 1, 10)).alias("id"), F.substring("summary", 1, V.SUMMARY_SHOWN).alias("content"), F.lit(None).cast("long").alias("moment"), "latest")
+    told = (summaries(rows) if told is None else told).where("summary <> ''").select(F.concat(F.lit("summary_"), F.substring(F.sha2(F.col("session_id").cast("string"), 256), 1, 10)).alias("id"), F.substring("summary", 1, V.SUMMARY_SHOWN).alias("content"), F.lit(None).cast("long").alias("moment"), "latest")
     top = F.col("top_k")
     out = main.unionByName(added(told, asked, "summary", [F.desc("latest"), F.col("id")], cap, V.PREPENDED_SCORE, 0))
     newest = [F.desc("moment"), F.desc("position"), F.desc("id")]
@@ -117,7 +121,7 @@ def searched(rows: DataFrame, asked: DataFrame, updates: DataFrame, contradictio
     out = out.join(F.broadcast(asked.select("qid", "rule_answer")), "qid").withColumn("score", F.when(F.col("rule_answer") & rule & F.col("score").isNotNull(), F.greatest("score", F.lit(V.RULE_FLOOR))).otherwise(F.col("score"))).drop("rule_answer")
     likes = added(rows, asked, "preference", [F.desc("moment"), F.desc("id")], F.lit(V.PREFERENCES_SEEN), V.PREFERENCE_SCORE, 3).where(T.domain(F.col("content")) == "preference")
     recent = added(rows, asked, "recent", [F.desc("moment"), F.desc("id")], top, V.RECENT_SCORE, 4)
-    out = lifted(unseen(out.unionByName(likes).unionByName(recent)), asked).persist()
+    out = stored(lifted(unseen(out.unionByName(likes).unionByName(recent)), asked), "shown")
     ids = out.select("qid", "entry").distinct()
     both = contradictions.select("a", "b").unionByName(contradictions.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").cast("string").alias("entry"), F.col("b").alias("other"))
     partner = both.join(ids, "entry").select("qid", "other").distinct().join(rows.select(F.col("id").alias("other"), "content", "moment"), "other")

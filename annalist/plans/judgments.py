@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.operators import claims as C
-from annalist.operators.lexical import ranked, top
+from annalist.operators.lexical import numbered, ranked, top
 from annalist.plans import lives
 from annalist.plans.retrieval import QUERY, bm25_sql
 from annalist.sources import model as M
@@ -22,9 +22,9 @@ def at(column):
 
 
 def sources(spark, sf):
-    """Parts as sources of claims: forgotten at, sensitive, corroborated."""
+    """Parts as sources of claims: forgotten at, sensitive, corroborated, and what they say."""
     p = M.table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("memory_id"), F.when(F.col("p_size") == 13, F.lit(GONE).cast("long")).alias("gone_at"), (F.col("p_size") % 7 == 0).alias("memory_sensitive"), (F.col("p_partkey") % 2 == 0).alias("corroborated"))
+    return p.select(F.col("p_partkey").alias("memory_id"), F.when(F.col("p_size") == 13, F.lit(GONE).cast("long")).alias("gone_at"), (F.col("p_size") % 7 == 0).alias("memory_sensitive"), (F.col("p_partkey") % 2 == 0).alias("corroborated"), F.coalesce("p_name", F.lit("")).alias("content"))
 
 
 def proposed(spark, sf):
@@ -39,7 +39,8 @@ def commands(spark, sf):
     eid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", at("l_shipdate"))
     stance = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "R", "challenges").otherwise("context")
     added = item.select(F.col("l_orderkey").alias("claim_id"), F.greatest(at("l_shipdate"), "recorded_at").alias("at"), F.lit(1).alias("rank"), F.lit("evidence").alias("op"), eid.alias("evidence_id"), F.col("l_partkey").alias("memory_id"), stance.alias("stance"), F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("origin_id"), "l_linestatus")
-    added = added.join(src, "memory_id").withColumn("quoted", F.col("memory_id") % 19 != 0)
+    quote = F.when(F.col("memory_id") % 19 == 0, F.concat("content", F.lit("?"))).otherwise(F.substring("content", 2, 9))
+    added = added.join(src, "memory_id").withColumn("quoted", F.col("content").contains(quote)).drop("content")
     gone = added.where("l_linestatus = 'O'").select("claim_id", (F.col("at") + 30 * DAY).alias("at"), F.lit(2).alias("rank"), F.lit("retract").alias("op"), "evidence_id")
     changed = added.where("gone_at is not null").select("claim_id", F.lit(GONE).cast("long").alias("at"), F.lit(3).alias("rank"), F.lit("source_changed").alias("op"), "memory_id").distinct()
     made = claim.select(F.col("id").alias("claim_id"), F.col("recorded_at").alias("at"), F.lit(0).alias("rank"), F.lit("create").alias("op"), "scope", "sensitive")
@@ -69,7 +70,7 @@ def ledger_states(spark, sf):
 
 
 def viewed(spark, sf, as_of):
-    return C.view(proposed(spark, sf).drop("o_orderstatus"), answers(spark, sf), sources(spark, sf), as_of)
+    return C.view(proposed(spark, sf).drop("o_orderstatus"), answers(spark, sf), sources(spark, sf).drop("content"), as_of)
 
 
 FIELDS = ["id", "status", "supporting", "challenging", "origins", "unknown_origins", "redacted", "review_required", "eligible"]
@@ -89,7 +90,8 @@ def claims_recalled(spark, sf):
     dated = v.withColumns({"valid_from": F.when(F.col("id") % 3 != 0, F.col("recorded_at")), "valid_until": F.when(F.col("id") % 2 == 0, F.col("recorded_at") + 900 * DAY)})
     dated = dated.where(f"(valid_from is null or valid_from <= {VALID_AT}) and (valid_until is null or {VALID_AT} < valid_until)")
     text = M.materials(spark, sf).select(F.col("id").alias("doc"), "content")
-    rows = dated.join(text, F.col("id") % 1000 == F.col("doc")).select("id", "content", "recorded_at")
+    many = text.agg(F.greatest(F.count("*"), F.lit(1)).alias("many"))  # one row
+    rows = dated.join(F.broadcast(many)).join(text, F.col("id") % F.col("many") == F.col("doc")).select("id", "content", "recorded_at")
     n = rows.agg(F.count("*").alias("eligible_count"))
     return top(ranked(rows, QUERY), 10, F.desc("relevance"), F.desc("recorded_at"), "id").join(F.broadcast(n)).select("rank", "id", "relevance", "eligible_count", (F.col("eligible_count") > 10).alias("truncated"))
 
@@ -134,8 +136,7 @@ def account_issues(spark, sf):
     claims = n.select("id", F.explode(F.transform("cids", lambda x: x.cast("long"))).alias("claim_id")).join(view, "claim_id", "left")
     claim_issue = F.when(F.col("eligible").isNull(), "missing_claim").when(~F.col("eligible"), "unusable_claim")
     found = found.unionByName(claims.select("id", claim_issue.alias("issue")).where("issue is not null"))
-    order = W.orderBy("opened", "from_id", "to_id", "relation")
-    links = lives.link_records(spark, sf).withColumn("link", F.row_number().over(order))  # links of one store, numbered as they came
+    links = numbered(lives.link_records(spark, sf), "opened", "from_id", "to_id", "relation").withColumnRenamed("rank", "link")  # as they came
     linked = n.select("id", F.explode(F.transform("lids", lambda x: x.cast("int"))).alias("link")).join(links, "link", "left")
     found = found.unionByName(linked.where("opened is null or closed is not null").select("id", F.lit("unusable_relationship").alias("issue")))
     # sources: the narrative's own, and both ends of its links
@@ -232,7 +233,7 @@ ORACLE = {
     "ledger_states": f"""with {LEDGER} select c as claim_id, tt as "at", action, rep as replacement_id from ans where action in ('proposed', 'adopted', 'withdrawn', 'superseded')""",
     "ledger_view_as_of": f"with {LEDGER}, {view_sql(AS_OF)} {SHOWN}",
     "ledger_view_now": f"with {LEDGER}, {view_sql(None)} {SHOWN}",
-    "claims_recalled": f"""with {LEDGER}, {view_sql(AS_OF)}, rr as (select vw.id, od, coalesce(d.text, '') as content from vw join documents d on d.doc_id = vw.id % 1000 where status = 'adopted' and not review_required and scope = '2-HIGH' and (vw.id % 3 = 0 or od <= {VALID_AT}) and (vw.id % 2 = 1 or {VALID_AT} < od + {900 * DAY})),
+    "claims_recalled": f"""with {LEDGER}, {view_sql(AS_OF)}, rr as (select vw.id, od, coalesce(d.text, '') as content from vw join documents d on d.doc_id = vw.id % (select count(*) from documents) where status = 'adopted' and not review_required and scope = '2-HIGH' and (vw.id % 3 = 0 or od <= {VALID_AT}) and (vw.id % 2 = 1 or {VALID_AT} < od + {900 * DAY})),
 q as (select 0 as qid, '{QUERY}' as query), {bm25_sql('rr', 'q')} select row_number() over (order by coalesce(relevance, 0) desc, od desc, rr.id)::int as rank, rr.id, coalesce(relevance, 0) as relevance, (select count(*) from rr) as eligible_count, (select count(*) from rr) > 10 as truncated from rr left join scores on scores.id = rr.id qualify rank <= 10""",
     "ledger_clock": f"with {LEDGER} select id, max(od) over (partition by scope order by id) as ledger_time from cl",
     "claims_of_source": f"with {LEDGER} select m as memory_id, count(*) as claims, min(c) as first_claim from ans where answer = 'source_changed' group by m",

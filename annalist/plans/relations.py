@@ -56,26 +56,10 @@ def said(spark):
     return phrases(spark).withColumn("moment", F.col("session_id") * 100 + F.col("position")).withColumn("user", F.lit(1))
 
 
-def version_edges(spark, sf):
-    return versions(said(spark), "user")
-
-
 def version_edges_sessions(spark, sf):
     return versions(stated(spark, sf), "session_id")
 
 
-def contradiction_pairs(spark, sf):
-    return contradictions(said(spark), "user")
-
-
-def contradiction_partners(spark, sf):
-    c = contradictions(said(spark), "user")
-    both = c.select("a", "b").unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    shown = said(spark).where("id % 2 = 0").select("id")
-    partner = both.join(shown.withColumnRenamed("id", "a"), "a").join(shown.withColumnRenamed("id", "b"), "b", "left_anti")
-    return partner.select(F.col("b").alias("id")).distinct().withColumn("score", F.lit(0.5))
-
-
 def partners(pairs):
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return both.where("a % 2 = 0 and b % 2 <> 0").select(F.col("b").alias("id")).distinct().withColumn("score", F.lit(0.5))
@@ -101,11 +85,6 @@ def govern_window_sessions(spark, sf):
     return governed(rows).select("qid", "id", "score")
 
 
-def govern_window(spark, sf):
-    rows = said(spark).select(F.lit(0).cast("long").alias("qid"), "id", "source", "content", "moment", "position", F.round(1.0 - F.col("id") * 0.01, 4).alias("score"))
-    return governed(rows).select("id", "score")
-
-
 CENTRE, HALF = M.EPOCH + 50 * 3600, 12 * 3600
 
 
@@ -139,7 +118,7 @@ def search_pipeline(spark, sf):
     return top(scored.withColumn("n", once).where("n = 1"), 10, F.desc("score"), "id").select("rank", "id", "score")
 
 
-QUERIES = {f.__name__: f for f in (neighbour_band_join, causal_band_join, session_adjacent, link_expand, history_expand, version_edges, version_edges_sessions, contradiction_pairs, contradiction_pairs_sessions, contradiction_partners, contradiction_partners_sessions, govern_window, govern_window_sessions, temporal_weight, recency_boost, search_pipeline)}
+QUERIES = {f.__name__: f for f in (neighbour_band_join, causal_band_join, session_adjacent, link_expand, history_expand, version_edges_sessions, contradiction_pairs_sessions, contradiction_partners_sessions, govern_window_sessions, temporal_weight, recency_boost, search_pipeline)}
 
 
 def band_sql(seeds: str, radius: int) -> str:
@@ -168,7 +147,6 @@ def near_sql(rows: str, user: str) -> str:
 
 
 P = phrases_sql()
-SAID = f"{P}, said as (select *, session_id * 100 + position as moment, 1 as usr from phrases)"
 STATED = f"{M.TURNS}, {P}, stated as (select id, session_id, position, source, content, moment from turns union all select -id, -session_id, position, source, content, session_id * 100 + position from phrases)"
 VERSIONS = "select o_id as old_id, n_id as new_id, round(j, 4) as similarity from pq where (o_source = n_source or tv) and o_ky <> n_ky and not td and (dv or rw) and (dv or j >= 0.6 or cv >= 0.75)"
 CONTRA = f"ct as (select o_id as a, n_id as b, case when o_ng <> n_ng then 'negation_flip' else {X.opposite('o_content', 'n_content')} end as signal from pq where o_source = n_source and o_dm = n_dm and not o_rv and not n_rv and len(list_intersect(o_le, n_le)) >= 2 and (not (o_lt or n_lt) or len(list_intersect(o_st, n_st)) >= 2 or {X.opposite('o_content', 'n_content')} is not null) and o_nc <= 160 and n_nc <= 160 and o_tr is null and n_tr is null)"
@@ -180,13 +158,7 @@ ORACLE = {
     "causal_band_join": band_sql("s.source = 'system'", 5),
     "session_adjacent": band_sql("s.position = 2", 1),
     "link_expand": f"with {M.TURNS}, {LINKS}, u as (select id from turns where source = 'user'), x as (select from_id, to_id, relation from lk union select to_id, from_id, relation from lk) select * from x where from_id in (select id from u) and to_id in (select id from u)",
-    "version_edges": f"with {SAID}, {profile_sql('said')}, {pair_sql('usr')} {VERSIONS}",
     "version_edges_sessions": f"with {STATED}, {near_sql('stated', 'session_id')} {VERSIONS}",
-    "contradiction_pairs": f"with {SAID}, {profile_sql('said')}, {pair_sql('usr')}, {CONTRA} select * from ct where signal is not null",
-    "contradiction_partners": f"with {SAID}, {profile_sql('said')}, {pair_sql('usr')}, {CONTRA}, b as (select a, b from ct where signal is not null union select b, a from ct where signal is not null) select distinct b as id, 0.5::double as score from b where a % 2 = 0 and b % 2 <> 0",
-    "govern_window": f"""with {SAID}, kept as (select * from said qualify row_number() over (partition by {X.normal('content')} order by moment desc, position desc, id desc) = 1), {profile_sql('kept')}, {pair_sql('usr')},
-w as (select o_id as id, max(j) as j, max(cv) as c from pq where o_source = n_source and (sd or rw) group by 1)
-select k.id, round(round(1.0::double - k.id * 0.01::double, 4) * case when j > 0 or c > 0 then case when j >= 0.6 or c >= 0.75 then 0.25 else 0.5 end else 1 end, 4) as score from kept k left join w on k.id = w.id""",
     "contradiction_pairs_sessions": f"with {STATED}, {near_sql('stated', 'session_id')}, {CONTRA} select * from ct where signal is not null",
     "contradiction_partners_sessions": f"with {STATED}, {near_sql('stated', 'session_id')}, {CONTRA}, b as (select a, b from ct where signal is not null union select b, a from ct where signal is not null) select distinct b as id, 0.5::double as score from b where a % 2 = 0 and b % 2 <> 0",
     "govern_window_sessions": f"""with {STATED}, kept as (select * from stated qualify row_number() over (partition by session_id, {X.normal('content')} order by moment desc, position desc, id desc) = 1), {near_sql('kept', 'session_id')},

@@ -14,6 +14,7 @@ from annalist.plans import relations as R
 from annalist.plans import texts as X
 from annalist.plans.retrieval import bm25_sql, tok
 from annalist.sources import model as M
+from annalist.sources.store import kept
 
 NOW = M.EPOCH + 400 * 3600
 ASKED = [
@@ -48,14 +49,18 @@ def search_neighbours(spark, sf):
     return S.neighbours(r, a, S.sections(r, a))
 
 
+def recorded(spark, sf):
+    """What was found when rows came: versions, contradictions and summaries, as tables."""
+    source, r = f"{sf}/conversations.parquet", rows(spark, sf)
+    return kept(spark, "versions", source, lambda: versions(r, "session_id")), kept(spark, "contradictions", source, lambda: contradictions(r, "session_id")), kept(spark, "summaries", source, lambda: S.summaries(r))
+
+
 def search_governed(spark, sf):
-    r = rows(spark, sf)
-    return S.evidence(r, asked(spark), versions(r, "session_id")).select("qid", "id", "place", "score")
+    return S.evidence(rows(spark, sf), asked(spark), recorded(spark, sf)[0]).select("qid", "id", "place", "score")
 
 
 def search_service(spark, sf):
-    r = rows(spark, sf)
-    return S.searched(r, asked(spark), versions(r, "session_id"), contradictions(r, "session_id"))
+    return S.searched(rows(spark, sf), asked(spark), *recorded(spark, sf))
 
 
 def clue_weights(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 from annalist.functions import vocab as V
+from annalist.operators.governance import pairs
 from annalist.sources import model as M
 from annalist.sources.phrases import phrases, phrases_sql
 
@@ -14,14 +15,19 @@ def content():
     return F.col("content")
 
 
+def said(spark, sf):
+    """All turns and the phrases, whose ids and sessions are negative."""
+    more = phrases(spark).withColumn("moment", F.col("session_id") * 100 + F.col("position"))
+    return M.turns(spark, sf).unionByName(more.withColumns({"id": -F.col("id"), "session_id": -F.col("session_id")}))
+
 
 def normalize_dedup(spark, sf):
     keyed = M.materials(spark, sf).groupBy(F.sha2(T.normal(content()), 256).alias("key"))
     return keyed.agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("first_id", "copies")
 
 
-def normalize_inline(spark, sf):
-    return phrases(spark).select("id", T.normal(content()).alias("key"))
+def normal_keys(spark, sf):
+    return said(spark, sf).select("id", T.normal(content()).alias("key"))
 
 
 def injection_flags(spark, sf):
@@ -45,34 +51,34 @@ def stem_shared_tokens(spark, sf):
     return rows.select("id", F.coalesce(F.size(F.array_intersect("stems", before)), F.lit(0)).alias("shared"))
 
 
-def predicate_group_inline(spark, sf):
-    return phrases(spark).select("id", T.domain(content()).alias("domain"), T.latin(content()).alias("latin"), T.pronoun(content()).alias("pronoun"))
+def domains(spark, sf):
+    return said(spark, sf).select("id", T.domain(content()).alias("domain"), T.latin(content()).alias("latin"), T.pronoun(content()).alias("pronoun"))
 
 
-def revocation_inline(spark, sf):
-    return phrases(spark).select("id", T.revoked(content()).alias("revoked"), T.changed(content()).alias("changed"), T.negated(content()).alias("negated"), T.is_rule(content()).alias("is_rule"))
+def revocations(spark, sf):
+    return said(spark, sf).select("id", T.revoked(content()).alias("revoked"), T.changed(content()).alias("changed"), T.negated(content()).alias("negated"), T.is_rule(content()).alias("is_rule"))
 
 
-def opposite_pairs_inline(spark, sf):
-    p = phrases(spark)
-    a, b = p.select("session_id", F.col("id").alias("a"), content().alias("x")), p.select("session_id", F.col("id").alias("b"), content().alias("y"))
-    return a.join(b, "session_id").where("a < b").select("a", "b", T.opposite(F.col("x"), F.col("y")).alias("pair")).where("pair is not null")
+def opposite_pairs(spark, sf):
+    """Statements of a session, at most 300 apart, that say opposite things: the earlier, the later, and what they are about."""
+    found = pairs(said(spark, sf), "session_id")
+    return found.select(F.col("old.id").alias("a"), F.col("new.id").alias("b"), T.opposite(F.col("old.content"), F.col("new.content")).alias("pair")).where("pair is not null")
 
 
-def triple_keys_inline(spark, sf):
-    return phrases(spark).select("id", T.triple_key(content()).alias("key")).where("key is not null")
+def triple_keys(spark, sf):
+    return said(spark, sf).select("id", T.triple_key(content()).alias("key")).where("key is not null")
 
 
-def content_years_inline(spark, sf):
-    return phrases(spark).select("id", F.posexplode(T.years(content())).alias("n", "year"))
+def content_years(spark, sf):
+    return said(spark, sf).select("id", F.posexplode(T.years(content())).alias("n", "year"))
 
 
-def stems_inline(spark, sf):
-    return phrases(spark).select("id", F.explode(T.stems(content())).alias("stem"))
+def stem_rows(spark, sf):
+    return said(spark, sf).select("id", F.explode(T.stems(content())).alias("stem"))
 
 
-def tokens_inline(spark, sf):
-    return phrases(spark).select("id", F.posexplode(T.tokens(content())).alias("n", "token"))
+def token_rows(spark, sf):
+    return said(spark, sf).select("id", F.posexplode(T.tokens(content())).alias("n", "token"))
 
 
 def chunk_sentences(spark, sf):
@@ -90,7 +96,7 @@ def rolling_summary(spark, sf):
     return points.select("session_id", F.length(summary).alias("n_chars"), F.md5(summary).alias("summary_md5"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_dedup, normalize_inline, injection_flags, negation_profile, latin_ratio, stem_shared_tokens, predicate_group_inline, revocation_inline, opposite_pairs_inline, triple_keys_inline, content_years_inline, stems_inline, tokens_inline, chunk_sentences, summary_points, rolling_summary)}
+QUERIES = {f.__name__: f for f in (normalize_dedup, normal_keys, injection_flags, negation_profile, latin_ratio, stem_shared_tokens, domains, revocations, opposite_pairs, triple_keys, content_years, stem_rows, token_rows, chunk_sentences, summary_points, rolling_summary)}
 
 
 # DuckDB forms: word patterns with explicit boundaries, lists of parts as alternatives.
@@ -168,6 +174,7 @@ def point(c: str) -> str:
 
 
 P = phrases_sql()
+SAID = f"{M.TURNS}, {P}, said as (select id, session_id, position, source, content, moment from turns union all select -id, -session_id, position, source, content, session_id * 100 + position from phrases)"
 BOTH = f"with {M.TURNS}, {M.MATERIALS}, {P}"
 def chunk_sql(rows: str) -> str:
     """CTEs ending in chunks (id, n, chunk) of a relation (id, content), in a recursive query."""
@@ -190,21 +197,21 @@ summaries as (select key_ as {key}, arg_max(acc, k) as summary, max(k) as n from
 
 ORACLE = {
     "normalize_dedup": f"with {M.MATERIALS} select min(id) as first_id, count(*) as copies from materials group by {normal('content')} having count(*) > 1",
-    "normalize_inline": f"with {P} select id, {normal('content')} as key from phrases",
+    "normal_keys": f"with {SAID} select id, {normal('content')} as key from said",
     "injection_flags": f"{BOTH}, r as (select id, content from materials union all select -id, content from phrases), s as (select id, case {' '.join(f'when regexp_matches(content, {q(p)}) then {k}' for k, p in enumerate(V.INJECTIONS, 1))} end::int as shape from r) select * from s where shape is not null",
     "negation_profile": f"{BOTH}, r as (select source, content from turns union all select source, content from phrases) select source, count(*) as n, count(*) filter (where {negated('content')}) as negated from r group by source",
     "latin_ratio": f"with {M.MATERIALS} select frame, count(*) as n, count(*) filter (where {latin('content')}) as latin from materials group by frame",
     "stem_shared_tokens": f"with {M.TURNS}, s as (select id, session_id, position, {stems('content')} as st from turns) select id, coalesce(len(list_intersect(st, lag(st) over (partition by session_id order by position))), 0)::int as shared from s",
-    "predicate_group_inline": f"with {P} select id, {domain('content')} as domain, {latin('content')} as latin, {pronoun('content')} as pronoun from phrases",
-    "revocation_inline": f"with {P} select id, {revoked('content')} as revoked, {changed('content')} as changed, {negated('content')} as negated, (regexp_matches(content, {q(V.RULE_PARTS)}) or {has('content', V.RULE_WORDS)}) as is_rule from phrases",
-    "opposite_pairs_inline": f"with {P}, r as (select x.id as a, y.id as b, {opposite('x.content', 'y.content')} as pair from phrases x join phrases y on x.session_id = y.session_id and x.id < y.id) select * from r where pair is not null",
-    "triple_keys_inline": f"with {P}, r as (select id, {triple_key('content')} as key from phrases) select * from r where key is not null",
-    "content_years_inline": rf"with {P}, r as (select id, regexp_extract_all(content, '(20\d\d)年|(?i:in|during) (?i:the year )?(20\d\d)') as m from phrases), u as (select id, m, generate_subscripts(m, 1) - 1 as n from r where len(m) > 0) select id, n::int as n, regexp_extract(m[n + 1], '(20\d\d)', 1)::int as year from u",
-    "stems_inline": f"with {P} select id, unnest({stems('content')}) as stem from phrases",
+    "domains": f"with {SAID} select id, {domain('content')} as domain, {latin('content')} as latin, {pronoun('content')} as pronoun from said",
+    "revocations": f"with {SAID} select id, {revoked('content')} as revoked, {changed('content')} as changed, {negated('content')} as negated, (regexp_matches(content, {q(V.RULE_PARTS)}) or {has('content', V.RULE_WORDS)}) as is_rule from said",
+    "opposite_pairs": f"with {SAID}, p as (select *, row_number() over (partition by session_id order by moment, position, id) as place from said), r as (select x.id as a, y.id as b, {opposite('x.content', 'y.content')} as pair from p x join p y on x.session_id = y.session_id and x.place < y.place and y.place - x.place <= 300) select * from r where pair is not null",
+    "triple_keys": f"with {SAID}, r as (select id, {triple_key('content')} as key from said) select * from r where key is not null",
+    "content_years": rf"with {SAID}, r as (select id, regexp_extract_all(content, '(20\d\d)年|(?i:in|during) (?i:the year )?(20\d\d)') as m from said), u as (select id, m, generate_subscripts(m, 1) - 1 as n from r where len(m) > 0) select id, n::int as n, regexp_extract(m[n + 1], '(20\d\d)', 1)::int as year from u",
+    "stem_rows": f"with {SAID} select id, unnest({stems('content')}) as stem from said",
     "chunk_sentences": f"with recursive {M.MATERIALS}, {chunk_sql('materials')} select id, n::int as n, length(chunk)::int as n_chars, md5(chunk) as chunk_md5 from chunks",
     "rolling_summary": f"with recursive {M.TURNS}, {summary_sql('turns', 'session_id', 'position')} select session_id, length(summary)::int as n_chars, md5(summary) as summary_md5 from summaries",
     "summary_points": f"{BOTH}, r as (select id, content from turns union all select -id, content from phrases) select id, {point('r.content')} as point from r",
 }
 from annalist.plans.retrieval import tok  # noqa: E402
 
-ORACLE["tokens_inline"] = f"with {P}, r as (select id, {tok('content')} as t from phrases), u as (select id, t, unnest(range(0, len(t))) as n from r) select id, n::int as n, t[n + 1] as token from u"
+ORACLE["token_rows"] = f"with {SAID}, r as (select id, {tok('content')} as t from said), u as (select id, t, unnest(range(0, len(t))) as n from r) select id, n::int as n, t[n + 1] as token from u"

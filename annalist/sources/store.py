@@ -51,3 +51,11 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     summary = fs.getContentSummary(at)
     newest = max((s.getModificationTime() for s in fs.listStatus(at)), default=0)
     return hashlib.sha256(f"{path} {summary.getLength()} {summary.getFileCount()} {newest}".encode()).hexdigest()[:16]
+
+
+def kept(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """A table derived from a source table: built once for each state of the source, then read."""
+    path = f"{shared_folder(spark)}/{name}-{fingerprint(spark, source)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

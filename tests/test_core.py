@@ -17,6 +17,7 @@ from annalist.operators.expand import expand
 from annalist.operators.governance import contradictions, versions
 from annalist.operators.lexical import bm25, query_frame
 from annalist.operators.vector import cosine, fused
+from annalist.plans.relations import said as phrase_rows
 from annalist.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -96,7 +97,7 @@ def test_contradictions_and_windows_of_conversations(spark, tmp_path):
     rows = [(c, k, "ann" if c < 3 or k % 2 else "bob", t) for c, own in ((1, texts), (2, texts[:1]), (3, texts[2:4] + texts[:1]), (4, [texts[0], texts[2]])) for k, t in enumerate(own)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     run = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
-    phrase = {(-a, -b, s) for a, b, s in run("contradiction_pairs")}
+    phrase = {(-a, -b, s) for a, b, s in map(tuple, contradictions(phrase_rows(spark), "user").collect())}
     pairs = run("contradiction_pairs_sessions")
     assert {p for p in pairs if p[0] > 0} == {(1000, 1002, "en-opposite"), (1000, 1004, "en-opposite"), (3000, 3002, "en-opposite")}
     assert (-3, -4, "en-opposite") in pairs and {p for p in pairs if p[0] < 0} <= phrase
