@@ -111,7 +111,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
     """Encode every text of ``docs`` (doc_id, text) and write the ids to the folder ``to``.
 
     A null or empty text has ``end_id`` alone (no ids if it is None).  Repeated doc_ids stay, in any order among
-    themselves; null ones come first.  An empty table gives an empty folder of blocks.  Texts are dealt out by doc_id ranges
+    themselves; null ones come first.  The blocks are in the order of the documents, in each file and from file to file.  An empty table gives an empty folder of blocks.  Texts are dealt out by doc_id ranges
     once and tokenized there; ids are kept in the shared folder until the codes are known.  A block has ``size_of_block`` ids
     at most, or one document.  The driver gets a count for each id of the vocabulary and one length for each partition.
     """
@@ -191,7 +191,9 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
         if held:
             yield block()
 
-    kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(lean(blocks), "first long, docs binary, nulls binary, counts binary, bits binary, marks binary").write.parquet(f"{to}/blocks")
+    coded = kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(lean(blocks), "first long, docs binary, nulls binary, counts binary, bits binary, marks binary")
+    # tables are read in another order than they were written in: the files, one after the other, are ascending again
+    coded.repartitionByRange(partitions(spark), "first").sortWithinPartitions("first").write.parquet(f"{to}/blocks")
     dropped(kept)
 
 
