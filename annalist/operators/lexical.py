@@ -16,12 +16,12 @@ def tokenized(rows: DataFrame, content: str = "content") -> DataFrame:
 
 
 def bm25(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, relevance) of every row (id, content) that shares a token with a query (qid, query).
+    """(qid, id, relevance) of every row (id, content; or id, tokens, dl) that shares a token with a query (qid, query).
 
     Document frequency, count and mean length are those of ``rows``; rows without tokens count.  Postings are cut to the
     queries' terms before anything is shuffled; the statistics are one row.
     """
-    docs = tokenized(rows.select("id", "content")).select("id", "tokens", F.size("tokens").alias("dl"))
+    docs = rows.select("id", "tokens", "dl") if {"tokens", "dl"} <= set(rows.columns) else tokenized(rows.select("id", "content")).select("id", "tokens", F.size("tokens").alias("dl"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("avgdl", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
     wanted = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     hits = docs.select("id", "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term")

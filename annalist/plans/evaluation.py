@@ -21,7 +21,7 @@ def selected(spark, sf):
     """Up to five hits of each query within 4096 bytes, best first, from its whole ranking."""
     t, q = M.turns(spark, sf), asked(spark, sf)
     sizes = t.select("id", F.octet_length("content").cast("long").alias("bytes"))
-    hits = bm25(t, q.select("qid", "query")).where("qid <> id").join(sizes, "id")
+    hits = bm25(M.tokens(spark, sf, "turns"), q.select("qid", "query")).where("qid <> id").join(sizes, "id")
     return budgeted(hits.select("qid", "id", F.struct(-F.col("relevance"), "id").alias("rank"), "bytes"), 5, 4096)
 
 

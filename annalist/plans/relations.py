@@ -48,7 +48,7 @@ def history_expand(spark, sf):
     """Ranked turns of several queries, expanded by links and session neighbours."""
     t = M.turns(spark, sf)
     asked = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    ranked = top_each(bm25(t, asked), "qid", 60, F.desc("relevance"), "id").join(t.select("id", "session_id", "position"), "id").select("qid", "id", "rank", "session_id", "position")
+    ranked = top_each(bm25(M.tokens(spark, sf, "turns"), asked), "qid", 60, F.desc("relevance"), "id").join(t.select("id", "session_id", "position"), "id").select("qid", "id", "rank", "session_id", "position")
     return expand(ranked, links(spark, sf), 10)
 
 
@@ -96,7 +96,7 @@ def recency_boost(spark, sf):
     """The newest three tenths of a query's twenty hits gain 0.15, up to 1."""
     t = M.turns(spark, sf)
     asked = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    hits = top_each(bm25(t, asked), "qid", 20, F.desc("relevance"), "id").join(t.select("id", "moment"), "id")
+    hits = top_each(bm25(M.tokens(spark, sf, "turns"), asked), "qid", 20, F.desc("relevance"), "id").join(t.select("id", "moment"), "id")
     newest = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("moment"), "id"))
     n = F.greatest(F.lit(1), F.floor(F.count("*").over(W.partitionBy("qid")) * 0.3))
     score = F.round(F.col("relevance") / 100, 6)
@@ -106,7 +106,7 @@ def recency_boost(spark, sf):
 def search_pipeline(spark, sf):
     """Rank, gate, neighbours of the hits, time weight, duplicates, top ten: one plan."""
     t = M.turns(spark, sf)
-    hits = top(bm25(t, spark.createDataFrame([(0, QUERY)], "qid long, query string")), 20, F.desc("relevance"), "id").select("id", "relevance")
+    hits = top(bm25(M.tokens(spark, sf, "turns"), spark.createDataFrame([(0, QUERY)], "qid long, query string")), 20, F.desc("relevance"), "id").select("id", "relevance")
     wanted = F.array(*(F.lit(w) for w in sorted(set(QUERY.split()) - set(V.STOP_WORDS))))
     seeds = t.join(F.broadcast(hits), "id")  # twenty rows
     near = band(seeds, t, 3).select("id").distinct().join(hits, "id", "left_anti").join(t, "id")

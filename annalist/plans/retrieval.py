@@ -37,12 +37,11 @@ FIXED = f"q as (select 0 as qid, '{QUERY}' as query)"
 
 
 def bm25_topk(spark, sf):
-    rows = M.turns(spark, sf)
-    return top(bm25(rows, spark.createDataFrame([(0, QUERY)], "qid long, query string")), 20, F.desc("relevance"), "id").select("rank", "id", "relevance")
+    return top(bm25(M.tokens(spark, sf, "turns"), spark.createDataFrame([(0, QUERY)], "qid long, query string")), 20, F.desc("relevance"), "id").select("rank", "id", "relevance")
 
 
 def bm25_all_relevance(spark, sf):
-    return ranked(M.turns(spark, sf), QUERY).select("id", "relevance")
+    return ranked(M.tokens(spark, sf, "turns"), QUERY).select("id", "relevance")
 
 
 def bm25_frame_scoped(spark, sf):
@@ -51,7 +50,7 @@ def bm25_frame_scoped(spark, sf):
 
 def bm25_batch_queries(spark, sf):
     queries = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return top_each(bm25(M.materials(spark, sf), queries), "qid", 5, F.desc("relevance"), "id").select("qid", "rank", "id", "relevance")
+    return top_each(bm25(M.tokens(spark, sf, "materials"), queries), "qid", 5, F.desc("relevance"), "id").select("qid", "rank", "id", "relevance")
 
 
 def recency_rank(spark, sf):
@@ -76,13 +75,13 @@ def semantic_topk(spark, sf):
 
 
 def hybrid_rrf(spark, sf):
-    rows = top(ranked(M.materials(spark, sf), QUERY), 300, F.desc("relevance"), "id").drop("rank")  # the candidate cap
+    rows = top(ranked(M.tokens(spark, sf, "materials"), QUERY), 300, F.desc("relevance"), "id").drop("rank")  # the candidate cap
     joined = rows.join(similarities(vectors(spark, sf), 0), "id", "left").select("id", "relevance", "similarity")
     return top(fused(joined), 20, F.desc_nulls_last("search_score"), "lexical_rank").select("rank", "id", "relevance", "similarity", "search_score")
 
 
 def semantic_gate(spark, sf):
-    joined = ranked(M.materials(spark, sf), QUERY).join(similarities(vectors(spark, sf), 0), "id")
+    joined = ranked(M.tokens(spark, sf, "materials"), QUERY).join(similarities(vectors(spark, sf), 0), "id")
     return joined.where((F.col("relevance") > 0) | (F.col("similarity") >= V.SEMANTIC_MIN)).select("id", "relevance", "similarity")
 
 

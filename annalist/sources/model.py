@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.functions import text as T
+from annalist.sources.store import kept
+
 #: Time of the first turn of conversation 0.
 EPOCH = 1704067200
 
@@ -24,6 +27,13 @@ def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("frame"), "source")
 
 
+def tokens(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
+    """The token cache of ``turns`` or ``materials``: id, tokens, and their number dl; written once for each state of the table."""
+    rows, source = (turns(spark, sf_dir), "conversations") if of == "turns" else (materials(spark, sf_dir), "documents")
+    words = rows.select("id", T.tokens(F.col("content")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    return kept(spark, f"tokens-{of}", f"{sf_dir}/{source}.parquet", lambda: words)
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycle commands: seq, memory_id, moment, op, label."""
     ops = {"signup": "remember", "click": "corroborate", "view": "review", "purchase": "promote", "error": "forget"}
