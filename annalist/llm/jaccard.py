@@ -409,12 +409,16 @@ def classes(docs: DataFrame, size: int, num: int, den: int, collapse: int = COLL
     same = stored(keyed.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "same")
     copies = stored(keyed.join(same, ["h1", "h2"]).where("row <> rep").select("row", "rep"), "copies")
     stars = stored(of_reps(stars_of(sets, copies, common, num, den, collapse), copies), "stars")
+    release_shuffles(docs.sparkSession)
     # the least partner of every set first
     least = stored(stars.groupBy("b").agg(F.min(F.struct("level", "a")).alias("x")).select("x.a", "b"), "least")
     first = checked(sets, least, num, den)
     # then the least of a group with those of its group in another component
     apart = named_ends(stars, components(first)).where("component <> component_a").join(least, ["a", "b"], "left_anti")
-    links = first.unionByName(checked(sets, stored(apart.select("a", "b"), "apart"), num, den))
+    more = stored(apart.select("a", "b"), "apart")
+    del apart
+    release_shuffles(docs.sparkSession)
+    links = first.unionByName(checked(sets, more, num, den))
     # what is left: groups whose other sets are in several components
     groups = stored(open_groups(named_ends(stars, components(links))), "open")
     if not groups.isEmpty():
@@ -494,7 +498,11 @@ def rest_of(sets: DataFrame, groups: DataFrame, common: np.ndarray, num: int, de
     cells = left.withColumn("mine", mine).withColumn("other", other).select("a", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("b").alias("row"), "component", "mine")
     brief = sketches(sets, groups.select(F.col("b").alias("row")).distinct())
     cells = cells.join(brief, "row").select("a", "i", "j", "mine", "row", "component", "n_shingles", "sketch")
-    return stored(cells.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(lean(lambda batches: compared(batches, num, den)), "a long, b long").distinct(), "rest")
+    out = stored(cells.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(lean(lambda batches: compared(batches, num, den)), "a long, b long").distinct(), "rest")
+    dropped(brief)
+    del cells, brief
+    release_shuffles(sets.sparkSession)
+    return out
 
 
 def sketches(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -567,6 +575,8 @@ def checked(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     near = both.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
     near = stored(near.mapInArrow(lean(likely), "a long, b long"), "likely")
     dropped(brief)
+    del brief, both  # their plans hold the shuffles
+    release_shuffles(sets.sparkSession)
     return linked(sets, near, num, den)
 
 
@@ -586,6 +596,7 @@ def linked(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(whole.withColumnsRenamed({"row": "a", "shingles": "sa"}), "a").join(whole.withColumnsRenamed({"row": "b", "shingles": "sb"}), "b")
     out = stored(both.select("a", "b", "sa", "sb").mapInArrow(lean(verified), "a long, b long"), "linked")
     dropped(whole)
+    del whole, both  # their plans hold the shuffles
     release_shuffles(sets.sparkSession)
     return out
 
