@@ -107,11 +107,16 @@ class Codebook:
         return out.reshape(-1)[:total]
 
 
+#: A row of a file: the ids before its documents, their doc_ids (and which are null), numbers of ids, code and offsets in it.
+BLOCKS = "first long, docs binary, nulls binary, counts binary, bits binary, marks binary"
+
+
 def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | None = END_ID, size_of_block: int = BLOCK) -> None:
     """Encode every text of ``docs`` (doc_id, text) and write the ids to the folder ``to``.
 
     A null or empty text has ``end_id`` alone (no ids if it is None).  Repeated doc_ids stay, in any order among
-    themselves; null ones come first.  The blocks are in the order of the documents, in each file and from file to file.  An empty table gives an empty folder of blocks.  Texts are dealt out by doc_id ranges
+    themselves; null ones come first.  The blocks are in the order of the documents, in
+    each file and from file to file (a folder for each range of doc_ids).  An empty table gives an empty folder of blocks.  Texts are dealt out by doc_id ranges
     once and tokenized there; ids are kept in the shared folder until the codes are known.  A block has ``size_of_block`` ids
     at most, or one document.  The driver gets a count for each id of the vocabulary and one length for each partition.
     """
@@ -171,29 +176,30 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int | N
     spark.createDataFrame(pa.table({"id": ids, "bits": bits.astype(np.int64)}).to_pandas(), "id long, bits long").coalesce(1).write.parquet(f"{to}/codes")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, held, size = Codebook(ids, bits), [], 0
+        book, held, size, now = Codebook(ids, bits), [], 0, 0
 
         def block() -> pa.RecordBatch:
             code, marks = book.encode(np.concatenate([x[3] for x in held]))
             one = lambda v, kind: pa.array([v], kind)
             missing = [x[1] is None for x in held]
             blobs = [np.array([x[1] or 0 for x in held], np.int64).tobytes(), bytes(missing) if any(missing) else b"", np.array([x[2] for x in held], np.int64).tobytes(), code, marks.tobytes()]
-            return pa.record_batch([one(held[0][0], pa.int64()), *(one(b, pa.binary()) for b in blobs)], names=["first", "docs", "nulls", "counts", "bits", "marks"])
+            return pa.record_batch([one(held[0][0], pa.int64()), *(one(b, pa.binary()) for b in blobs), one(f"{now:08d}", pa.string())], names=[c.split()[0] for c in f"{BLOCKS}, range string".split(", ")])
 
         for batch in batches:
             for part, doc, at, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 first = begins[part] + at
-                if held and (first != held[-1][0] + held[-1][2] or size + n > size_of_block):
+                if held and (part != now or first != held[-1][0] + held[-1][2] or size + n > size_of_block):
                     yield block()
                     held, size = [], 0
+                now = part
                 held.append((first, doc, n, np.frombuffer(blob, np.uint16 if len(blob) == 2 * n else np.uint32)))
                 size += n
         if held:
             yield block()
 
-    coded = kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(lean(blocks), "first long, docs binary, nulls binary, counts binary, bits binary, marks binary")
-    # tables are read in another order than they were written in: the files, one after the other, are ascending again
-    coded.repartitionByRange(partitions(spark), "first").sortWithinPartitions("first").write.parquet(f"{to}/blocks")
+    coded = kept.where("seen is null").select("part", "doc_id", "at", "n", "ids").mapInArrow(lean(blocks), f"{BLOCKS}, range string")
+    # tables are read in another order than they were written in: a folder for each range of documents, by name in their order
+    coded.write.partitionBy("range").parquet(f"{to}/blocks")
     dropped(kept)
 
 
@@ -213,7 +219,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.record_batch([docs, pa.array(first + ends - counts), pa.array(counts), values], names=["doc_id", "start", "n_tokens", "ids"])
 
     prepare(spark)
-    return spark.read.parquet(f"{folder}/blocks").mapInArrow(lean(decoded), "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.schema(f"{BLOCKS}, range string").parquet(f"{folder}/blocks").drop("range").mapInArrow(lean(decoded), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
