@@ -49,8 +49,12 @@ def test_token_operators(spark, kind):
     pieces = packing.pack(docs, window=64).collect()
     assert sum(r["length"] for r in pieces) == sum(len(ids) for _, ids in want)
     assert {r["doc_id"] for r in pieces} == {d for d, _ in rows}
-    whole = Counter((d, zlib.crc32(np.array(ids, "<u4").tobytes())) for d, ids in want if len(ids) <= 64)
-    assert all(n <= Counter((r["doc_id"], r["ids_crc32"]) for r in packing.pack(docs).collect() if r["length"] == r["doc_tokens"])[k] or len(rows) > 1 for k, n in whole.items())
+    for r in pieces:  # a piece is a stretch of one of the texts of its doc_id
+        assert any(len(ids) == r["doc_tokens"] and zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for d, ids in want if d == r["doc_id"])
+    held = Counter()
+    for r in pieces:
+        held.update((r["doc_id"], r["doc_tokens"], k) for k in range(r["start"], r["start"] + r["length"]))
+    assert held == Counter((d, len(ids), k) for d, ids in want for k in range(len(ids)))
     counts = prefixes.prefix_counts(docs).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in counts), key=str) == sorted(((d, len((t or "").encode()), len(encode(t))) for d, t in rows), key=str)
 
@@ -125,6 +129,11 @@ def test_toxicity(spark, kind):
     out = toxicity.score(docs, model).collect()
     assert sorted(str(r["doc_id"]) for r in out) == sorted(str(d) for d, _ in rows)
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
+    assert all(0 <= r["expected_severity"] <= 2 and r["rejected"] == (r["expected_severity"] >= toxicity.REJECT) for r in out)
+    scores = Counter((r["doc_id"], r["expected_severity"]) for r in out)  # rows that are equal have one score, others one each
+    assert len(scores) >= len({d for d, _ in rows}) and sum(scores.values()) == len(rows)
+    kept = Counter(r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect())
+    assert kept == Counter(r["doc_id"] for r in out if not r["rejected"])
 
 
 def test_top_k_of_one_length_each(spark):
