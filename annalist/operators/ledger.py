@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annalist.operators.ordered import following
+
 
 def visible(as_of: int | None) -> Column:
     return F.lit(True) if as_of is None else F.col("recorded_at") <= as_of
@@ -66,8 +68,7 @@ def guarded(commands: DataFrame) -> DataFrame:
 
 def chained(versions: DataFrame) -> DataFrame:
     """Narrative versions (id, scope, created_at): each is superseded by the next of its scope."""
-    order = W.partitionBy("scope").orderBy("created_at", "id")
-    return versions.withColumns({"superseded_by": F.lead("id").over(order), "superseded_at": F.lead("created_at").over(order)})
+    return following(versions, "scope", ["created_at", "id"], {"superseded_by": "id", "superseded_at": "created_at"}, width=7 * 86400)
 
 
 def invalidated(narratives: DataFrame, sources: DataFrame, changes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.operators import claims as C
 from annalist.operators.lexical import numbered, ranked, top
+from annalist.operators.ordered import running_max
 from annalist.plans import lives
 from annalist.plans.retrieval import QUERY, bm25_sql
 from annalist.sources import model as M
@@ -98,8 +99,7 @@ def claims_recalled(spark, sf):
 
 def ledger_clock(spark, sf):
     """Recording times that never go back: the greatest so far, in each scope."""
-    c = proposed(spark, sf)
-    return c.select("id", F.max("recorded_at").over(W.partitionBy("scope").orderBy("id").rowsBetween(W.unboundedPreceding, 0)).alias("ledger_time"))
+    return running_max(proposed(spark, sf), "scope", "id", "recorded_at", "ledger_time").select("id", "ledger_time")
 
 
 def claims_of_source(spark, sf):
