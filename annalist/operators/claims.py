@@ -43,6 +43,8 @@ def hindrance(claim: Claim, at: int) -> str:
         return "redacted"
     if any((claim.sensitive or e["memory_sensitive"]) and not e["corroborated"] for e in claim.active()):
         return "corroboration"
+    if any(e["stale_at"] is not None and e["stale_at"] <= at for e in claim.active()):
+        return "stale"
     return "" if any(e["stance"] == "supports" for e in claim.active()) else "support"
 
 
@@ -73,7 +75,7 @@ def step(ledger: Ledger, c: dict) -> list[dict]:
         elif any(e["memory_id"] == c["memory_id"] and e["stance"] == c["stance"] for e in claim.active()):
             answer("same")
         else:
-            claim.evidence[c["evidence_id"]] = {k: c[k] for k in ("memory_id", "stance", "gone_at", "memory_sensitive", "corroborated")} | {"retracted": False}
+            claim.evidence[c["evidence_id"]] = {k: c[k] for k in ("memory_id", "stance", "gone_at", "memory_sensitive", "corroborated", "stale_at")} | {"retracted": False}
             answer("evidence_added", "evidence_added")
     elif op == "retract":
         e = claim.evidence.get(c["evidence_id"])
@@ -137,7 +139,8 @@ def evidence_of(answers: DataFrame) -> DataFrame:
 def view(claims: DataFrame, answers: DataFrame, memories: DataFrame, as_of: int | None = None) -> DataFrame:
     """Claims (id, scope, sensitive, recorded_at) as of a recording time, under today's access to their sources.
 
-    ``memories``: memory_id, gone_at (forgotten now, if not null), memory_sensitive, corroborated.  A retraction recorded later is
+    ``memories``: memory_id, gone_at (forgotten now, if not null), memory_sensitive, corroborated, stale_at (a review is overdue now,
+    if not null).  A retraction recorded later is
     not known yet; text whose source is forgotten now is withheld, whatever was known then.
     """
     seen = F.lit(True) if as_of is None else F.col("at") <= as_of
@@ -150,7 +153,7 @@ def view(claims: DataFrame, answers: DataFrame, memories: DataFrame, as_of: int
     pro = live & (F.col("stance") == "supports")
     sums = cited.join(claims.select(F.col("id").alias("claim_id"), "sensitive"), "claim_id").groupBy(F.col("claim_id").alias("id")).agg(
         F.count_if(pro).alias("supporting"), F.count_if(live & (F.col("stance") == "challenges")).alias("challenging"), F.count_distinct(F.when(pro, F.col("origin_id"))).alias("origins"),
-        F.count_if(pro & F.col("origin_id").isNull()).alias("unknown_origins"), F.count_if(live & (F.col("sensitive") | F.col("memory_sensitive")) & ~F.col("corroborated")).alias("issues"), F.bool_or(F.col("gone_at").isNotNull()).alias("redacted"),
+        F.count_if(pro & F.col("origin_id").isNull()).alias("unknown_origins"), F.count_if(live & (((F.col("sensitive") | F.col("memory_sensitive")) & ~F.col("corroborated")) | F.col("stale_at").isNotNull())).alias("issues"), F.bool_or(F.col("gone_at").isNotNull()).alias("redacted"),
     )
     made = claims.where(F.lit(True) if as_of is None else F.col("recorded_at") <= as_of)
     out = made.join(folded, "id", "left").join(sums, "id", "left")

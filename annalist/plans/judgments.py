@@ -14,6 +14,7 @@ from annalist.sources import model as M
 
 DAY = 86400
 GONE = 883612800  # 1998-01-01: some sources are forgotten then
+STALE = 852076800  # 1997-01-01: from then on the review of some sources, interpretations, is overdue
 AS_OF = 896659200  # 1998-06-01
 VALID_AT = 890000000
 
@@ -23,9 +24,9 @@ def at(column):
 
 
 def sources(spark, sf):
-    """Parts as sources of claims: forgotten at, sensitive, corroborated, and what they say."""
+    """Parts as sources of claims: forgotten at, sensitive, corroborated, overdue for review from, and what they say."""
     p = M.table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("memory_id"), F.when(F.col("p_size") == 13, F.lit(GONE).cast("long")).alias("gone_at"), (F.col("p_size") % 7 == 0).alias("memory_sensitive"), (F.col("p_partkey") % 2 == 0).alias("corroborated"), F.coalesce("p_name", F.lit("")).alias("content"))
+    return p.select(F.col("p_partkey").alias("memory_id"), F.when(F.col("p_size") == 13, F.lit(GONE).cast("long")).alias("gone_at"), (F.col("p_size") % 7 == 0).alias("memory_sensitive"), (F.col("p_partkey") % 2 == 0).alias("corroborated"), F.when(F.col("p_size") % 11 == 3, F.lit(STALE).cast("long")).alias("stale_at"), F.coalesce("p_name", F.lit("")).alias("content"))
 
 
 def proposed(spark, sf):
@@ -174,15 +175,15 @@ QUERIES = {f.__name__: f for f in (ledger_answers, ledger_states, ledger_view_as
 E = "floor(epoch({}))::bigint"
 # What each command's answer is, worked out from times rather than replayed: a claim ends at its first withdrawal or its revision.
 LEDGER = f"""cl as (select o_orderkey as id, o_orderpriority as scope, o_orderkey % 9 = 0 as sensitive, {E.format('o_orderdate')} as od, o_orderstatus as s from orders),
-src as (select p_partkey as memory_id, case when p_size = 13 then {GONE}::bigint end as gone_at, p_size % 7 = 0 as msens, p_partkey % 2 = 0 as corr from part),
+src as (select p_partkey as memory_id, case when p_size = 13 then {GONE}::bigint end as gone_at, p_size % 7 = 0 as msens, p_partkey % 2 = 0 as corr, case when p_size % 11 = 3 then {STALE}::bigint end as stale_at from part),
 e0 as (select l_orderkey as c, greatest({E.format('l_shipdate')}, od) as tt, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {E.format('l_shipdate')}) as eid, l_partkey as m, case l_returnflag when 'A' then 'supports' when 'R' then 'challenges' else 'context' end as stance, case when l_suppkey % 7 <> 0 then l_suppkey end as origin,
-  case when l_linestatus = 'O' then greatest({E.format('l_shipdate')}, od) + {30 * DAY} end as ret, gone_at, msens, corr, sensitive from lineitem join cl on cl.id = l_orderkey join src on src.memory_id = l_partkey),
+  case when l_linestatus = 'O' then greatest({E.format('l_shipdate')}, od) + {30 * DAY} end as ret, gone_at, msens, corr, stale_at, sensitive from lineitem join cl on cl.id = l_orderkey join src on src.memory_id = l_partkey),
 e1 as (select *, case when gone_at <= tt then 'denied_forgotten' when m % 19 = 0 then 'denied_quote' end as no from e0),
 e2 as (select *, coalesce(no, case when exists (select 1 from e1 x where x.c = e1.c and x.m = e1.m and x.stance = e1.stance and x.no is null and (x.tt, x.eid) < (e1.tt, e1.eid) and (x.ret is null or x.ret > e1.tt or (x.ret = e1.tt and false))) then 'same' end) as ans from e1),
 ok as (select * from e2 where ans is null),
 -- times at which a claim might be adopted: its own commands and a revision that names it
 tm as (select id as c, od + {100 * DAY} as t, 'adopt' as op, null::bigint as old from cl where s <> 'P' union all select id, od + {160 * DAY}, 'adopt', null from cl where id % 4 = 0 union all select n.id, o.od + {150 * DAY}, 'revise', o.id from cl o join cl n on n.id = o.id + 1 where o.id % 10 = 0),
-hd as (select tm.c, tm.t, tm.op, tm.old, case when bool_or(gone_at <= t) then 'redacted' when bool_or((sensitive or msens) and not corr and (ret is null or ret > t)) then 'corroboration' when not coalesce(bool_or(stance = 'supports' and (ret is null or ret > t)), false) then 'support' end as why
+hd as (select tm.c, tm.t, tm.op, tm.old, case when bool_or(gone_at <= t) then 'redacted' when bool_or((sensitive or msens) and not corr and (ret is null or ret > t)) then 'corroboration' when bool_or(stale_at <= t and (ret is null or ret > t)) then 'stale' when not coalesce(bool_or(stance = 'supports' and (ret is null or ret > t)), false) then 'support' end as why
   from tm left join ok on ok.c = tm.c and ok.tt <= tm.t group by all),
 wd as (select id as c, min(t) as t from (select id, od + {120 * DAY} as t from cl where s = 'P' union all select id, od + {140 * DAY} from cl where id % 11 = 0) group by 1),
 rv as (select o.id as old, n.id as new, o.od + {150 * DAY} as t, case
@@ -208,7 +209,7 @@ ans as (
 def view_sql(as_of):
     t = as_of if as_of is not None else "9e18::bigint"
     return f"""sv as (select c, arg_max(action, (tt, rk)) filter (where action in ('proposed', 'adopted', 'withdrawn', 'superseded')) as status, max((tt, rk)) filter (where action in ('proposed', 'adopted', 'withdrawn', 'superseded')) as d, max((tt, rk)) as l from ans where action is not null and tt <= {t} group by c),
-pv as (select c, count(*) filter (where lv and stance = 'supports') as supporting, count(*) filter (where lv and stance = 'challenges') as challenging, count(distinct origin) filter (where lv and stance = 'supports') as origins, count(*) filter (where lv and stance = 'supports' and origin is null) as unknown_origins, count(*) filter (where lv and (sensitive or msens) and not corr) as issues, bool_or(gone_at is not null) as redacted
+pv as (select c, count(*) filter (where lv and stance = 'supports') as supporting, count(*) filter (where lv and stance = 'challenges') as challenging, count(distinct origin) filter (where lv and stance = 'supports') as origins, count(*) filter (where lv and stance = 'supports' and origin is null) as unknown_origins, count(*) filter (where lv and (((sensitive or msens) and not corr) or stale_at is not null)) as issues, bool_or(gone_at is not null) as redacted
   from (select *, tt <= {t} and (ret is null or ret > {t}) as lv from live) group by c),
 vw as (select cl.id, cl.scope, cl.od, cl.sensitive, status, coalesce(supporting, 0) as supporting, coalesce(challenging, 0) as challenging, coalesce(origins, 0) as origins, coalesce(unknown_origins, 0) as unknown_origins, coalesce(redacted, false) as redacted, coalesce(redacted, false) or (status = 'adopted' and (l > d or coalesce(issues, 0) > 0 or coalesce(supporting, 0) = 0)) as review_required
   from cl join sv on sv.c = cl.id left join pv on pv.c = cl.id where cl.od <= {t})"""
