@@ -58,11 +58,11 @@ def states(commands: DataFrame) -> DataFrame:
 
 def guarded(commands: DataFrame) -> DataFrame:
     """Every 'promote' after a first one asks to pin: it is accepted if, before it, the memory was consolidated, not forgotten
-    and corroborated; the answer depends on state before the command only."""
+    and, if it is ``sensitive``, corroborated; the answer depends on state before the command only."""
     before = W.partitionBy("memory_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     had = lambda op: F.coalesce(F.max(F.when(F.col("op") == op, F.col("seq"))).over(before), F.lit(-1))
     asked = commands.withColumns({"promoted": had("promote"), "forgot": had("forget"), "said": had("corroborate")}).where("op = 'promote' and promoted >= 0")
-    answer = F.when(F.col("forgot") > F.col("promoted"), "denied_forgotten").when(F.col("said") < 0, "denied_uncorroborated").otherwise("pinned")
+    answer = F.when(F.col("forgot") > F.col("promoted"), "denied_forgotten").when(F.col("sensitive") & (F.col("said") < 0), "denied_uncorroborated").otherwise("pinned")
     return asked.select("seq", "memory_id", answer.alias("answer"))
 
 
