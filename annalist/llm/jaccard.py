@@ -112,22 +112,22 @@ def _sign(x: np.ndarray, owner: np.ndarray, use: np.ndarray, parts: np.ndarray,
 
 
 def blob(keys: np.ndarray, numbers: np.ndarray) -> bytes:
-    """Signatures and sets' numbers, by row: four bytes of each key, the steps from row to row and the levels above them, byte
-    by byte, so that the shuffle's compression finds the zeros.  Keys that agree in so few bytes only mean more checks."""
+    """Signatures and sets' numbers, by row: four bytes of each key, then the steps from row to row and the levels above them,
+    byte by byte and compressed.  Keys that agree in so few bytes only mean more checks."""
     row = numbers & ROW_MASK
     order = np.argsort(row, kind="stable")
     keys, row, level = keys[order], row[order], (numbers[order] >> ROW_BITS).astype(np.uint8)
     steps = np.diff(row, prepend=row[:1])
-    return row[:1].tobytes() + keys.view(np.uint8).reshape(-1, 8)[:, :4].T.tobytes() + steps.view(np.uint8).reshape(-1, 8).T.tobytes() + level.tobytes()
+    rest = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + level.tobytes()
+    return row[:1].tobytes() + len(row).to_bytes(8, "little") + keys.view(np.uint8).reshape(-1, 8)[:, :4].T.tobytes() + CODEC.compress(rest, asbytes=True)
 
 
 def unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(data, np.uint8)
-    n = (len(raw) - 8) // 13
-    keys = np.ascontiguousarray(raw[8 : 8 + 4 * n].reshape(4, n).T).view(np.uint32).ravel()
-    steps = np.ascontiguousarray(raw[8 + 4 * n : 8 + 12 * n].reshape(8, n).T).view(np.int64).ravel()
-    row = np.cumsum(steps) + np.frombuffer(data, np.int64, 1)[0]
-    return keys, row + (raw[8 + 12 * n :].astype(np.int64) << ROW_BITS)
+    first, n = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    keys = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, 16).reshape(4, n).T).view(np.uint32).ravel()
+    rest = np.frombuffer(CODEC.decompress(memoryview(data)[16 + 4 * n :], 9 * n, asbytes=True), np.uint8)
+    row = np.cumsum(np.ascontiguousarray(rest[: 8 * n].reshape(8, n).T).view(np.int64).ravel()) + first
+    return keys, row + (rest[8 * n :].astype(np.int64) << ROW_BITS)
 
 
 def levels(rare: np.ndarray) -> np.ndarray:
