@@ -69,13 +69,13 @@ def marked() -> int:
     return len(_paths)
 
 
-def cleared(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
-    """Delete what operators have written to the shared folder since a mark, but for the files that ``keep`` reads.
+def cleared(spark: SparkSession, keep: DataFrame | None = None, since: int = 0, until: int | None = None) -> None:
+    """Delete what operators have written to the shared folder since a mark (and before another), but for what ``keep`` reads.
 
     Results are lazy and read such tables: call it once all results that matter are written.
     """
     kept = {p.rsplit("/", 1)[0].rsplit("/", 1)[-1] for p in keep.inputFiles()} if keep is not None else set()
-    for k in range(since, len(_paths)):
+    for k in range(since, len(_paths) if until is None else until):
         if _paths[k] and _paths[k].rsplit("/", 1)[-1] not in kept:
             deleted(spark, _paths[k])
             _paths[k] = ""
