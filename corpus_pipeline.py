@@ -17,6 +17,10 @@ from annalist.llm.lines import count_names, dedup_lines
 from annalist.llm.packing import pack
 
 
+#: Marks around the tables that line dedup has left in the shared folder; its result reads them until it is written.
+_left: list[tuple[int, int]] = []
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labelled ones, doesn't reject."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -24,15 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate lines; documents that had nothing else go.  n_chars, if docs have it, follows."""
-    removed = F.col(count_names(docs)[1])
-    out = dedup_lines(docs).where(~((removed > 0) & (F.length(F.trim("text")) == 0)))
+    removed, begun = F.col(count_names(docs)[1]), marked()
+    out = dedup_lines(docs)
+    _left.append((begun, marked()))
+    out = out.where(~((removed > 0) & (F.length(F.trim("text")) == 0)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8: that of the smallest id."""
+    """One document of each group that five-word shingles link at a similarity of 0.8: that of the smallest id.
+
+    What line dedup left in the shared folder goes first, unless docs still read it."""
+    while _left:
+        cleared(spark, docs, *_left.pop())
     return one_of_each(docs, size=5, num=80, den=100)
 
 
