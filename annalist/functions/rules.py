@@ -127,17 +127,18 @@ RULES: dict[str, list[Rule]] = {
 }
 
 
-def reasons(value: Column, kind: str) -> Column:
-    """All that is wrong with a request in JSON text; empty if nothing is.  Text that is no JSON object is ``malformed`` alone."""
-    v = F.try_parse_json(value)
+def reasons(v: Column, kind: str) -> Column:
+    """All that is wrong with a request that was parsed; empty if nothing is.  Text that is no JSON object is ``malformed`` alone."""
     found = F.array_compact(F.array(*(F.when(F.coalesce(bad(v), F.lit(False)), F.lit(name)) for name, bad in RULES[kind])))
     return F.when(F.coalesce(kind_of(v) == "OBJECT", F.lit(False)), found).otherwise(F.array(F.lit("malformed")))
 
 
 def judged(requests: DataFrame, value: str = "value", kind: str = "kind") -> DataFrame:
-    """Requests (kind, value) with ``reasons``; a kind without rules is ``unknown_kind``."""
-    each = F.coalesce(*(F.when(F.col(kind) == k, reasons(F.col(value), k)) for k in RULES), F.array(F.lit("unknown_kind")))
-    return requests.withColumn("reasons", each)
+    """Requests (kind, value) with ``reasons``; a kind without rules is ``unknown_kind``.
+
+    The text is parsed in a step of its own, once: within the rules, each look at a request would parse it again."""
+    each = F.coalesce(*(F.when(F.col(kind) == k, reasons(F.col("_parsed"), k)) for k in RULES), F.array(F.lit("unknown_kind")))
+    return requests.withColumn("_parsed", F.try_parse_json(F.col(value))).withColumn("reasons", each).drop("_parsed")
 
 
 def split(requests: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

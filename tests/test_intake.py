@@ -136,3 +136,9 @@ def test_token_caches(spark):
     rows = [("a b cc", '["x", "y"]'), ("dd", '["x", 1]'), ("ee", "[]"), ("ff", "[null]"), ("gg", "{"), ("hh", None), ("中ab文", '["x"]'), ("ii", '"jj"'), ("kk", '{"a": "b"}')]
     got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, content string, c string").select("k", postings.cached_tokens(F.col("content"), F.col("c")).alias("t"), T.tokens(F.col("content")).alias("own")).orderBy("k").collect()
     assert [r["t"] for r in got] == [["x", "y"], ["dd"], [], ["ff"], ["gg"], ["hh"], got[6]["own"], ["ii"], ["kk"]] and got[6]["own"] != ["x"]
+
+
+def test_requests_are_parsed_once(spark):
+    """Each rule's look at a request parsed it anew."""
+    rows = R.judged(spark.createDataFrame([("add", "{}")], "kind string, value string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
