@@ -129,7 +129,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_wi
         encoder, packer = Encoder(path), Packer(part, window, open_windows)
         for batch in gathered(batches):
             docs_, (data, offsets) = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in slices(offsets, 8 << 20):
+            for a, b in slices(offsets):  # small: the last stage's workers hold what earlier ones left
                 ids, counts = with_end(*encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), end_id)
                 ends = np.cumsum(counts)
                 rows = [(*r, None, None, None) for d, e, m in zip(docs_[a:b], ends, counts, strict=True) for r in packer.put(d, ids[e - m : e])]
