@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from annalist.functions import vocab as V
 from annalist.operators.expand import cascade
 from annalist.operators.lexical import bm25, ranked, tokenized, top, top_each
-from annalist.operators.vector import cosine, fused, similarities
+from annalist.operators.vector import fused, nearest, similarities
 from annalist.sources import model as M
 
 QUERY = "thing ther that than oner der schen que tion"
@@ -88,9 +88,8 @@ def semantic_gate(spark, sf):
 def same_label_rate(spark, sf):
     """How many of the ten nearest vectors have the label of a query; queries are the vectors whose id is divisible by 100."""
     v = vectors(spark, sf)
-    asked = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("qlabel"))
-    pairs = v.join(asked, F.col("id") != F.col("qid")).select("qid", "id", (F.col("label") == F.col("qlabel")).cast("int").alias("same"), cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    return top_each(pairs, "qid", 10, F.desc("similarity"), "id").groupBy("qid").agg(F.sum("same").alias("n_same"))
+    pairs = nearest(v, v.where("id % 100 = 0"), 10)
+    return top_each(pairs, "qid", 10, F.desc_nulls_last("similarity"), "id").groupBy("qid").agg(F.sum("same").alias("n_same"))
 
 
 def sections(spark, sf):
