@@ -43,6 +43,19 @@ def test_few_candidates(spark):
     assert bm25(docs, queries).groupBy("qid").count().agg(F.max("count")).first()[0] > 300
 
 
+def test_parts(spark, monkeypatch):
+    """Rows in many parts: each part's candidates were shuffled before, now the last part gives what the budget picks."""
+    monkeypatch.setattr(selection, "ROWS", 16)
+    monkeypatch.setattr(selection, "BLOCKS", 2)
+    docs, queries, sizes = tables(spark, 150)
+    some = selection.candidates(docs.repartition(7), queries, sizes, 5, 400)
+    assert budget(some, 5, 400) == budget(bm25(docs, queries).where("qid <> id").join(sizes, "id"), 5, 400)
+    assert some.groupBy("qid").count().agg(F.max("count")).first()[0] <= 5
+    once = docs.where("id not in (3, 4, 150)").join(sizes, "id")  # own sizes
+    some, whole = selection.candidates(once.repartition(7), queries, None, 5, 400), bm25(once, queries).where("qid <> id").join(sizes, "id")
+    assert budget(some, 5, 400) == budget(whole, 5, 400)
+
+
 def test_salt(spark, monkeypatch):
     """Words whose hashes meet get others."""
     real, rows = F.xxhash64, spark.createDataFrame([("a",), ("b",)], "word string")
