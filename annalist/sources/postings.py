@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from annalist.functions import text as T
 from annalist.functions import vocab as V
 from annalist.operators.lexical import top_each
-from annalist.sources.store import exists
+from annalist.sources.store import deleted, exists, shared_path
 
 #: Folders of terms, documents in a block, blocks that are scored to find what a result must reach.
 BUCKETS, BLOCK, PROBED = 32, 256, 4
@@ -38,8 +38,11 @@ def add(rows: DataFrame, path: str, generation: str) -> None:
     is replaced.  Null contents have no tokens but count as documents."""
     content = F.coalesce("content", F.lit(""))
     words = cached_tokens(content, F.col("content_tokens")) if "content_tokens" in rows.columns else T.tokens(content)
-    docs = rows.select("id", words.alias("tokens")).repartitionByRange("id").sortWithinPartitions("id")
-    docs = docs.select("id", F.size("tokens").alias("dl"), "tokens", F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"))
+    # dealt out before the texts are cut up and kept until the end: ranges are drawn from ids alone, each text is cut up once
+    ranged = rows.repartitionByRange("id").sortWithinPartitions("id").select("id", words.alias("tokens"))
+    kept_at = shared_path(rows.sparkSession, "words")
+    ranged.select("id", F.size("tokens").alias("dl"), "tokens", F.floor(F.monotonically_increasing_id() / BLOCK).alias("block")).write.parquet(kept_at)
+    docs = rows.sparkSession.read.parquet(kept_at)
     terms = docs.select("id", "dl", "block", F.explode("tokens").alias("term")).groupBy("term", "id", "dl", "block").agg(F.count("*").cast("int").alias("tf"))
     spark, at = rows.sparkSession, f"generation={generation}"
     docs.select("id", "dl").write.mode("overwrite").parquet(f"{path}/docs/{at}")
@@ -50,6 +53,7 @@ def add(rows: DataFrame, path: str, generation: str) -> None:
     maxima.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/maxima/{at}")
     totals = spark.read.parquet(f"{path}/docs/{at}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
     totals.write.mode("overwrite").parquet(f"{path}/totals/{at}")  # written last: what has it is complete
+    deleted(spark, kept_at)
 
 
 def complete(spark: SparkSession, path: str, generation: str) -> bool:
