@@ -83,3 +83,27 @@ def test_recent_statements_are_bounded():
         recent.add((k, "user", "t", k, 0, f"common\nown{k}", "", ""))
     assert len(recent.rows) == history.RECENT and set(recent.by_key["wcommon"]) == set(range(700, 1000))
     assert [r[0] for r in recent.candidates((1, "user", "t", 1, 0, "common\nown900", "", ""))] == [900]
+
+
+def test_small_files_are_dealt_out(spark, tmp_path, rows):
+    """One task made the profiles of a file before, here all of them."""
+    from annalist.operators.governance import dealt, profiled
+
+    table = spark.createDataFrame(rows, history.MESSAGE).coalesce(1)
+    assert profiled(dealt(table, "user_id")).rdd.getNumPartitions() == 8
+    plan = versions(table.withColumn("position", F.lit(0).cast("long")), "user_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [user_id" in plan
+
+
+def test_profiles_of_pairs_are_made_once(spark, tmp_path, monkeypatch, rows):
+    """Both sides' profiles were written into each rule before, a time for each look at them."""
+    real, plans = history.judged, []
+
+    def judged(both):
+        out = real(both)
+        plans.extend(df._jdf.queryExecution().withCachedData().toString() for df in out)
+        return out
+
+    monkeypatch.setattr(history, "judged", judged)
+    run(spark, tmp_path, "once", [rows[:60]])
+    assert len(plans) == 2 and all("InMemoryRelation [user_id" in p and "old" in p for p in plans)
