@@ -10,7 +10,7 @@ from annalist.sources import postings
 
 
 def test_texts_are_cut_up_once(spark, tmp_path, monkeypatch):
-    """More than once before: ranges were drawn from rows with their words, and both tables were made from the start."""
+    """Four times before: ranges were drawn from rows with their words, and both tables were made from the start."""
     seen = spark.sparkContext.accumulator(0)
 
     def cut(text):
