@@ -1,4 +1,4 @@
-"""Narratives replay the claims that they cite; states of memories leave the replay once."""
+"""Narratives replay the claims that they cite, states of memories leave the replay once, the ledger gives what is read."""
 
 from pyspark.sql import functions as F
 
@@ -40,3 +40,12 @@ def test_last_states_of_odd_commands(spark):
     assert set(got) == {1}  # 2 was never captured, 3 was refused
     assert (got[1]["status"], got[1]["pinned_at"], got[1]["consolidated_at"], got[1]["sensitive"], got[1]["canon"]) == ("consolidated", 2**60 + 1, None, False, [])
     assert not L.last_states(spark.createDataFrame([], fields)).collect()
+
+
+def test_answers_that_are_read(spark):
+    """All thirteen fields came back from Python before."""
+    some = C.ledger(judgments.commands(spark, "/root/testdata/sf0.001"), "op", "memory_id")
+    assert some.columns == ["op", "memory_id"]
+    assert not some.exceptAll(judgments.answers(spark, "/root/testdata/sf0.001").select("op", "memory_id")).count()
+    plan = judgments.ledger_answers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "origin_id" not in next(x for x in plan.splitlines() if "MapInArrow" in x).split("]")[-1]
