@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from annalist.functions import vocab as V
 from annalist.operators.expand import cascade
 from annalist.operators.lexical import bm25, ranked, tokenized, top, top_each
+from annalist.operators.selection import foremost
 from annalist.operators.vector import fused, nearest, similarities
 from annalist.sources import model as M
 
@@ -50,7 +51,7 @@ def bm25_frame_scoped(spark, sf):
 
 def bm25_batch_queries(spark, sf):
     queries = M.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return top_each(bm25(M.tokens(spark, sf, "materials"), queries), "qid", 5, F.desc("relevance"), "id").select("qid", "rank", "id", "relevance")
+    return foremost(M.tokens(spark, sf, "materials"), queries, 5)
 
 
 def recency_rank(spark, sf):
