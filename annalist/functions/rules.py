@@ -38,13 +38,12 @@ def is_count(v: Column, path: str, least: int = 0) -> Column:
 
 def iso_time(c: Column) -> Column:
     """A time with its zone, as UTC; null for anything else: no date alone, no time without zone, no day that isn't."""
+    zone = F.regexp_extract(c, r"(Z|[+-]\d{2}:\d{2})$", 1)
     local = F.try_to_timestamp(F.concat(F.regexp_extract(c, r"^(.{19}(?:\.\d{1,6})?)", 1), F.lit("Z")))
-    sign = F.when(F.regexp_extract(c, r"([+-])\d{2}:\d{2}$", 1) == "-", -1).otherwise(1)
-    hours, minutes = (F.coalesce(F.try_to_number(F.regexp_extract(c, r"[+-](\d{2}):(\d{2})$", k), F.lit("99")).cast("long"), F.lit(0).cast("long")) for k in (1, 2))
-    micros = F.unix_micros(local) - sign * (hours * 60 + minutes) * 60_000_000
+    minutes = F.when(zone == "Z", F.lit(0).cast("long")).otherwise(F.substring(zone, 2, 2).try_cast("long") * 60 + F.substring(zone, 5, 2).try_cast("long"))
+    micros = F.unix_micros(local) - F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * minutes * 60_000_000
     inside = micros.between(-62135596800000000, 253402300799999999)  # the years 1 to 9999
-    at = F.when((hours * 60 + minutes < 1440) & (F.substring(c, 1, 4) != "0000") & inside, F.timestamp_micros(micros))
-    return F.when(c.rlike(V.ISO_TIME), at)
+    return F.when(c.rlike(V.ISO_TIME) & (minutes < 1440) & (F.substring(c, 1, 4) != "0000") & inside, F.timestamp_micros(micros))
 
 
 def epoch(c: Column) -> Column:
@@ -54,8 +53,13 @@ def epoch(c: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$"), number), F.unix_micros(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text))) / 1e6)
 
 
+def time_at(path: str) -> Column:
+    """The time at a path of a request, from the column that ``judged`` makes of it; null for anything but a text with a time."""
+    return F.col(f"`_time {path}`")
+
+
 def optional_time(v: Column, path: str) -> Column:
-    return absent(v, path) | F.coalesce((kind_of(v, path) == "STRING") & iso_time(text_at(v, path)).isNotNull(), F.lit(False))
+    return absent(v, path) | time_at(path).isNotNull()
 
 
 def optional_text(v: Column, path: str) -> Column:
@@ -77,7 +81,7 @@ def bad_item(path: str, test: Callable[[Column], Column]) -> Callable[[Column],
 
 def time_order(v: Column, first: str, last: str) -> Column:
     """The first time isn't after the last; true where one is absent or no time."""
-    return F.coalesce(iso_time(text_at(v, first)) <= iso_time(text_at(v, last)), F.lit(True))
+    return F.coalesce(time_at(first) <= time_at(last), F.lit(True))
 
 
 def needed(names: list[str], ok: Callable[[Column, str], Column]) -> list[Rule]:
@@ -127,6 +131,10 @@ RULES: dict[str, list[Rule]] = {
 }
 
 
+#: Where times are in requests of each kind.
+TIMES = {"capture": ["$.event_at"], "claim": ["$.statement_at", "$.valid_from", "$.valid_until"], "range": ["$.since", "$.until"]}
+
+
 def reasons(v: Column, kind: str) -> Column:
     """All that is wrong with a request that was parsed; empty if nothing is.  Text that is no JSON object is ``malformed`` alone."""
     found = F.array_compact(F.array(*(F.when(F.coalesce(bad(v), F.lit(False)), F.lit(name)) for name, bad in RULES[kind])))
@@ -136,9 +144,14 @@ def reasons(v: Column, kind: str) -> Column:
 def judged(requests: DataFrame, value: str = "value", kind: str = "kind") -> DataFrame:
     """Requests (kind, value) with ``reasons``; a kind without rules is ``unknown_kind``.
 
-    The text is parsed in a step of its own, once: within the rules, each look at a request would parse it again."""
+    The text is parsed in a step of its own, once: within the rules, each look at a request would parse it again.  So are its times, taken
+    out in one more step: a time's test looks at its text many times."""
     each = F.coalesce(*(F.when(F.col(kind) == k, reasons(F.col("_parsed"), k)) for k in RULES), F.array(F.lit("unknown_kind")))
-    return requests.withColumn("_parsed", F.try_parse_json(F.col(value))).withColumn("reasons", each).drop("_parsed")
+    parsed = requests.withColumn("_parsed", F.try_parse_json(F.col(value)))
+    of = {path: [k for k, paths in TIMES.items() if path in paths] for paths in TIMES.values() for path in paths}
+    texts = parsed.withColumns({f"_time {path}": F.when(F.col(kind).isin(*kinds), text_at(F.col("_parsed"), path)) for path, kinds in of.items()})
+    times = texts.withColumns({f"_time {path}": iso_time(time_at(path)) for path in of})
+    return times.withColumn("reasons", each).drop("_parsed", *(f"_time {path}" for path in of))
 
 
 def split(requests: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
